@@ -15,10 +15,22 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A base table as a stream; the pattern matches a file as well as a folder of files."""
+    return (
+        spark.readStream.schema(raw(spark, sf_dir, name).schema)
+        .option("maxFilesPerTrigger", 1000)
+        .parquet(f"{sf_dir}/{name}.parquet*")
+    )
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return job_rows(raw(spark, sf_dir, "customer"))
+
+
+def job_rows(customer: DataFrame) -> DataFrame:
     return (
-        raw(spark, sf_dir, "customer")
-        .where("c_custkey % 97 <> 0")
+        customer.where("c_custkey % 97 <> 0")
         .selectExpr(
             "c_custkey AS job_id",
             "c_name AS name",
@@ -159,9 +171,11 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polled states of a thing: (task, time, state), one row per poll."""
-    return raw(spark, sf_dir, "events").selectExpr(
-        "user_id AS task_id", "ts", "event_id AS seq", "event_type AS status"
-    )
+    return observation_rows(raw(spark, sf_dir, "events"))
+
+
+def observation_rows(events: DataFrame) -> DataFrame:
+    return events.selectExpr("user_id AS task_id", "ts", "event_id AS seq", "event_type AS status")
 
 
 def queue_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +220,11 @@ def faulty_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A change feed: each job twice, the second version later and with another firing time."""
-    return jobs(spark, sf_dir).selectExpr(
+    return change_rows(raw(spark, sf_dir, "customer"))
+
+
+def change_rows(customer: DataFrame) -> DataFrame:
+    return job_rows(customer).selectExpr(
         "job_id",
         "job_type",
         "explode(array(0, 1)) AS version",

@@ -28,6 +28,11 @@ def utc_wall_clock(col: Column) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), col.cast("timestamp_ntz"))
 
 
+def as_instant(col: Column) -> Column:
+    """UTC wall-clock time to ``timestamp``, which watermarks need; :func:`utc_wall_clock` is the way back."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), col).cast("timestamp")
+
+
 def seconds(n: Column | int | float) -> Column:
     """An interval of ``n`` seconds; add it to or subtract it from a time."""
     n = n if isinstance(n, Column) else F.lit(n)

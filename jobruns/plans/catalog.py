@@ -6,7 +6,9 @@ column compares by value.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,11 @@ from jobruns.operators import (
     windows,
 )
 from jobruns.plans.scheduler_pass import scheduler_pass
+from jobruns.session import shared_dir
 from jobruns.sources import messages, tables
+from jobruns.streaming import messages as message_streams
+from jobruns.streaming import runs as run_streams
+from jobruns.streaming.batches import read_batches, write_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -692,3 +698,103 @@ def rederive_spec(spark, d):
 @query
 def invalid_jobs(spark, d):
     return definitions.invalid_jobs(fx.faulty_jobs(spark, d))
+
+
+# Streams: each runs over a base table read as a stream until its input is used up, and returns what
+# was written.
+
+
+@contextmanager
+def _work(spark: SparkSession) -> Iterator[str]:
+    """A new folder for a stream's output, with as many state partitions as there are cores."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), cores)))
+    try:
+        yield f"{shared_dir(spark)}/stream-{uuid.uuid4()}"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _appended(spark: SparkSession, df: DataFrame) -> DataFrame:
+    with _work(spark) as folder:
+        (
+            df.writeStream.format("parquet")
+            .option("path", f"{folder}/out")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+        return spark.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+def _last_batch(query) -> int:
+    query.awaitTermination()
+    return max(p["batchId"] for p in query.recentProgress)
+
+
+@query
+def message_actions(spark, d):
+    arrived = fx.message_rows(fx.stream(spark, d, "orders"))
+    known = fx.tasks(spark, d).withColumn("task_id", F.concat(F.lit("t-"), F.col("task_id")))
+    actions = message_streams.message_actions(arrived, known)
+    return _appended(spark, actions.select("seq", "task_id", "action"))
+
+
+@query
+def dedup_messages(spark, d):
+    sent = fx.stream(spark, d, "lineitem").selectExpr(
+        "to_json(named_struct('task_id', CAST(l_orderkey AS STRING))) AS body", "l_shipdate AS ts"
+    )
+    return _appended(spark, message_streams.dedup_messages(sent).select("task_id"))
+
+
+@query
+def throughput_stream(spark, d):
+    finished = run_streams.throughput(fx.task_rows(fx.stream(spark, d, "orders")))
+    with _work(spark) as folder:
+        stream = (
+            finished.writeStream.outputMode("complete")
+            .foreachBatch(lambda rows, batch_id: write_batch(rows, f"{folder}/out", batch_id))
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        return spark.read.schema(finished.schema).parquet(f"{folder}/out/batch_id={_last_batch(stream)}")
+
+
+@query
+def lease_monitor(spark, d):
+    return _appended(spark, run_streams.lease_monitor(fx.lease_rows(fx.stream(spark, d, "events")), 4 * 3600))
+
+
+@query
+def chain_stream(spark, d):
+    finished = fx.task_rows(fx.stream(spark, d, "orders")).where("status = 'success' AND NOT processed_for_chaining")
+    with _work(spark) as folder:
+        last = _last_batch(
+            run_streams.start_chain(
+                finished, lambda: fx.tables(spark, d), f"{folder}/out", f"{folder}/checkpoint", lambda batch_id: NOW
+            )
+        )
+        schema = "job_id BIGINT, status STRING, trigger_type STRING, retry_count INT, created_at TIMESTAMP_NTZ, queue STRING"
+        return read_batches(spark, f"{folder}/out", schema, 0, last).drop("batch_id")
+
+
+@query
+def job_changes_stream(spark, d):
+    changes = fx.change_rows(fx.stream(spark, d, "customer"))
+    with _work(spark) as folder:
+        last = _last_batch(run_streams.start_job_changes(changes, folder, f"{folder}/checkpoint"))
+        state = run_streams.snapshot_state(folder, changes.select(*run_streams.SNAPSHOT_COLUMNS))
+        return run_streams.current_snapshot(state, spark, last)
+
+
+@query
+def transitions_stream(spark, d):
+    observed = fx.observation_rows(fx.stream(spark, d, "events"))
+    with _work(spark) as folder:
+        last = _last_batch(run_streams.start_transitions(observed, folder, f"{folder}/checkpoint"))
+        schema = "task_id BIGINT, ts TIMESTAMP_NTZ, seq BIGINT, status STRING, previous STRING, elapsed_s DOUBLE"
+        return read_batches(spark, f"{folder}/out", schema, 0, last).drop("batch_id")

@@ -429,4 +429,27 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT job_id, 'body is neither text nor object' FROM faulty WHERE action_type = 'http' AND job_id % 8 = 4
       UNION ALL SELECT job_id, 'duplicate name' FROM faulty WHERE name IN (SELECT name FROM faulty GROUP BY name HAVING count(*) > 1)
       UNION ALL SELECT job_id, 'Invalid cron expression' FROM faulty WHERE job_id % 7 IN (3, 4))"""),
+    # Streams
+    "message_actions": _sql("tasks", """SELECT o_orderkey AS seq, id AS task_id,
+      CASE WHEN id IS NULL THEN 'drop' WHEN o_orderkey % 8 = 3 OR status NOT IN ('pending', 'running') THEN 'delete'
+           WHEN status = 'pending' THEN 'run' ELSE 'keep' END AS action
+      FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 3 THEN 't-' || CAST(o_orderkey AS VARCHAR) WHEN o_orderkey % 8 = 3 THEN CAST(o_orderkey AS VARCHAR) END AS id FROM orders)
+      JOIN tasks ON task_id = o_orderkey"""),
+    "dedup_messages": "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS task_id FROM lineitem",
+    "throughput_stream": _sql("tasks", """SELECT date_trunc('minute', finished_at) AS window_start, date_trunc('minute', finished_at) + INTERVAL 1 MINUTE AS window_end,
+      count(*) FILTER (status = 'success') AS success, count(*) FILTER (status IN ('failed', 'final_failed')) AS failed
+      FROM tasks WHERE finished_at IS NOT NULL GROUP BY 1, 2"""),
+    "lease_monitor": """WITH e AS (SELECT user_id AS task_id, 'worker-' || CAST(user_id % 8 AS VARCHAR) AS worker_id, ts,
+        CASE WHEN event_id % 3 = 0 THEN 'claim' WHEN event_id % 7 = 0 THEN 'finish' ELSE 'beat' END AS kind FROM events),
+      starts AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY task_id ORDER BY ts) + INTERVAL 4 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
+      numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY task_id ORDER BY ts) AS n FROM starts),
+      sessions AS (SELECT task_id, worker_id, n, max(ts) AS last, max(ts) FILTER (kind = 'claim') AS claimed,
+        max(ts) FILTER (kind = 'finish') AS finished, max(ts) FILTER (kind <> 'finish') AS beat FROM numbered GROUP BY ALL)
+      SELECT task_id, worker_id, beat + INTERVAL 4 HOUR AS locked_until FROM sessions
+      WHERE claimed IS NOT NULL AND (finished IS NULL OR finished < claimed)
+        AND last + INTERVAL 4 HOUR <= (SELECT max(ts) FROM events)""",
+    "job_changes_stream": _sql("changes", """SELECT job_id, job_type, enabled, next_fire_at, updated_at FROM
+      (SELECT *, max(updated_at) OVER (PARTITION BY job_id) AS last FROM changes) WHERE updated_at = last AND enabled AND job_type = 'scheduled'"""),
 }
+ORACLE["chain_stream"] = ORACLE["dispatch_dependents"]
+ORACLE["transitions_stream"] = ORACLE["status_transitions"]
