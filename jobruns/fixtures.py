@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobruns.functions.times import truncated
 from jobruns.sources.tables import Tables
 
 NOW = "2001-08-02 00:00:00"
@@ -182,7 +183,7 @@ def queue_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per day and queue what a broker would report; some attributes are missing."""
     return (
         routed_tasks(spark, sf_dir)
-        .groupBy("queue", F.date_trunc("day", "created_at").alias("ts"))
+        .groupBy("queue", truncated("day", "created_at").alias("ts"))
         .agg(
             F.nullif(F.count_if(F.col("status") == "pending"), F.lit(0)).alias("visible"),
             F.nullif(F.count_if(F.col("status") == "running"), F.lit(0)).alias("not_visible"),

@@ -142,7 +142,7 @@ def firings_between(fields: str, start: str, end: str) -> Column:
 
 def next_after(fields: str, base: str) -> Column:
     """First firing strictly after time column ``base``; null when there is none within eight years."""
-    start = f"(date_trunc('minute', {base}) + INTERVAL '1' MINUTE)"
+    start = f"(CAST(date_trunc('minute', {base}) AS TIMESTAMP_NTZ) + INTERVAL '1' MINUTE)"
     today, minute = f"to_date({start})", f"(hour({start}) * 60 + minute({start}))"
     later_today = f"CASE WHEN {_matches_day('f', today)} THEN get(filter(t, n -> n >= {minute}), 0) END"
 

@@ -9,6 +9,14 @@ from jobruns.constants import OUTPUT_CAP, TRUNCATION_NOTICE
 
 _HEX32 = "^[0-9a-f]{32}$"
 
+_JSON_OBJECT = r"^[ \t\n\r]*\{"
+_JSON_NESTED = r"^[ \t\n\r]*[\{\[\"]"
+_JSON_SCALAR = (
+    r"^[ \t\n\r]*(-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity)[ \t\n\r]*$"
+)
+# Members that may be a number, a truth value or a text; their type has to be looked at.
+_FALSY_LOOKING = ("", "0", "0.0", "-0", "true", "false")
+
 
 def blank_to_null(col: Column) -> Column:
     """Strip white space at both ends; nothing left means null."""
@@ -81,21 +89,43 @@ def task_id_of(body: Column) -> Column:
 
     A body that is not JSON is the id itself, a JSON string is the id, a JSON object holds it
     under ``task_id``; any other JSON value, and an empty, zero or false id, carries none.
+    Only bodies that look like JSON are parsed.
     """
-    doc = F.try_parse_json(body)
-    kind = F.schema_of_variant(doc)
-    member = F.try_variant_get(doc, "$.task_id", "variant")
-    member_kind = F.schema_of_variant(member)
-    member_text = F.try_variant_get(doc, "$.task_id", "string")
-    from_object = (
-        F.when(member.isNull() | (member_kind == "VOID"), F.lit(None))
-        .when(member_kind == "BOOLEAN", F.when(member_text == "true", F.lit("True")))
-        .when(member_kind == "BIGINT", F.nullif(member_text, F.lit("0")))
-        .otherwise(member_text)
+    # Read as the only element of a list, so that text after the document makes it invalid.
+    listed = F.concat(F.lit("["), body, F.lit("]"))
+    objects = F.from_json(listed, "ARRAY<STRUCT<task_id: STRING>>", {"allowSingleQuotes": "false"})
+    member = F.get(objects, F.lit(0))["task_id"]
+    plain_member = (
+        body.rlike(_JSON_OBJECT) & (F.size(objects) == 1) & member.isNotNull() & ~member.isin(*_FALSY_LOOKING)
     )
     found = (
-        F.when(doc.isNull(), body)
-        .when(kind == "STRING", F.try_variant_get(doc, "$", "string"))
-        .when(kind.startswith("OBJECT"), from_object)
+        F.when(plain_member, member)
+        .when(body.rlike(_JSON_NESTED), _id_of_document(body))
+        .when(body.rlike(_JSON_SCALAR), F.lit(None))
+        .otherwise(body)
     )
     return F.nullif(found, F.lit(""))
+
+
+def _id_of_document(body: Column) -> Column:
+    def of(documents: Column) -> Column:
+        doc = F.try_variant_get(documents, "$[0]", "variant")
+        kind = F.schema_of_variant(doc)
+        member = F.try_variant_get(doc, "$.task_id", "variant")
+        member_kind = F.schema_of_variant(member)
+        member_text = F.try_variant_get(doc, "$.task_id", "string")
+        from_object = (
+            F.when(member.isNull() | (member_kind == "VOID"), F.lit(None))
+            .when(member_kind == "BOOLEAN", F.when(member_text == "true", F.lit("True")))
+            .when(member_kind == "STRING", member_text)
+            .otherwise(F.nullif(member_text, F.lit("0")))
+        )
+        return (
+            F.when(doc.isNull() | F.try_variant_get(documents, "$[1]", "variant").isNotNull(), body)
+            .when(kind == "STRING", F.try_variant_get(doc, "$", "string"))
+            .when(kind.startswith("OBJECT"), from_object)
+        )
+
+    # transform over one element: the document is parsed once for all its uses.
+    listed = F.concat(F.lit("["), body, F.lit("]"))
+    return F.get(F.transform(F.array(F.try_parse_json(listed)), of), F.lit(0))

@@ -44,6 +44,11 @@ def micros(col: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), col)
 
 
+def truncated(unit: str, col: Column | str) -> Column:
+    """Start of the minute, hour or day of a time."""
+    return F.date_trunc(unit, col).cast("timestamp_ntz")
+
+
 def completed_at(finished: str = "finished_at", created: str = "created_at") -> Column:
     """When a run counts as completed: its finish, or its creation while it has none."""
     return F.coalesce(F.col(finished), F.col(created))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobruns.constants import ACTION_TYPES, INVALID_CRON, POLICIES
-from jobruns.functions.cron import valid_cron
 from jobruns.functions.specs import (
     http_config,
     member_kind,
@@ -15,6 +14,7 @@ from jobruns.functions.specs import (
     shell_config,
 )
 from jobruns.functions.text import blank_to_null, env_ok
+from jobruns.operators.schedule import check_cron
 
 
 def with_runtime_spec(jobs: DataFrame, shell_enabled: bool = True) -> DataFrame:
@@ -88,7 +88,6 @@ def invalid_jobs(jobs: DataFrame) -> DataFrame:
     )
 
     expression = blank_to_null(F.col("cron_expression"))
-    crons = jobs.select("job_id", expression.alias("cron"))
-    bad = crons.select("cron").where("cron IS NOT NULL").distinct().where(~valid_cron("cron"))
-    wrong = crons.join(bad, "cron", "left_semi").select("job_id", F.lit(INVALID_CRON).alias("reason"))
+    with_cron = jobs.select("job_id", expression.alias("cron_expression")).where(F.col("cron_expression").isNotNull())
+    wrong = check_cron(with_cron).where(~F.col("cron_ok")).select("job_id", F.lit(INVALID_CRON).alias("reason"))
     return single.unionByName(duplicates).unionByName(wrong)

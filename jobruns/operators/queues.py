@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobruns.functions.times import truncated
 from jobruns.operators.slices import running_totals
 
 
@@ -16,7 +17,7 @@ def queue_depth_timeline(messages: DataFrame, bucket: str = "minute") -> DataFra
     op = F.col("op")
     waiting = F.when(op.isin("send", "return"), 1).when(op == "receive", -1).otherwise(0)
     in_flight = F.when(op == "receive", 1).when(op.isin("delete", "return"), -1).otherwise(0)
-    buckets = messages.groupBy("queue", F.date_trunc(bucket, "ts").alias("bucket")).agg(
+    buckets = messages.groupBy("queue", truncated(bucket, "ts").alias("bucket")).agg(
         F.sum(waiting).alias("visible"), F.sum(in_flight).alias("not_visible")
     )
     return running_totals(buckets, ["queue"], "bucket", ["visible", "not_visible"])

@@ -81,6 +81,21 @@ def _expressions(jobs: DataFrame) -> DataFrame:
     )
 
 
+def check_cron(jobs: DataFrame) -> DataFrame:
+    """``jobs`` with ``cron_ok``: is the expression acceptable? False without one."""
+    # Counted rather than filtered: a condition on the expression would be moved below the distinct.
+    checked = (
+        jobs.select("cron_expression")
+        .where(F.col("cron_expression").isNotNull())
+        .distinct()
+        .groupBy("cron_expression")
+        .agg((F.count_if(cron.valid_cron("cron_expression")) > 0).alias("cron_ok"))
+    )
+    return jobs.join(checked, "cron_expression", "left").withColumn(
+        "cron_ok", F.coalesce("cron_ok", F.lit(False))
+    )
+
+
 def next_fire(jobs: DataFrame, base: TimeLike) -> DataFrame:
     """``jobs`` with ``fires_at``: the first firing strictly after ``base``; null without a cron
     expression, with an invalid one, or with one that never matches a date."""
@@ -129,11 +144,13 @@ def fire_calendar(jobs: DataFrame, start: TimeLike, end: TimeLike) -> DataFrame:
             cron.minutes_of_day("fields").alias("minutes"),
         )
     )
+    # explode_outer: a plain explode makes Spark test the arrays for being empty, and it does so
+    # below the distinct, once per job. The nulls fall to the last condition.
     return (
         jobs.select("job_id", "cron_expression")
         .join(calendar, "cron_expression")
-        .select("job_id", "minutes", F.explode("days").alias("day"))
-        .select("job_id", "day", F.explode("minutes").alias("minute"))
+        .select("job_id", "minutes", F.explode_outer("days").alias("day"))
+        .select("job_id", "day", F.explode_outer("minutes").alias("minute"))
         .select("job_id", cron.at_minute("day", "minute").alias("fire_at"))
         .where((F.col("fire_at") > start) & (F.col("fire_at") <= end))
     )

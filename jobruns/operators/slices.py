@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobruns.functions.times import micros
+from jobruns.functions.times import micros, truncated
 
 ROWS_PER_SLICE = 1_000_000
 
@@ -70,7 +70,7 @@ def running_totals(
     Summed inside each span first, then over the span totals: the only window that crosses spans
     has one row per group and day.
     """
-    day = F.date_trunc(span, F.col(ts))
+    day = truncated(span, F.col(ts))
     sums = [F.sum(v).alias(f"_t_{v}") for v in values]
     totals = buckets.groupBy(*keys, day.alias("_span")).agg(*sums)
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,8 +79,10 @@ def running_totals(
     )
     inside = Window.partitionBy(*keys, "_span").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     return (
+        # Every bucket has its span in carry. As a left join it adds no condition to the buckets, which
+        # therefore come from the same exchange as the totals.
         buckets.withColumn("_span", day)
-        .join(carry, [*keys, "_span"])
+        .join(carry, [*keys, "_span"], "left")
         .select(*keys, ts, *[(F.sum(v).over(inside) + F.col(f"_b_{v}")).alias(v) for v in values])
     )
 
@@ -103,7 +105,13 @@ def trailing_sum(
         .withColumn("_slice", F.col("_slice") + F.col("_copy"))
         .withColumn("_at", at)
     )
-    frame = Window.partitionBy(*keys, "_slice").orderBy("_at").rangeBetween(-window + 1, 0)
+    # Both sums only grow while a slice is walked through, so the cost does not depend on how many
+    # rows a window holds; a sliding frame would add up every window anew.
+    walk = Window.partitionBy(*keys, "_slice").orderBy("_at")
+    until_now = F.sum(value).over(walk.rangeBetween(Window.unboundedPreceding, 0))
+    before = F.sum(value).over(walk.rangeBetween(Window.unboundedPreceding, -window))
     return (
-        spread.withColumn(name, F.sum(value).over(frame)).where(F.col("_copy") == 0).drop("_copy", "_at")
+        spread.withColumn(name, until_now - F.coalesce(before, F.lit(0)))
+        .where(F.col("_copy") == 0)
+        .drop("_copy", "_at")
     )

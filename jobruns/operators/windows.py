@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobruns.constants import SUCCESS, UNSUCCESSFUL
-from jobruns.functions.times import micros
+from jobruns.functions.times import micros, truncated
 from jobruns.operators.slices import (
     ROWS_PER_SLICE,
     assign_slices,
@@ -102,7 +102,7 @@ def cumulative_counts(tasks: DataFrame, bucket: str = "minute") -> DataFrame:
     buckets = (
         tasks.select(F.inline(F.array(created, finished)))
         .where(F.col("ts").isNotNull())
-        .groupBy(F.date_trunc(bucket, "ts").alias("bucket"))
+        .groupBy(truncated(bucket, "ts").alias("bucket"))
         .agg(*[F.sum(c).alias(c) for c in counts])
     )
     return running_totals(buckets, [], "bucket", counts)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from jobruns import fixtures as fx
 from jobruns.constants import EXTRA_WORKER_BANDS
-from jobruns.functions import cron, text
+from jobruns.functions import text
 from jobruns.functions.sizing import band, resource_units
 from jobruns.functions.times import as_time
 from jobruns.operators import (
@@ -450,7 +450,7 @@ def next_fire(spark, d):
 
 @query
 def valid_cron(spark, d):
-    return fx.faulty_jobs(spark, d).select("job_id", cron.valid_cron("cron_expression").alias("valid"))
+    return schedule.check_cron(fx.faulty_jobs(spark, d)).select("job_id", F.col("cron_ok").alias("valid"))
 
 
 @query
