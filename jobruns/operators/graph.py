@@ -14,9 +14,13 @@ from jobruns.session import cut_lineage
 
 UP, DOWN = "upstream_job_id", "downstream_job_id"
 
+# A result that grows by one piece per round is written out as one after this many.
+_PIECES = 8
 
-def _empty(df: DataFrame) -> bool:
-    return df.isEmpty()
+
+def _grown(found: DataFrame, piece: DataFrame, rounds: int) -> DataFrame:
+    found = found.unionByName(piece)
+    return cut_lineage(found) if rounds % _PIECES == 0 else found
 
 
 def descendants(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -24,7 +28,7 @@ def descendants(edges: DataFrame, sources: DataFrame) -> DataFrame:
     is part of the result only when it lies on a cycle or below another source."""
     edges = edges.select(UP, DOWN)
     frontier = cut_lineage(sources.select("job_id").distinct())
-    found = frontier.limit(0)
+    found, rounds = frontier.limit(0), 0
     while True:
         step = (
             edges.join(frontier.select(F.col("job_id").alias(UP)), UP, "left_semi")
@@ -33,28 +37,39 @@ def descendants(edges: DataFrame, sources: DataFrame) -> DataFrame:
             .join(found, "job_id", "left_anti")
         )
         frontier = cut_lineage(step)
-        if _empty(frontier):
+        if frontier.isEmpty():
             return found
-        found = found.unionByName(frontier)
+        rounds += 1
+        found = _grown(found, frontier, rounds)
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs ``(ancestor, descendant)``. Its size is what the question asks for: it grows with
-    the square of a component. Use :func:`descendants` or :func:`jobs_on_cycle` where they do."""
-    steps = edges.select(UP, DOWN).distinct()
-    frontier = cut_lineage(steps.select(F.col(UP).alias("ancestor"), F.col(DOWN).alias("descendant")))
-    found = frontier
+    the square of a component. Use :func:`descendants` or :func:`jobs_on_cycle` where they do.
+
+    Pairs carry their distance. When all pairs up to distance ``n`` are known, those at exactly
+    ``n`` followed by any known pair give all up to ``2n``, so the number of rounds is the logarithm
+    of the depth.
+    """
+    found = cut_lineage(
+        edges.select(F.col(UP).alias("ancestor"), F.col(DOWN).alias("descendant"), F.lit(1).alias("distance"))
+        .distinct()
+    )
+    known, rounds = 1, 0
     while True:
+        prefix = found.where(F.col("distance") == known).select("ancestor", F.col("descendant").alias("middle"))
+        suffix = found.select(F.col("ancestor").alias("middle"), "descendant", "distance")
         longer = (
-            frontier.join(steps, frontier["descendant"] == steps[UP])
-            .select("ancestor", F.col(DOWN).alias("descendant"))
-            .distinct()
+            prefix.join(suffix, "middle")
+            .groupBy("ancestor", "descendant")
+            .agg((F.min("distance") + known).alias("distance"))
             .join(found, ["ancestor", "descendant"], "left_anti")
         )
-        frontier = cut_lineage(longer)
-        if _empty(frontier):
-            return found
-        found = found.unionByName(frontier)
+        piece = cut_lineage(longer)
+        if piece.isEmpty():
+            return found.select("ancestor", "descendant")
+        known, rounds = known * 2, rounds + 1
+        found = _grown(found, piece, rounds)
 
 
 def _peel_once(edges: DataFrame) -> DataFrame:
@@ -69,7 +84,7 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     core = cut_lineage(edges.select(UP, DOWN).distinct())
     size = core.count()
     while size:
-        core = cut_lineage(_peel_once(core))
+        core = cut_lineage(_peel_once(_peel_once(core)))
         remaining = core.count()
         if remaining == size:
             break
@@ -92,7 +107,7 @@ def jobs_on_cycle(edges: DataFrame) -> DataFrame:
     """
     core = cyclic_core(edges)
     found = core.select(F.col(UP).alias("job_id")).limit(0)
-    while not _empty(core):
+    while not core.isEmpty():
         label = _largest_reaching(core)
         component = _component_of_roots(core, label)
         members = component.groupBy("label").agg(F.count("*").alias("size"))
@@ -133,7 +148,7 @@ def _largest_reaching(core: DataFrame) -> DataFrame:
         )
         changed = after.where("changed").select("job_id", "label")
         label = after.select("job_id", "label")
-        if _empty(changed):
+        if changed.isEmpty():
             return label
 
 
@@ -147,7 +162,7 @@ def _component_of_roots(core: DataFrame, label: DataFrame) -> DataFrame:
         .select(UP, DOWN, "label")
     )
     frontier = cut_lineage(label.where(F.col("job_id") == F.col("label")))
-    found = frontier
+    found, rounds = frontier, 0
     while True:
         step = (
             inner.join(frontier.select(F.col("job_id").alias(DOWN)), DOWN, "left_semi")
@@ -156,9 +171,10 @@ def _component_of_roots(core: DataFrame, label: DataFrame) -> DataFrame:
             .join(found, ["job_id", "label"], "left_anti")
         )
         frontier = cut_lineage(step)
-        if _empty(frontier):
+        if frontier.isEmpty():
             return found
-        found = found.unionByName(frontier)
+        rounds += 1
+        found = _grown(found, frontier, rounds)
 
 
 def proposed_graph(edges: DataFrame, proposed: DataFrame) -> DataFrame:
