@@ -67,7 +67,7 @@ def runs_without_job(tasks: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
-def adjacency(jobs: DataFrame, edges: DataFrame, chunk: int = 10_000) -> DataFrame:
+def adjacency(jobs: DataFrame, edges: DataFrame, chunk: int = 100_000) -> DataFrame:
     """Per job its sorted ``upstream_job_ids`` and ``downstream_job_ids``, empty when there are none.
 
     A job with more than ``chunk`` neighbours on one side gets several rows, numbered by ``part``,
@@ -90,7 +90,7 @@ def adjacency(jobs: DataFrame, edges: DataFrame, chunk: int = 10_000) -> DataFra
             )
         )
     )
-    # At most 2 * edges / chunk rows, whatever the graph looks like.
+    # At most 2 * edges / chunk rows, whatever the graph looks like, and so fit to be broadcast.
     hubs = (
         sides.groupBy("job_id", "up")
         .agg(F.count("*").alias("n"))
@@ -98,7 +98,7 @@ def adjacency(jobs: DataFrame, edges: DataFrame, chunk: int = 10_000) -> DataFra
         .groupBy("job_id")
         .agg(F.ceil(F.max("n") / chunk).cast("int").alias("parts"))
     )
-    sliced = sides.join(hubs, "job_id", "left").withColumn(
+    sliced = sides.join(F.broadcast(hubs), "job_id", "left").withColumn(
         "part",
         F.coalesce(F.pmod(F.xxhash64("other"), F.col("parts").cast("long")), F.lit(0)).cast("int"),
     )

@@ -24,23 +24,27 @@ def assign_slices(
     rows_per_slice: int = ROWS_PER_SLICE,
     min_micros: int = 1,
 ) -> DataFrame:
-    """Add ``_slice`` and its width ``_width`` in microseconds.
+    """Add ``_slice``, and for groups of more than ``rows_per_slice`` rows ``_slice_end`` and
+    ``_first`` (the group's first time), both in microseconds.
 
-    The width of a group's slices follows from its own row count and time span, so small groups
-    stay whole and a group with a third of all rows falls into many slices.
+    The slices of a large group are equally wide, their number following from its row count; every
+    other group is slice 0 as a whole. There are at most ``rows / rows_per_slice`` large groups,
+    a few thousand for billions of rows, which is why they may be broadcast.
     """
     at = micros(F.col(ts))
-    spans = df.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min(at).alias("_first"), F.max(at).alias("_last")
+    large = (
+        df.groupBy(*keys)
+        .agg(F.count("*").alias("_n"), F.min(at).alias("_first"), F.max(at).alias("_last"))
+        .where(F.col("_n") > rows_per_slice)
     )
-    pieces = F.ceil(F.col("_n") / rows_per_slice)
-    width = F.greatest(F.ceil((F.col("_last") - F.col("_first") + 1) / pieces), F.lit(min_micros)).cast("long")
-    spans = spans.select(*keys, "_first", width.alias("_width"))
+    width = F.ceil((F.col("_last") - F.col("_first") + 1) / F.ceil(F.col("_n") / rows_per_slice))
+    large = large.select(*keys, "_first", F.greatest(width, F.lit(min_micros)).cast("long").alias("_width"))
+    number = F.floor((at - F.col("_first")) / F.col("_width")).cast("long")
     return (
-        df.join(spans, list(keys))
-        .withColumn("_slice", F.floor((at - F.col("_first")) / F.col("_width")).cast("long"))
+        df.join(F.broadcast(large), list(keys), "left")
+        .withColumn("_slice", F.coalesce(number, F.lit(0)))
         .withColumn("_slice_end", F.col("_first") + (F.col("_slice") + 1) * F.col("_width"))
-        .drop("_first")
+        .drop("_width")
     )
 
 
@@ -48,15 +52,19 @@ def with_previous(sliced: DataFrame, keys: Sequence[str], order: Sequence[str],
     """``value`` of the preceding row of the same group, across slice borders."""
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     boxed = F.struct(F.col(value).alias("v"))
-    ends = sliced.groupBy(*keys, "_slice").agg(F.max(F.struct(*order, F.col(value).alias("_v"))).alias("_end"))
-    carry = ends.select(
-        *keys,
-        "_slice",
-        F.lag(F.struct(F.col("_end._v").alias("v"))).over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carry"),
+    # The last row of each slice, for large groups only: as few rows as there are slices.
+    ends = (
+        sliced.where(F.col("_slice_end").isNotNull())
+        .groupBy(*keys, "_slice")
+        .agg(F.max(F.struct(*order, F.col(value).alias("_v"))).alias("_end"))
     )
+    last = F.struct(F.col("_end._v").alias("v"))
+    carry = ends.select(
+        *keys, "_slice", F.lag(last).over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carry")
+    ).where(F.col("_carry").isNotNull())
     return (
         sliced.withColumn("_prev", F.lag(boxed).over(inside))
-        .join(carry, [*keys, "_slice"])
+        .join(F.broadcast(carry), [*keys, "_slice"], "left")
         .withColumn(name, F.coalesce("_prev", "_carry")["v"])
         .drop("_prev", "_carry")
     )

@@ -74,13 +74,15 @@ def status_transitions(observations: DataFrame, rows_per_slice: int = ROWS_PER_S
 
     ``observations``: ``task_id, ts, seq, status``; ``seq`` orders observations of one time."""
     sliced = assign_slices(observations, ["task_id"], "ts", rows_per_slice)
-    first = observations.groupBy("task_id").agg(F.min("ts").alias("_first"))
-    changed = with_previous(sliced, ["task_id"], ["ts", "seq"], "status", "previous").where(
-        ~F.col("status").eqNullSafe(F.col("previous"))
+    at = micros(F.col("ts"))
+    order = Window.partitionBy("task_id", "_slice").orderBy("ts", "seq")
+    changed = (
+        with_previous(sliced, ["task_id"], ["ts", "seq"], "status", "previous")
+        .withColumn("_first", F.coalesce("_first", F.first(at).over(order)))
+        .where(~F.col("status").eqNullSafe(F.col("previous")))
     )
-    elapsed = (micros(F.col("ts")) - micros(F.col("_first"))) / 1_000_000
-    return changed.join(first, "task_id").select(
-        "task_id", "ts", "seq", "status", "previous", elapsed.alias("elapsed_s")
+    return changed.select(
+        "task_id", "ts", "seq", "status", "previous", ((at - F.col("_first")) / 1_000_000).alias("elapsed_s")
     )
 
 
