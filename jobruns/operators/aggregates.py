@@ -211,6 +211,75 @@ def dispatch_accounting(jobs: DataFrame, tasks: DataFrame, runs_per_job: int = 1
     )
 
 
+def _figure(metric: str, kind: str, keep: str = "true", only: str = "true", n: str = "n", **labels: str) -> str:
+    """SQL of one figure a cell contributes its count to where ``keep`` holds, else zero; no row at
+    all where ``only`` does not hold."""
+    text = ", ".join(f"concat('{k}=', {v})" for k, v in sorted(labels.items())) or "''"
+    row = f"""struct('{metric}' AS metric, concat_ws(',', {text}) AS labels, '{kind}' AS type,
+        CASE WHEN {keep} THEN {n} ELSE 0L END AS value)"""
+    return row if only == "true" else f"CASE WHEN {only} THEN {row} END"
+
+
+def _inline(figures: list[str]) -> str:
+    return f"inline(array({', '.join(figures)}))"
+
+
+_SUCCEEDED, _FAILED = "status = 'success'", "status IN ('failed', 'final_failed')"
+_STORED_QUEUE = """CASE WHEN retried THEN 'retry'
+    WHEN trigger_type = 'scheduled' AND job_type = 'scheduled' THEN 'scheduled' ELSE 'normal' END"""
+_RUN_FIGURES = [
+    _figure("tasks_by_status_count", "gauge", status="status"),
+    _figure("tasks_recent_throughput_success_per_min", "gauge", f"recent AND {_SUCCEEDED}"),
+    _figure("tasks_recent_throughput_failed_per_min", "gauge", f"recent AND {_FAILED}"),
+    _figure("tasks_created_total", "counter"),
+    _figure("tasks_succeeded_total", "counter", _SUCCEEDED),
+    _figure("tasks_failed_total", "counter", _FAILED),
+    _figure("tasks_retried_total", "counter", "retried"),
+    _figure("tasks_final_failed_total", "counter", "status = 'final_failed'"),
+    _figure("tasks_by_trigger_total", "counter", trigger_type="trigger_type"),
+    # Only for runs whose job still exists.
+    _figure(
+        "tasks_by_job_and_trigger_count",
+        "gauge",
+        only="job_type IS NOT NULL",
+        job_type="job_type",
+        trigger_type="trigger_type",
+    ),
+    _figure(
+        "tasks_active_by_queue_count",
+        "gauge",
+        only="job_type IS NOT NULL AND status IN ('pending', 'running')",
+        queue=_STORED_QUEUE,
+        status="status",
+    ),
+]
+_JOB_FIGURES = [
+    _figure("jobs_total_count", "gauge"),
+    _figure("jobs_by_enabled_count", "gauge", enabled="CAST(enabled AS STRING)", job_type="job_type"),
+    _figure("scheduler_jobs_upcoming_count", "gauge", "armed"),
+]
+# Figures that are reported as 0 even over empty tables.
+_ALWAYS = [
+    *[
+        _figure(f"tasks_recent_throughput_{c}_per_min", "gauge", n="0L")
+        for c in ("success", "failed")
+    ],
+    *[
+        _figure(f"tasks_{c}_total", "counter", n="0L")
+        for c in ("created", "succeeded", "failed", "retried", "final_failed")
+    ],
+    *[
+        _figure(m, "gauge", n="0L")
+        for m in ("jobs_total_count", "scheduler_jobs_upcoming_count")
+    ],
+    *[
+        _figure("tasks_active_by_queue_count", "gauge", n="0L", queue=f"'{q}'", status=f"'{s}'")
+        for q in QUEUES
+        for s in ACTIVE
+    ],
+]
+
+
 def metrics_long(tasks: DataFrame, jobs: DataFrame, now: TimeLike, window_seconds: int = 60) -> DataFrame:
     """Every monitoring figure as ``(metric, labels, type, value)``.
 
@@ -218,105 +287,26 @@ def metrics_long(tasks: DataFrame, jobs: DataFrame, now: TimeLike, window_second
     their job, and reduced to a few hundred rows, from which all figures over runs are sums. The
     same goes for the jobs.
     """
-    retried = F.col("retry_count") > 0
     recent = F.coalesce(F.col("finished_at") > as_time(now) - seconds(window_seconds), F.lit(False))
-    properties = ["status", "trigger_type", "retried", "recent"]
     cells = (
-        tasks.groupBy("job_id", "status", "trigger_type", retried.alias("retried"), recent.alias("recent"))
+        tasks.groupBy(
+            "job_id", "status", "trigger_type", (F.col("retry_count") > 0).alias("retried"), recent.alias("recent")
+        )
         .agg(F.count("*").alias("n"))
         .join(jobs.select("job_id", "job_type"), "job_id", "left")
-        .groupBy("job_type", *properties)
+        .groupBy("job_type", "status", "trigger_type", "retried", "recent")
         .agg(F.sum("n").alias("n"))
     )
-
-    def figure(metric: str, kind: str, keep: Column | None = None, **labels: Column) -> Column:
-        """A figure that this cell contributes to, or a zero contribution to it."""
-        value = F.col("n") if keep is None else F.when(keep, F.col("n")).otherwise(0)
-        return F.struct(
-            F.lit(metric).alias("metric"),
-            F.concat_ws(",", *[F.concat(F.lit(f"{k}="), v) for k, v in sorted(labels.items())]).alias("labels"),
-            F.lit(kind).alias("type"),
-            value.alias("value"),
-        )
-
-    status, trigger = F.col("status"), F.col("trigger_type")
-    failed = status.isin(*UNSUCCESSFUL)
-    per_run = [
-        figure("tasks_by_status_count", "gauge", status=status),
-        figure("tasks_recent_throughput_success_per_min", "gauge", F.col("recent") & (status == SUCCESS)),
-        figure("tasks_recent_throughput_failed_per_min", "gauge", F.col("recent") & failed),
-        figure("tasks_created_total", "counter"),
-        figure("tasks_succeeded_total", "counter", status == SUCCESS),
-        figure("tasks_failed_total", "counter", failed),
-        figure("tasks_retried_total", "counter", F.col("retried")),
-        figure("tasks_final_failed_total", "counter", status == FINAL_FAILED),
-        figure("tasks_by_trigger_total", "counter", trigger_type=trigger),
-    ]
-    # Only for runs whose job still exists.
-    per_known_run = [
-        F.when(
-            F.col("job_type").isNotNull(),
-            figure("tasks_by_job_and_trigger_count", "gauge", job_type=F.col("job_type"), trigger_type=trigger),
-        ),
-        F.when(
-            F.col("job_type").isNotNull() & status.isin(*ACTIVE),
-            figure(
-                "tasks_active_by_queue_count",
-                "gauge",
-                queue=stored_queue(F.col("retried").cast("int"), trigger, F.col("job_type")),
-                status=status,
-            ),
-        ),
-    ]
-    over_runs = cells.select(F.explode(F.array(*per_run, *per_known_run)).alias("f")).where("f IS NOT NULL")
-
     armed = F.col("enabled") & (F.col("job_type") == SCHEDULED) & (F.col("next_fire_at") >= as_time(now))
     job_cells = jobs.groupBy("enabled", "job_type", F.coalesce(armed, F.lit(False)).alias("armed")).agg(
         F.count("*").alias("n")
     )
-    over_jobs = job_cells.select(
-        F.explode(
-            F.array(
-                figure("jobs_total_count", "gauge"),
-                figure(
-                    "jobs_by_enabled_count",
-                    "gauge",
-                    enabled=F.col("enabled").cast("string"),
-                    job_type=F.col("job_type"),
-                ),
-                figure("scheduler_jobs_upcoming_count", "gauge", F.col("armed")),
-            )
-        ).alias("f")
-    )
-
-    # Figures that are reported as 0 even over empty tables.
-    always = [
-        ("tasks_recent_throughput_success_per_min", "", "gauge"),
-        ("tasks_recent_throughput_failed_per_min", "", "gauge"),
-        *[(f"tasks_{c}_total", "", "counter") for c in ("created", "succeeded", "failed", "retried", "final_failed")],
-        ("jobs_total_count", "", "gauge"),
-        ("scheduler_jobs_upcoming_count", "", "gauge"),
-        *[("tasks_active_by_queue_count", f"queue={q},status={s}", "gauge") for q in QUEUES for s in ACTIVE],
-    ]
-    zeros = tasks.sparkSession.range(1, numPartitions=1).select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(m).alias("metric"),
-                        F.lit(labels).alias("labels"),
-                        F.lit(kind).alias("type"),
-                        F.lit(0).cast("long").alias("value"),
-                    )
-                    for m, labels, kind in always
-                ]
-            )
-        ).alias("f")
-    )
+    empty = tasks.sparkSession.range(1, numPartitions=1)
     return (
-        over_runs.unionByName(over_jobs)
-        .unionByName(zeros)
-        .select("f.*")
+        cells.selectExpr(_inline(_RUN_FIGURES))
+        .unionByName(job_cells.selectExpr(_inline(_JOB_FIGURES)))
+        .unionByName(empty.selectExpr(_inline(_ALWAYS)))
+        .where(F.col("metric").isNotNull())
         .groupBy("metric", "labels", "type")
         .agg(_number(F.sum("value")).alias("value"))
     )

@@ -31,9 +31,15 @@ def latest_run_per_job(tasks: DataFrame, job_ids: DataFrame | None = None) -> Da
 
 
 def latest_state(tasks: DataFrame, job_ids: DataFrame | None = None) -> DataFrame:
-    """Newest run of each job, only what readiness needs of it."""
-    return latest_run_per_job(
-        tasks.select("job_id", "task_id", "status", "created_at", "finished_at"), job_ids
+    """Newest run of each job, only what readiness needs of it.
+
+    A plain maximum: it is reduced in the tasks that read the runs and, unlike a window, needs no
+    second sort behind the exchange."""
+    if job_ids is not None:
+        tasks = tasks.join(job_ids.select("job_id").distinct(), "job_id", "left_semi")
+    newest = F.max(F.struct("created_at", "task_id", "status", "finished_at"))
+    return tasks.groupBy("job_id").agg(newest.alias("_run")).select(
+        "job_id", "_run.task_id", "_run.status", "_run.created_at", "_run.finished_at"
     )
 
 
@@ -112,7 +118,10 @@ def cumulative_counts(tasks: DataFrame, bucket: str = "minute") -> DataFrame:
 
 def first_claim_per_task(attempts: DataFrame) -> DataFrame:
     """One winner per task: the earliest attempt, then the smaller worker id, then ``seq``."""
-    return first_per_key(attempts, ["task_id"], F.col("attempted_at"), F.col("worker_id"), F.col("seq"))
+    first = F.min(F.struct("attempted_at", "worker_id", "seq"))
+    return attempts.groupBy("task_id").agg(first.alias("_first")).select(
+        "task_id", "_first.worker_id", "_first.seq", "_first.attempted_at"
+    )
 
 
 def latest_version_per_job(changes: DataFrame) -> DataFrame:

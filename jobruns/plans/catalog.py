@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from jobruns import fixtures as fx
 from jobruns.constants import EXTRA_WORKER_BANDS
-from jobruns.functions import text
+from jobruns.functions import specs, text
 from jobruns.functions.sizing import band, resource_units
 from jobruns.functions.times import as_time
 from jobruns.operators import (
@@ -110,6 +110,68 @@ def metrics_long(spark, d):
     return aggregates.metrics_long(fx.tasks(spark, d), fx.jobs(spark, d), NOW, 86_400)
 
 
+@query
+def append_tasks(spark, d):
+    due = schedule.dispatch_due(fx.jobs(spark, d), fx.tasks(spark, d), NOW)
+    folder = f"{shared_dir(spark)}/append-{uuid.uuid4()}"
+    for _ in range(2):
+        tables.append_tasks(due.new_runs, folder, 1, by=["queue"])
+    return _run_columns(spark.read.parquet(folder))
+
+
+# Scalar functions
+
+
+@query
+def normalise_uuid(spark, d):
+    digest = F.md5(F.col("c_name"))
+    spelled = F.when(F.col("c_custkey") % 3 == 0, F.upper(digest)).when(
+        F.col("c_custkey") % 3 == 1, F.concat(F.lit("urn:uuid:"), digest)
+    ).otherwise(F.col("c_name"))
+    return fx.raw(spark, d, "customer").select("c_custkey", text.normalise_uuid(spelled).alias("id"))
+
+
+@query
+def run_key(spark, d):
+    key = text.run_key(F.col("job_id"), F.lit("scheduled"), as_time(NOW), F.lit(0))
+    return fx.jobs(spark, d).select("job_id", key.alias("task_id"))
+
+
+@query
+def key_value_map(spark, d):
+    items = F.array(
+        F.concat(F.lit("NAME="), "s_name"), F.lit("=lost"), F.concat(F.lit("Q=a="), "s_suppkey"), F.lit("FLAG"),
+        F.lit("NAME=last"),
+    )
+    env = text.key_value_map(items)
+    return fx.raw(spark, d, "supplier").select(
+        "s_suppkey", env["NAME"].alias("name"), env["Q"].alias("q"), env["FLAG"].alias("flag"), F.size(env).alias("keys")
+    )
+
+
+@query
+def decode_text(spark, d):
+    stored = F.concat(F.encode("text", "UTF-8"), F.lit(b"\xff"))
+    decoded = text.decode_text(stored)
+    return fx.raw(spark, d, "documents").select("doc_id", F.md5(decoded).alias("md5"))
+
+
+@query
+def env_key_ok(spark, d):
+    return fx.raw(spark, d, "orders").select(
+        "o_orderkey", text.env_key_ok(F.regexp_replace("o_orderpriority", "^[1-3]-", "")).alias("ok")
+    )
+
+
+@query
+def http_config(spark, d):
+    c = specs.http_config(F.col("action_config"))
+    return fx.edited_jobs(spark, d).where("action_type = 'http'").select(
+        "job_id", c["method"].alias("method"), c["url"].alias("url"), F.size(c["headers"]).alias("headers"),
+        c["timeout_seconds"].alias("timeout_seconds"),
+    )
+
+
 # Projections, filters, paging
 
 

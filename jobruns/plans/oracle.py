@@ -199,6 +199,20 @@ ORACLE: dict[str, str] = {
         LEFT JOIN (SELECT {_QUEUE} AS q, status AS s, count(*) AS n FROM tasks JOIN jobs USING (job_id) WHERE status IN ('pending', 'running') GROUP BY 1, 2) c ON c.q = b.q AND c.s = b.s
       UNION ALL SELECT 'tasks_by_job_and_trigger_count', 'job_type=' || job_type || ',trigger_type=' || trigger_type, 'gauge', count(*)
         FROM tasks JOIN jobs USING (job_id) GROUP BY job_type, trigger_type)"""),
+    "append_tasks": _sql("due", f"SELECT job_id, {_new_run('scheduled', 'scheduled')} FROM due WHERE NOT blocked"),
+    # Scalar functions
+    "normalise_uuid": """SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN
+        h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] END AS id
+      FROM (SELECT c_custkey, md5(c_name) AS h FROM customer)""",
+    "run_key": _sql("jobs", """SELECT job_id, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS task_id
+      FROM (SELECT job_id, sha256(job_id || '|scheduled|2001-08-02 00:00:00|0') AS h FROM jobs)"""),
+    "key_value_map": "SELECT s_suppkey, 'last' AS name, 'a=' || s_suppkey AS q, '' AS flag, 3 AS keys FROM supplier",
+    "decode_text": "SELECT doc_id, md5(text || chr(65533)) AS md5 FROM documents",
+    "env_key_ok": """SELECT o_orderkey, regexp_full_match(regexp_replace(o_orderpriority, '^[1-3]-', ''), '[A-Za-z_][A-Za-z0-9_]*') AS ok FROM orders""",
+    "http_config": _sql("jobs", """SELECT job_id, CASE WHEN job_id % 4 = 0 THEN 'GET' ELSE 'post' END AS method,
+      CASE WHEN job_id % 4 = 0 THEN 'https://new.example/' ELSE 'https://svc.example/' END || job_id AS url,
+      CASE WHEN job_id % 4 = 0 THEN 2 ELSE 1 END AS headers, CASE WHEN job_id % 4 = 0 THEN 30 ELSE c_nationkey + 1 END AS timeout_seconds
+      FROM jobs WHERE job_id % 4 = 0 OR action_type = 'http'"""),
     # Projections, filters, paging
     "filter_jobs": _sql("jobs", """SELECT job_id, name, enabled, action_type, concurrency_policy, action_config FROM jobs
       WHERE enabled AND action_type = 'http' AND concurrency_policy = 'forbid' AND contains(lower(name), 'omer#')"""),
