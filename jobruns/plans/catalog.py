@@ -192,6 +192,12 @@ def page(spark, d):
     return select.page(fx.jobs(spark, d), 3, 20).select("job_id", "name", "created_at")
 
 
+@query
+def deep_page(spark, d):
+    runs_of_all = fx.tasks(spark, d).select("task_id", "job_id", "created_at")
+    return select.page(runs_of_all, 7, 50, key="task_id", deep=300)
+
+
 @query
 def page_envelope(spark, d):
     return select.page_envelope(select.filter_jobs(fx.jobs(spark, d), enabled=True, action_type="shell"), 3, 20)

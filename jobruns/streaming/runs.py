@@ -21,6 +21,16 @@ from jobruns.streaming.batches import KeyedState, watermarked, write_batch
 SNAPSHOT_COLUMNS = ("job_id", "job_type", "enabled", "next_fire_at", "updated_at")
 
 
+def _start(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Run ``batch`` on every micro-batch; without a trigger, on all input there is and then stop."""
+    return (
+        stream.writeStream.foreachBatch(batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def throughput(
     finished: DataFrame, width: str = "1 minute", slide: str | None = None, delay: str = "1 minute"
 ) -> DataFrame:
@@ -75,6 +85,7 @@ def start_chain(
     path: str,
     checkpoint: str,
     now: Callable[[int], TimeLike],
+    **trigger,
 ) -> StreamingQuery:
     """Dispatch the dependents of each batch of finished runs. The tables are read again for every
     batch, so that runs appended since count."""
@@ -86,12 +97,7 @@ def start_chain(
         ready = generation_guard(ready_jobs(below, tables.edges, latest), latest)
         append_tasks(new_runs(ready, DEPENDENCY, now(batch_id)), path, batch_id)
 
-    return (
-        finished.writeStream.foreachBatch(batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _start(finished, batch, checkpoint, trigger)
 
 
 def snapshot_state(path: str, columns: DataFrame) -> KeyedState:
@@ -104,7 +110,7 @@ def current_snapshot(state: KeyedState, spark: SparkSession, batch_id: int) -> D
     return state.before(spark, batch_id + 1).where(F.col("enabled"))
 
 
-def start_job_changes(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def start_job_changes(changes: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep the last version of every cron job of a change feed; see :func:`current_snapshot`.
 
     Disabled jobs are kept as such, so that an older version that is read again cannot bring one
@@ -119,15 +125,10 @@ def start_job_changes(changes: DataFrame, path: str, checkpoint: str) -> Streami
         newest = first_per_key(batch_rows.unionByName(known), ["job_id"], F.desc("updated_at"))
         state.write(newest, before, batch_id)
 
-    return (
-        columns.writeStream.foreachBatch(batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _start(columns, batch, checkpoint, trigger)
 
 
-def start_transitions(observations: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def start_transitions(observations: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Status changes per run across batches: ``{path}/out`` gets the transitions, ``{path}/state``
     the last observation of each run.
 
@@ -163,9 +164,4 @@ def start_transitions(observations: DataFrame, path: str, checkpoint: str) -> St
         )
         state.write(touched, before, batch_id)
 
-    return (
-        observations.writeStream.foreachBatch(batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _start(observations, batch, checkpoint, trigger)

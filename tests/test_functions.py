@@ -134,6 +134,15 @@ def test_filters_and_paging(table):
         select.page(jobs, 1, 101)
 
 
+@pytest.mark.parametrize("page", [1, 2, 9, 10, 11])
+def test_deep_pages_equal_plain_ones(spark, page):
+    rows = spark.range(97).selectExpr(
+        "id AS job_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + INTERVAL '1' SECOND * ((id * 37) % 11 * 20000 + id % 3) AS created_at"
+    )
+    plain = [r.job_id for r in select.page(rows, page, 10).collect()]
+    assert [r.job_id for r in select.page(rows, page, 10, deep=0).collect()] == plain
+
+
 def test_adjacency_of_a_hub_is_split_and_whole(spark):
     edges = spark.createDataFrame([(1, i) for i in range(2, 502)] + [(2, 3)], "upstream_job_id long, downstream_job_id long")
     jobs = spark.createDataFrame([(i,) for i in (1, 2, 3, 999)], "job_id long")
