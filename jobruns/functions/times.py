@@ -45,8 +45,16 @@ def micros(col: Column) -> Column:
 
 
 def truncated(unit: str, col: Column | str) -> Column:
-    """Start of the minute, hour or day of a time."""
-    return F.date_trunc(unit, col).cast("timestamp_ntz")
+    """Start of the minute, hour or day of a time, in whatever zone the session is."""
+    col = F.col(col) if isinstance(col, str) else col
+    day = F.to_date(col).cast("timestamp_ntz")
+    if unit == "day":
+        return day
+    if unit == "hour":
+        return day + F.expr("INTERVAL '1' HOUR") * F.hour(col)
+    if unit == "minute":
+        return day + F.expr("INTERVAL '1' MINUTE") * (F.hour(col) * 60 + F.minute(col))
+    raise ValueError(f"unit must be minute, hour or day, not {unit}")
 
 
 def completed_at(finished: str = "finished_at", created: str = "created_at") -> Column:

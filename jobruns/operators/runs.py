@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobruns.constants import (
@@ -22,11 +22,11 @@ from jobruns.constants import (
     TASK_NOT_FOUND,
     UNSUCCESSFUL,
 )
-from jobruns.functions.text import truncate_output
+from jobruns.functions.text import decode_text, truncate_output
 from jobruns.functions.times import TimeLike, as_time, completed_at, seconds
 from jobruns.operators.graph import DOWN, UP, candidates
 from jobruns.operators.joins import upstream_state
-from jobruns.operators.schedule import Verdict, new_runs
+from jobruns.operators.schedule import Verdict, each_request, new_runs
 from jobruns.operators.select import expired_running, unchained_successes
 from jobruns.operators.windows import first_claim_per_task, latest_state
 
@@ -113,10 +113,14 @@ def recover_orphans(tasks: DataFrame, now: TimeLike) -> DataFrame:
 def apply_results(
     results: DataFrame, tasks: DataFrame, jobs: DataFrame, now: TimeLike, cap: int = OUTPUT_CAP
 ) -> Outcome:
-    """Outcome of executed runs, ``results``: ``task_id, success, stdout, stderr``.
+    """Outcome of executed runs, ``results``: ``task_id, success, stdout, stderr``; outputs as text or as
+    the bytes that were captured.
 
     A failure retries until the job's ``max_retries`` are used up, so a job takes at most
     ``max_retries + 1`` attempts. A run whose job is gone gives up at once."""
+    for output in ("stdout", "stderr"):
+        if dict(results.dtypes)[output] == "binary":
+            results = results.withColumn(output, decode_text(F.col(output)))
     known = tasks.select("task_id", "job_id", "trigger_type", "retry_count").join(results, "task_id")
     limits = jobs.select("job_id", F.col("max_retries").alias("_limit"))
     judged = known.join(limits, "job_id", "left")
@@ -142,21 +146,23 @@ def apply_results(
     return Outcome(finished, retry_runs(again, now))
 
 
-def retry_runs(failed: DataFrame, now: TimeLike) -> DataFrame:
+def retry_runs(failed: DataFrame, now: TimeLike, *key: Column) -> DataFrame:
     """The next attempt of each given run; the run it repeats is part of its id."""
-    return new_runs(failed, F.col("trigger_type"), now, F.col("retry_count") + 1, F.col("task_id"))
+    return new_runs(failed, F.col("trigger_type"), now, F.col("retry_count") + 1, F.col("task_id"), *key)
 
 
 def manual_retry(requests: DataFrame, tasks: DataFrame, now: TimeLike) -> Verdict:
-    """A new attempt of each requested run that failed; ``max_retries`` does not limit it."""
-    asked = requests.select("task_id").distinct()
+    """A new attempt of each requested run that failed; ``max_retries`` does not limit it.
+
+    ``requests``: ``task_id`` and, if a run may be asked for twice, ``request_id``."""
+    asked, key = each_request(requests, "task_id")
     found = asked.join(tasks.select("task_id", "job_id", "status", "trigger_type", "retry_count"), "task_id", "left")
     failed = F.col("status").isin(*UNSUCCESSFUL)
     refused = found.where(F.col("status").isNull() | ~failed).select(
         "task_id",
         F.when(F.col("status").isNull(), TASK_NOT_FOUND).otherwise(NOT_RETRYABLE).alias("reason"),
     )
-    return Verdict(retry_runs(found.where(failed), now), refused)
+    return Verdict(retry_runs(found.where(failed), now, *key), refused)
 
 
 # Dependencies

@@ -228,10 +228,18 @@ def dispatch_on_enable(before: DataFrame, after: DataFrame, edges: DataFrame, no
     return dispatch_one_time(switched, edges, now)
 
 
+def each_request(requests: DataFrame, on: str) -> tuple[DataFrame, list[Column]]:
+    """The requests to serve, and what tells two for the same thing apart: their ``request_id``; without
+    that column equal requests are one."""
+    if "request_id" in requests.columns:
+        return requests, [F.col("request_id")]
+    return requests.select(on).distinct(), []
+
+
 def trigger(requests: DataFrame, jobs: DataFrame, now: TimeLike) -> Verdict:
     """A manual run per requested job; whether it is enabled, its policy and its upstreams do not
     matter. ``requests``: ``job_id`` and, if a job may be asked for twice, ``request_id``."""
-    key = [F.col("request_id")] if "request_id" in requests.columns else []
+    requests, key = each_request(requests, "job_id")
     known = jobs.select("job_id")
     return Verdict(
         new_runs(requests.join(known, "job_id", "left_semi"), MANUAL, now, None, *key),

@@ -106,6 +106,21 @@ def test_outcomes_and_retries(make, table):
     assert values(out.retries, "job_id", "status", "trigger_type", "retry_count", "queue") == [(1, "pending", "dependency", 1, "retry")]
 
 
+def test_captured_bytes_become_text(make, table):
+    t = make([job(1)], [task(1, 1, "running")])
+    results = table("task_id long, success boolean, stdout binary, stderr string", (1, True, bytearray(b"a\xffb"), None))
+    assert values(runs.apply_results(results, t.tasks, t.jobs, NOW).finished, "stdout") == [("a\ufffdb",)]
+
+
+def test_equal_requests_without_an_id_are_one(make, table):
+    t = make([job(1)], [task(1, 1, "failed")])
+    twice = table("job_id long", (1,), (1,))
+    assert schedule.trigger(twice, t.jobs, NOW).new_runs.count() == 1
+    retries = table("task_id long, request_id long", (1, 1), (1, 2))
+    assert runs.manual_retry(retries, t.tasks, NOW).new_runs.select("task_id").distinct().count() == 2
+    assert runs.manual_retry(retries.drop("request_id"), t.tasks, NOW).new_runs.count() == 1
+
+
 def test_a_chain_takes_max_retries_plus_one_attempts(make, table):
     t = make([job(1, retries=3)])
     tasks = table(TASK, task(1, 1, "running"))
