@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from jobruns.constants import (
     ACTIVE,
     DEPTH_PER_WORKER,
-    FAILED,
     FINAL_FAILED,
     NORMAL,
     PENDING_BANDS,

@@ -23,8 +23,17 @@ SNAPSHOT_COLUMNS = ("job_id", "job_type", "enabled", "next_fire_at", "updated_at
 
 def _start(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict) -> StreamingQuery:
     """Run ``batch`` on every micro-batch; without a trigger, on all input there is and then stop."""
+
+    def kept(rows: DataFrame, batch_id: int) -> None:
+        # A batch is used several times; without this its source would be read each time.
+        rows.persist()
+        try:
+            batch(rows, batch_id)
+        finally:
+            rows.unpersist()
+
     return (
-        stream.writeStream.foreachBatch(batch)
+        stream.writeStream.foreachBatch(kept)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

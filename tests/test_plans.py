@@ -48,3 +48,34 @@ def test_runs_are_counted_before_the_join_with_jobs(spark):
     text = plan(QUERIES["runs_by_type_trigger"](spark, SF))
     join = text.index("Join")
     assert "partial_count" in text[join:]
+
+
+def test_a_hot_job_is_split_in_the_join(spark):
+    """A third of all runs belong to job 1; sort-merge splits their partition and loses no row."""
+    from jobruns.operators import joins
+
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64kb",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32kb",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        tasks = spark.range(90_000, numPartitions=8).selectExpr(
+            "id AS task_id", "CASE WHEN id % 3 = 0 THEN 1 ELSE id % 5000 END AS job_id", "md5(CAST(id AS STRING)) AS status"
+        )
+        jobs = spark.range(5000).selectExpr("id AS job_id", "CAST(id AS STRING) AS name")
+        df = joins.runs_with_jobs(tasks, jobs)
+        assert len(df.collect()) == 90_000
+        assert "skew=true" in plan(df)
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
