@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from jobruns.llm import exact, mixing, shards
+from jobruns.llm import exact, mixing, quality, shards, simhash, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
+        simhash.op1_simhash,
+        warc.op2_warc,
         exact.op3_exact_dedup,
         mixing.op4_mixing,
+        quality.op7_quality,
         shards.op9_shards,
     )
 }
 
 ORACLE = {
+    "op2_warc": warc.SQL,
     "op3_exact_dedup": exact.SQL,
     "op4_mixing": mixing.SQL,
 }
