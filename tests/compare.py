@@ -28,7 +28,7 @@ def _canonical(df: pd.DataFrame) -> pd.DataFrame:
     """Columns by name, every value as text, rows in order."""
 
     def show(v) -> str:
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "<null>"
         if isinstance(v, (pd.Timestamp,)) or hasattr(v, "isoformat"):
             return pd.Timestamp(v).isoformat()
