@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobruns.llm import bpe, exact, mixing, quality, shards, simhash, warc
+from jobruns.llm import bpe, exact, lm, mixing, quality, shards, simhash, warc
 
 QUERIES = {
     f.__name__: f
@@ -14,6 +14,7 @@ QUERIES = {
         quality.op7_quality,
         bpe.op8_bpe,
         shards.op9_shards,
+        lm.op10_lm,
     )
 }
 
