@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobruns.llm import bpe, exact, lm, mixing, quality, shards, simhash, warc
+from jobruns.llm import bpe, exact, lm, mixing, mtree, quality, shards, simhash, warc
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         warc.op2_warc,
         exact.op3_exact_dedup,
         mixing.op4_mixing,
+        mtree.op5_mtree,
         quality.op7_quality,
         bpe.op8_bpe,
         shards.op9_shards,
@@ -22,4 +23,5 @@ ORACLE = {
     "op2_warc": warc.SQL,
     "op3_exact_dedup": exact.SQL,
     "op4_mixing": mixing.SQL,
+    "op5_mtree": mtree.SQL,
 }
