@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobruns.llm import bpe, exact, lm, mixing, mtree, quality, shards, simhash, warc
+from jobruns.llm import bpe, exact, licences, lm, mixing, mtree, quality, shards, simhash, warc
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         exact.op3_exact_dedup,
         mixing.op4_mixing,
         mtree.op5_mtree,
+        licences.op6_licences,
         quality.op7_quality,
         bpe.op8_bpe,
         shards.op9_shards,

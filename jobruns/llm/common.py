@@ -34,6 +34,11 @@ def filled(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def text_hash(text: str = "text") -> Column:
+    """A hash of the whole text; with the id it names a row, whatever else repeats."""
+    return F.xxhash64(filled(text))
+
+
 def id_bucket(key: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.pmod(F.crc32(filled(F.col(key).cast("string")).cast("binary")), F.lit(n))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobruns.llm.common import SPACE, filled, table, written
+from jobruns.llm.common import SPACE, filled, table, text_hash, written
 
 KEYS_PER_BUCKET = 20_000
 
@@ -29,9 +29,10 @@ INDEX = (
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, digest, points): SHA-256 of the text without blanks, and the text's code points."""
+    """(doc_id, text_hash, digest, points): SHA-256 of the text without blanks, and the text's code points."""
     return docs.select(
-        F.col(key).alias("doc_id"),
+        F.col(key).cast("long").alias("doc_id"),
+        text_hash(text).alias("text_hash"),
         F.unhex(F.sha2(F.regexp_replace(filled(text), SPACE, "").cast("binary"), 256)).alias("digest"),
         F.char_length(filled(text)).cast("long").alias("points"),
     )
@@ -162,7 +163,7 @@ def merge_arrivals(index: DataFrame, arrivals: DataFrame, buckets: int) -> DataF
 
 
 def exact_dedup(history: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """One row per row of either frame of ``digests``: (doc_id, keep_id, group_size, kept, text_sha256).
+    """One row per row of either frame of ``digests``: its columns but the digest, keep_id, group_size, kept and text_sha256.
 
     A null text counts as empty. ``kept`` marks rows with the id of the row that stays: rows repeated with
     their id are one document, and all of them are marked. A row without id stays only if no row of its
@@ -175,6 +176,8 @@ def exact_dedup(history: DataFrame, arrivals: DataFrame) -> DataFrame:
     keys = history.unionByName(arrivals)
     return keys.join(found.select("digest", "keep_id", "group_size"), "digest").select(
         "doc_id",
+        "text_hash",
+        "points",
         "keep_id",
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -192,7 +195,8 @@ def dedup_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 SQL = """

@@ -148,6 +148,18 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return slim.mapInArrow(batches, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows whose score reaches the threshold, with all their columns."""
+    at = docs.columns.index(text)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            scores = model.scores([(t.as_py() or "").encode() for t in part.column(at)])
+            yield part.filter(pa.array(scores >= THRESHOLD))
+
+    return docs.mapInArrow(batches, docs.schema)
+
+
 def rated(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
     return score(docs, fit(docs, labels, key, text), key, text).select(

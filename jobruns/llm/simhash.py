@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobruns.llm.common import filled, table, written
+from jobruns.llm.common import filled, table, text_hash, written
 from jobruns.llm.components import components
 
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -46,16 +46,16 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [fingerprint(t.as_py() or b"") for t in batch.column(1)]
-        yield pa.record_batch(
-            [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "fp"]
-        )
+        prints = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], names=["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row; null texts count as empty."""
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), filled(text).cast("binary").alias("text"))
-    return slim.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    """(doc_id, text_hash, fp) for every row; null texts count as empty."""
+    slim = docs.select(
+        F.col(key).cast("long").alias("doc_id"), text_hash(text).alias("text_hash"), filled(text).cast("binary").alias("text")
+    )
+    return slim.mapInArrow(_fingerprint_batches, "doc_id long, text_hash long, fp long")
 
 
 QUARTERS = [f"q{i}" for i in range(4)]
@@ -139,10 +139,10 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row.
+    """(doc_id, text_hash, fingerprint, component_id, group) for every row.
 
     ``component_id`` is the smallest id reachable over links of fingerprints that differ in at most three bits
-    (null where the component has no id). Null and empty texts have fingerprint 0 and are linked like any
+    (null where the component has no id); ``group`` is the same for the rows of a component and no others. Null and empty texts have fingerprint 0 and are linked like any
     other; repeated rows come back repeated; an empty frame gives an empty result.
     """
     docs = written(fingerprints(docs, key, text), "prints")
@@ -150,11 +150,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     roots = components(links(prints.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
+    named = rooted.join(ids, "root").select("fp", "component_id", F.col("root").alias("group"))
     return docs.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group"
     )
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "fingerprint", "component_id")
