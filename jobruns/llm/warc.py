@@ -187,22 +187,22 @@ def _chain(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray
 
 
 def _exits(rows: pa.Table) -> pa.Table:
-    """For every candidate, the offset outside its block that its chain leads to."""
+    """For every candidate, the offset outside its block that its chain leads to (-1: it ends at what is no record)."""
     rows, at, to, row = _chain(rows)
     out = to.copy()
     for i in range(len(at) - 1, -1, -1):
         if row[i] > i:
             out[i] = out[row[i]]
-    valid = out >= 0
+    valid = to >= 0
     return pa.table({"file": rows["file"].filter(pa.array(valid)), "at": at[valid], "to": out[valid]})
 
 
 def _owners(rows: pa.Table) -> pa.Table:
     """For every chunk of a block the true record it belongs to, where that begins in this block."""
-    rows, at, _, row = _chain(rows)
+    rows, at, to, row = _chain(rows)
     true = np.zeros(len(at), bool)
     i = int(np.searchsorted(at, rows["entry"][0].as_py())) if rows["entry"][0].is_valid else -1
-    while i >= 0:
+    while i >= 0 and to[i] >= 0:
         true[i] = True
         i = int(row[i]) if row[i] > i else -1
     owner = np.maximum.accumulate(np.where(true, at, -1))
