@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobruns.functions.times import truncated
+from jobruns.session import shared_dir
 from jobruns.sources.tables import Tables
 
 NOW = "2001-08-02 00:00:00"
@@ -16,13 +19,15 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table as a stream; the pattern matches a file as well as a folder of files."""
-    return (
-        spark.readStream.schema(raw(spark, sf_dir, name).schema)
-        .option("maxFilesPerTrigger", 1000)
-        .parquet(f"{sf_dir}/{name}.parquet*")
-    )
+def stream(spark: SparkSession, sf_dir: str, name: str, files: int = 4) -> DataFrame:
+    """A base table as a stream of ``files`` micro-batches. Rows are dealt over the files by hash, so
+    that no file is older than another and what belongs together arrives apart."""
+    table = raw(spark, sf_dir, name)
+    folder = f"{shared_dir(spark)}/feed-{uuid.uuid4()}"
+    part = F.pmod(F.xxhash64(*table.columns), F.lit(files)).cast("int")
+    for n in range(files):
+        table.where(part == n).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from jobruns.session import shared_dir
 from jobruns.sources import messages, tables
 from jobruns.streaming import messages as message_streams
 from jobruns.streaming import runs as run_streams
-from jobruns.streaming.batches import read_batches, write_batch
+from jobruns.streaming.batches import columns_of, current, read_batches, write_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -768,8 +768,8 @@ def invalid_jobs(spark, d):
     return definitions.invalid_jobs(fx.faulty_jobs(spark, d))
 
 
-# Streams: each runs over a base table read as a stream until its input is used up, and returns what
-# was written.
+# Streams: the base table is written as several files, out of the order of time, and read one file per
+# micro-batch until all are used up; the result is what was written.
 
 
 @contextmanager
@@ -832,14 +832,27 @@ def throughput_stream(spark, d):
         return spark.read.schema(finished.schema).parquet(f"{folder}/out/batch_id={_last_batch(stream)}")
 
 
+def _of_keys(spark: SparkSession, start, stream: DataFrame, keys, schema: str) -> DataFrame:
+    """The outcome of a stream that is worked on key by key."""
+    with _work(spark) as folder:
+        last = _last_batch(start(stream, folder, f"{folder}/checkpoint"))
+        return current(spark, folder, keys, schema, last)
+
+
 @query
 def lease_monitor(spark, d):
-    return _appended(spark, run_streams.lease_monitor(fx.lease_rows(fx.stream(spark, d, "events")), 4 * 3600))
+    events = fx.lease_rows(fx.stream(spark, d, "events"))
+
+    def start(stream, folder, checkpoint):
+        return run_streams.start_leases(stream, folder, checkpoint, 4 * 3600)
+
+    schema = "task_id BIGINT, worker_id STRING, locked_until TIMESTAMP_NTZ"
+    return _of_keys(spark, start, events, run_streams.LEASE_KEYS, schema)
 
 
 @query
 def chain_stream(spark, d):
-    finished = fx.task_rows(fx.stream(spark, d, "orders")).where("status = 'success' AND NOT processed_for_chaining")
+    finished = fx.task_rows(fx.stream(spark, d, "orders"))
     with _work(spark) as folder:
         last = _last_batch(
             run_streams.start_chain(
@@ -853,16 +866,12 @@ def chain_stream(spark, d):
 @query
 def job_changes_stream(spark, d):
     changes = fx.change_rows(fx.stream(spark, d, "customer"))
-    with _work(spark) as folder:
-        last = _last_batch(run_streams.start_job_changes(changes, folder, f"{folder}/checkpoint"))
-        state = run_streams.snapshot_state(folder, changes.select(*run_streams.SNAPSHOT_COLUMNS))
-        return run_streams.current_snapshot(state, spark, last)
+    schema = columns_of(changes.select(*run_streams.SNAPSHOT_COLUMNS))
+    return _of_keys(spark, run_streams.start_job_changes, changes, ["job_id"], schema).where("enabled")
 
 
 @query
 def transitions_stream(spark, d):
     observed = fx.observation_rows(fx.stream(spark, d, "events"))
-    with _work(spark) as folder:
-        last = _last_batch(run_streams.start_transitions(observed, folder, f"{folder}/checkpoint"))
-        schema = "task_id BIGINT, ts TIMESTAMP_NTZ, seq BIGINT, status STRING, previous STRING, elapsed_s DOUBLE"
-        return read_batches(spark, f"{folder}/out", schema, 0, last).drop("batch_id")
+    schema = "task_id BIGINT, ts TIMESTAMP_NTZ, seq BIGINT, status STRING, previous STRING, elapsed_s DOUBLE"
+    return _of_keys(spark, run_streams.start_transitions, observed, ["task_id"], schema)

@@ -1,12 +1,14 @@
-"""Watermarks on UTC wall-clock times, and folders with one sub-folder per micro-batch."""
+"""Watermarks on UTC wall-clock times, folders with one sub-folder per micro-batch, and streams worked on key by key."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from jobruns.functions.times import as_instant
-from jobruns.operators.windows import first_per_key
 
 
 def watermarked(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -22,24 +24,65 @@ def read_batches(spark: SparkSession, path: str, schema: str, first: int, last:
     """Rows written by the batches ``first`` to ``last``, with their ``batch_id``."""
     if last < first:
         return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(None).cast("int"))
-    paths = [f"{path}/batch_id={b}" for b in range(first, last + 1)]
-    return spark.read.schema(schema).option("basePath", path).parquet(*paths)
+    rows = spark.read.schema(f"{schema}, batch_id INT").parquet(path)
+    return rows.where(F.col("batch_id").between(first, last))
+
+
+def start(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Run ``batch`` on every micro-batch; without a trigger, on all input there is and then stop."""
+
+    def kept(rows: DataFrame, batch_id: int) -> None:
+        # A batch is used several times; without this its source would be read each time.
+        rows.persist()
+        try:
+            batch(rows, batch_id)
+        finally:
+            rows.unpersist()
+
+    return (
+        stream.writeStream.foreachBatch(kept)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def columns_of(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def start_per_key(
+    stream: DataFrame,
+    keys: Sequence[str],
+    operator: Callable[[DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    **trigger,
+) -> StreamingQuery:
+    """Keep the outcome of a batch operator that treats each key by itself, whatever order rows arrive in.
 
+    A batch adds its rows to ``{path}/in`` and works its keys out anew from all of their rows so far; other keys
+    keep the outcome they have. Nothing is too late: a row counts when it comes. ``{path}/out`` holds the
+    outcomes by batch and ``{path}/keys`` the keys each batch worked on; :func:`current` puts them together. A batch
+    that is run again replaces its own folders. Rows of a key can be taken out of ``{path}/in`` between
+    runs when no more are expected.
+    """
+    schema = columns_of(stream)
 
-class KeyedState:
-    """One row per key, kept across batches: each batch writes the keys it touched, and every
-    ``full_every`` batches all keys, so that reading back takes a bounded number of folders."""
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        write_batch(rows, f"{path}/in", batch_id)
+        touched = rows.select(*keys).distinct()
+        seen = read_batches(rows.sparkSession, f"{path}/in", schema, 0, batch_id).drop("batch_id")
+        write_batch(operator(seen.join(touched, list(keys), "left_semi")), f"{path}/out", batch_id)
+        write_batch(touched, f"{path}/keys", batch_id)
 
-    def __init__(self, path: str, keys: list[str], schema: str, full_every: int = 50):
-        self.path, self.keys, self.schema, self.full_every = path, keys, schema, full_every
+    return start(stream, batch, checkpoint, trigger)
 
-    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """The state after all batches before ``batch_id``."""
-        first = max(batch_id - 1, 0) // self.full_every * self.full_every
-        rows = read_batches(spark, self.path, self.schema, first, batch_id - 1)
-        return first_per_key(rows, self.keys, F.desc("batch_id")).drop("batch_id")
 
-    def write(self, touched: DataFrame, before: DataFrame, batch_id: int) -> None:
-        if batch_id % self.full_every == 0:
-            touched = touched.unionByName(before.join(touched.select(*self.keys), self.keys, "left_anti"))
-        write_batch(touched, self.path, batch_id)
+def current(spark: SparkSession, path: str, keys: Sequence[str], schema: str, last: int) -> DataFrame:
+    """What :func:`start_per_key` has for every key after batch ``last``. ``schema`` is that of the operator's result."""
+    out = read_batches(spark, f"{path}/out", schema, 0, last)
+    kinds = {f.name: f.dataType.simpleString() for f in out.schema}
+    touched = read_batches(spark, f"{path}/keys", ", ".join(f"`{k}` {kinds[k]}" for k in keys), 0, last)
+    newest = touched.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
+    return out.join(newest, [*keys, "batch_id"], "left_semi").drop("batch_id")

@@ -40,9 +40,14 @@ def message_actions(messages: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
-def dedup_messages(messages: DataFrame, horizon: str = "10 minutes") -> DataFrame:
-    """One message per run within the horizon, on a stream. Delivery is at least once; a copy that
-    comes even later finds its run no longer pending and is refused by the claim."""
+def dedup_messages(messages: DataFrame, horizon: str | None = None) -> DataFrame:
+    """The first message of each run to arrive, on a stream. Delivery is at least once.
+
+    Every run's id is kept in Spark's state, and no message that is its run's first is lost, however late
+    its time. With ``horizon`` ids are forgotten that long after they came; then a first message that is later
+    than that against the newest is dropped as well, so give one only to streams in order of time."""
     parsed = parse_messages(messages).where(~F.col("drop")).drop("drop")
+    if horizon is None:
+        return parsed.dropDuplicates(["task_id"])
     unique = watermarked(parsed, "ts", horizon).dropDuplicatesWithinWatermark(["task_id"])
     return unique.withColumn("ts", utc_wall_clock(F.col("ts")))

@@ -4,42 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jobruns.constants import DEPENDENCY, LEASE_SECONDS, SUCCESS, UNSUCCESSFUL
-from jobruns.functions.times import TimeLike, micros, seconds, utc_wall_clock
-from jobruns.operators.graph import candidates
+from jobruns.functions.times import TimeLike, as_instant, seconds, utc_wall_clock
+from jobruns.operators.graph import candidate_set, candidates
 from jobruns.operators.runs import generation_guard, ready_jobs
 from jobruns.operators.schedule import new_runs
 from jobruns.operators.select import changed_since
-from jobruns.operators.windows import first_per_key, latest_state, status_transitions
+from jobruns.operators.windows import latest_state, latest_version_per_job, status_transitions
 from jobruns.sources.tables import Tables, append_tasks
-from jobruns.streaming.batches import KeyedState, watermarked, write_batch
+from jobruns.streaming.batches import current, read_batches, start, start_per_key, watermarked, write_batch
 
 SNAPSHOT_COLUMNS = ("job_id", "job_type", "enabled", "next_fire_at", "updated_at")
 
 
-def _start(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict) -> StreamingQuery:
-    """Run ``batch`` on every micro-batch; without a trigger, on all input there is and then stop."""
-
-    def kept(rows: DataFrame, batch_id: int) -> None:
-        # A batch is used several times; without this its source would be read each time.
-        rows.persist()
-        try:
-            batch(rows, batch_id)
-        finally:
-            rows.unpersist()
-
-    return (
-        stream.writeStream.foreachBatch(kept)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
-
-
 def throughput(
     finished: DataFrame, width: str = "1 minute", slide: str | None = None, delay: str = "1 minute"
 ) -> DataFrame:
@@ -62,17 +43,17 @@ def throughput(
     )
 
 
-def lease_monitor(events: DataFrame, lease_seconds: int = LEASE_SECONDS, delay: str = "0 seconds") -> DataFrame:
-    """Leases that ended without the run finishing: ``task_id, worker_id, locked_until``.
+def leases(events: DataFrame, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
+    """Leases that ended, or will end, without the run finishing: ``task_id, worker_id, locked_until``.
 
     ``events``: ``task_id, worker_id, ts, kind`` with kind claim, beat or finish. A claim opens a
     lease, beats of the same worker keep it open, so a lease is a session of these events with the
-    lease as its gap. It comes out once, when event time passes its end. A session without a claim
-    is a worker that has lost its run; one whose last claim was finished has ended in order.
+    lease as its gap. A session without a claim is a worker that has lost its run; one whose last
+    claim was finished has ended in order.
     """
     ts, kind = F.col("ts"), F.col("kind")
     sessions = (
-        watermarked(events, "ts", delay)
+        events.withColumn("ts", as_instant(ts))
         .groupBy("task_id", "worker_id", F.session_window("ts", f"{lease_seconds} seconds").alias("s"))
         .agg(
             F.max(F.when(kind == "claim", ts)).alias("claimed"),
@@ -88,35 +69,52 @@ def lease_monitor(events: DataFrame, lease_seconds: int = LEASE_SECONDS, delay:
     )
 
 
+LEASE_KEYS = ("task_id", "worker_id")
+
+
+def start_leases(
+    events: DataFrame, path: str, checkpoint: str, lease_seconds: int = LEASE_SECONDS, **trigger
+) -> StreamingQuery:
+    """Keep the leases of each run and worker; see :func:`leases` and ``batches.current``.
+
+    A beat or finish that arrives late still extends or ends its lease. Those with ``locked_until`` before now
+    are the ones to recover."""
+    return start_per_key(events, LEASE_KEYS, lambda rows: leases(rows, lease_seconds), path, checkpoint, **trigger)
+
+
 def start_chain(
     finished: DataFrame,
     load: Callable[[], Tables],
     path: str,
     checkpoint: str,
     now: Callable[[int], TimeLike],
+    marks: str | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Dispatch the dependents of each batch of finished runs. The tables are read again for every
-    batch, so that runs appended since count."""
+    """Dispatch the dependents of each batch of finished runs that were not looked at before.
+
+    The tables are read again for every batch, only the latest runs of the candidates and their upstreams.
+    Runs that earlier batches wrote to ``path`` count as started whether ``load`` sees them or not, so a job fed by
+    several batches is dispatched once. ``marks`` gets the successes to be marked as looked at."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         tables = load()
-        latest = latest_state(tables.tasks)
-        below = candidates(rows.where(F.col("status") == SUCCESS), tables.edges, tables.jobs)
+        successes = rows.where(F.col("status") == SUCCESS)
+        if "processed_for_chaining" in rows.columns:
+            successes = successes.where(~F.col("processed_for_chaining"))
+        wanted = candidate_set(successes, tables.edges, tables.jobs)
+        latest = latest_state(tables.tasks, wanted)
+        below = candidates(successes, tables.edges, tables.jobs)
         ready = generation_guard(ready_jobs(below, tables.edges, latest), latest)
-        append_tasks(new_runs(ready, DEPENDENCY, now(batch_id)), path, batch_id)
+        created = f"job_id {tables.jobs.schema['job_id'].dataType.simpleString()}, created_at TIMESTAMP_NTZ"
+        own = read_batches(rows.sparkSession, path, created, 0, batch_id - 1)
+        own = own.groupBy("job_id").agg(F.max("created_at").alias("created_at"))
+        own = own.withColumn("finished_at", F.lit(None).cast("timestamp_ntz"))
+        append_tasks(new_runs(generation_guard(ready, own), DEPENDENCY, now(batch_id)), path, batch_id)
+        if marks:
+            write_batch(successes.withColumn("processed_for_chaining", F.lit(True)), marks, batch_id)
 
-    return _start(finished, batch, checkpoint, trigger)
-
-
-def snapshot_state(path: str, columns: DataFrame) -> KeyedState:
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns.schema)
-    return KeyedState(f"{path}/versions", ["job_id"], kinds)
-
-
-def current_snapshot(state: KeyedState, spark: SparkSession, batch_id: int) -> DataFrame:
-    """The enabled cron jobs after batch ``batch_id``."""
-    return state.before(spark, batch_id + 1).where(F.col("enabled"))
+    return start(finished, batch, checkpoint, trigger)
 
 
 def start_job_changes(changes: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -125,52 +123,16 @@ def start_job_changes(changes: DataFrame, path: str, checkpoint: str, **trigger)
     Disabled jobs are kept as such, so that an older version that is read again cannot bring one
     back: re-read rows change nothing."""
     columns = changed_since(changes).select(*SNAPSHOT_COLUMNS)
-    state = snapshot_state(path, columns)
+    return start_per_key(columns, ["job_id"], latest_version_per_job, path, checkpoint, **trigger)
 
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        before = state.before(rows.sparkSession, batch_id)
-        batch_rows = rows.select(*columns.columns)
-        known = before.join(batch_rows.select("job_id"), "job_id", "left_semi")
-        newest = first_per_key(batch_rows.unionByName(known), ["job_id"], F.desc("updated_at"))
-        state.write(newest, before, batch_id)
 
-    return _start(columns, batch, checkpoint, trigger)
+def current_snapshot(spark: SparkSession, path: str, schema: str, last: int) -> DataFrame:
+    """The enabled cron jobs after batch ``last``; ``schema`` is that of ``SNAPSHOT_COLUMNS``."""
+    return current(spark, path, ["job_id"], schema, last).where(F.col("enabled"))
 
 
 def start_transitions(observations: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Status changes per run across batches: ``{path}/out`` gets the transitions, ``{path}/state``
-    the last observation of each run.
-
-    A batch is worked on by the batch operator, which splits a run that fills it; only the last
-    observation per run is carried over."""
-    kinds = ", ".join(
-        f"{f.name} {f.dataType.simpleString()}" for f in observations.select("task_id", "ts", "seq", "status").schema
-    )
-    state = KeyedState(f"{path}/state", ["task_id"], f"{kinds}, first_ts TIMESTAMP_NTZ")
-
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        rows = rows.select("task_id", "ts", "seq", "status")
-        before = state.before(rows.sparkSession, batch_id)
-        seen = before.join(rows.select("task_id"), "task_id", "left_semi")
-        # The carried row comes first in its run and is not reported again.
-        carried = seen.select("task_id", "ts", "seq", "status")
-        changed = status_transitions(carried.unionByName(rows)).join(
-            seen.select("task_id", F.col("ts").alias("_ts"), F.col("seq").alias("_seq"), "first_ts"), "task_id", "left"
-        )
-        is_carried = F.coalesce((F.col("ts") == F.col("_ts")) & (F.col("seq") == F.col("_seq")), F.lit(False))
-        since_carried: Column = F.coalesce((micros(F.col("_ts")) - micros(F.col("first_ts"))) / 1_000_000, F.lit(0.0))
-        out = changed.where(~is_carried).select(
-            "task_id", "ts", "seq", "status", "previous", (F.col("elapsed_s") + since_carried).alias("elapsed_s")
-        )
-        write_batch(out, f"{path}/out", batch_id)
-
-        last = first_per_key(carried.unionByName(rows), ["task_id"], F.desc("ts"), F.desc("seq"))
-        first = rows.groupBy("task_id").agg(F.min("ts").alias("_first"))
-        touched = (
-            last.join(first, "task_id")
-            .join(seen.select("task_id", "first_ts"), "task_id", "left")
-            .select("task_id", "ts", "seq", "status", F.coalesce("first_ts", "_first").alias("first_ts"))
-        )
-        state.write(touched, before, batch_id)
-
-    return _start(observations, batch, checkpoint, trigger)
+    """Status changes per run across batches; see ``batches.current``. An observation that arrives late changes
+    what its neighbours say, as it would have in one batch."""
+    columns = observations.select("task_id", "ts", "seq", "status")
+    return start_per_key(columns, ["task_id"], status_transitions, path, checkpoint, **trigger)

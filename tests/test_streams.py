@@ -8,7 +8,7 @@ import pytest
 from jobruns.operators import windows
 from jobruns.sources.tables import Tables
 from jobruns.streaming import messages, runs
-from jobruns.streaming.batches import read_batches
+from jobruns.streaming.batches import columns_of, current
 from tests.conftest import values
 
 
@@ -67,18 +67,30 @@ def test_sliding_throughput(spark, table):
     assert sliding.agg({"success": "sum"}).first()[0] == 12
 
 
-def test_a_lease_expires_once_and_beats_extend_it(spark, tmp_path, feed):
-    f = feed("task_id long, worker_id string, ts time, kind string")
-    f.add((1, "w", "2024-01-01 00:00:00", "claim"), (2, "w", "2024-01-01 00:00:00", "claim"), (3, "w", "2024-01-01 00:00:00", "claim"))
-    drain(runs.lease_monitor(f.stream(spark), 30), tmp_path)
-    f.add((1, "w", "2024-01-01 00:00:20", "beat"), (3, "w", "2024-01-01 00:00:10", "finish"), (4, "x", "2024-01-01 00:00:20", "beat"))
-    drain(runs.lease_monitor(f.stream(spark), 30), tmp_path)
-    f.add((9, "w", "2024-01-01 00:02:00", "claim"),)
-    drain(runs.lease_monitor(f.stream(spark), 30), tmp_path)
-    f.add((9, "w", "2024-01-01 00:02:10", "beat"),)
-    drain(runs.lease_monitor(f.stream(spark), 30), tmp_path)
-    assert values(spark.read.parquet(f"{tmp_path}/out"), "task_id", "worker_id", "locked_until") == [
-        (1, "w", datetime(2024, 1, 1, 0, 0, 50)), (2, "w", datetime(2024, 1, 1, 0, 0, 30))
+def test_late_first_messages_are_kept(spark, tmp_path, feed):
+    f = feed("body string, ts time")
+    f.add(("a", "2024-01-05 00:00:00"),)
+    drain(messages.dedup_messages(f.stream(spark)), tmp_path)
+    f.add(("b", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:00"))
+    drain(messages.dedup_messages(f.stream(spark)), tmp_path)
+    assert values(spark.read.parquet(f"{tmp_path}/out"), "task_id") == [("a",), ("b",)]
+
+
+def test_leases_do_not_depend_on_the_order_of_arrival(spark, tmp_path, feed, table):
+    columns = "task_id long, worker_id string, ts time, kind string"
+    rows = [
+        (1, "w", "2024-01-01 00:00:00", "claim"), (2, "w", "2024-01-01 00:00:00", "claim"), (3, "w", "2024-01-01 00:00:00", "claim"),
+        (9, "w", "2024-01-01 00:02:00", "claim"), (1, "w", "2024-01-01 00:00:20", "beat"), (4, "x", "2024-01-01 00:00:20", "beat"),
+        (9, "w", "2024-01-01 00:02:10", "beat"), (3, "w", "2024-01-01 00:00:10", "finish"),
+    ]
+    f = feed(columns)
+    for start in range(0, 8, 2):
+        f.add(*rows[start : start + 2])
+        runs.start_leases(f.stream(spark), str(tmp_path / "s"), f"{tmp_path}/cp", 30).awaitTermination()
+    schema = "task_id long, worker_id string, locked_until timestamp_ntz"
+    got = current(spark, str(tmp_path / "s"), runs.LEASE_KEYS, schema, 3)
+    assert values(got) == values(runs.leases(table(columns, *rows), 30)) == [
+        (1, "w", datetime(2024, 1, 1, 0, 0, 50)), (2, "w", datetime(2024, 1, 1, 0, 0, 30)), (9, "w", datetime(2024, 1, 1, 0, 2, 40)),
     ]
 
 
@@ -91,37 +103,23 @@ def test_transitions_across_batches_equal_one_batch(spark, tmp_path, feed, table
         (1, "2024-01-01 00:00:09", 8, "success"), (2, "2024-01-01 00:00:09", 9, "running"),
     ]
     f = feed(columns)
-    for start, end in ((0, 3), (3, 5), (5, 7), (7, 9)):
-        f.add(*rows[start:end])
-        runs.start_transitions(f.stream(spark), str(tmp_path), f"{tmp_path}/cp").awaitTermination()
+    for part in (rows[5:7], rows[0:3], rows[7:9], rows[3:5]):  # the first and the last come late
+        f.add(*part)
+        runs.start_transitions(f.stream(spark), str(tmp_path / "s"), f"{tmp_path}/cp").awaitTermination()
     schema = "task_id long, ts timestamp_ntz, seq long, status string, previous string, elapsed_s double"
-    got = read_batches(spark, f"{tmp_path}/out", schema, 0, 3).drop("batch_id")
+    got = current(spark, str(tmp_path / "s"), ["task_id"], schema, 3)
     assert values(got) == values(windows.status_transitions(table(columns, *rows)))
 
 
-def test_keyed_state_reads_back_over_full_versions(spark, tmp_path, table):
-    from jobruns.streaming.batches import KeyedState
-
-    state = KeyedState(str(tmp_path), ["k"], "k long, v long", full_every=3)
-    expected = {}
-    for batch in range(8):
-        touched = {batch % 4: batch, 10 + batch: batch}
-        before = state.before(spark, batch)
-        assert dict(values(before)) == expected
-        state.write(table("k long, v long", *touched.items()), before, batch)
-        expected |= touched
-    assert dict(values(state.before(spark, 8))) == expected
-
-
 def test_job_changes_survive_rereading(spark, tmp_path, feed, table):
     f = feed("job_id long, job_type string, enabled boolean, next_fire_at time, updated_at time")
     on = lambda i, fire, at: (i, "scheduled", True, f"2024-01-01 {fire}", f"2024-01-01 {at}")
     f.add(on(1, "01:00:00", "00:00:01"), on(2, "01:00:00", "00:00:01"), (3, "normal", True, None, "2024-01-01 00:00:01"))
     f.add((2, "scheduled", False, "2024-01-01 01:00:00", "2024-01-01 00:00:09"), on(1, "02:00:00", "00:00:08"))
     f.add(on(1, "01:00:00", "00:00:01"), on(2, "01:00:00", "00:00:01"))
-    runs.start_job_changes(f.stream(spark), str(tmp_path), f"{tmp_path}/cp").awaitTermination()
-    state = runs.snapshot_state(str(tmp_path), f.frame.select(*runs.SNAPSHOT_COLUMNS))
-    assert values(runs.current_snapshot(state, spark, 2), "job_id", "next_fire_at") == [(1, datetime(2024, 1, 1, 2))]
+    runs.start_job_changes(f.stream(spark), str(tmp_path / "s"), f"{tmp_path}/cp").awaitTermination()
+    snapshot = runs.current_snapshot(spark, str(tmp_path / "s"), columns_of(f.frame.select(*runs.SNAPSHOT_COLUMNS)), 2)
+    assert values(snapshot, "job_id", "next_fire_at") == [(1, datetime(2024, 1, 1, 2))]
 
 
 def test_chain_goes_one_level_per_batch(spark, tmp_path, feed, table):
@@ -140,3 +138,19 @@ def test_chain_goes_one_level_per_batch(spark, tmp_path, feed, table):
         f.add(row)
         runs.start_chain(f.stream(spark), load, f"{tmp_path}/out", f"{tmp_path}/cp", lambda b: f"2024-01-01 01:0{b}:00").awaitTermination()
     assert values(spark.read.parquet(f"{tmp_path}/out"), "batch_id", "job_id", "trigger_type") == [(0, 2, "dependency"), (1, 3, "dependency")]
+
+
+def test_a_job_fed_by_two_batches_is_dispatched_once(spark, tmp_path, feed, table):
+    columns = "task_id string, job_id long, status string, created_at time, finished_at time, processed_for_chaining boolean"
+    done = [(str(i), i, "success", f"2024-01-01 00:0{i}:00", f"2024-01-01 00:0{i}:30", i == 4) for i in (1, 2, 4)]
+    tables = Tables(
+        table("job_id long, enabled boolean", (1, True), (2, True), (3, True), (4, True), (5, True)),
+        table(columns, *done),
+        table("upstream_job_id long, downstream_job_id long", (1, 3), (2, 3), (4, 5)),
+    )
+    f = feed(columns)
+    for row in done:
+        f.add(row)
+    runs.start_chain(f.stream(spark), lambda: tables, f"{tmp_path}/out", f"{tmp_path}/cp", lambda b: f"2024-01-01 01:0{b}:00", f"{tmp_path}/marks").awaitTermination()
+    assert values(spark.read.parquet(f"{tmp_path}/out"), "batch_id", "job_id") == [(0, 3)]
+    assert values(spark.read.parquet(f"{tmp_path}/marks"), "task_id") == [("1",), ("2",)]
