@@ -104,6 +104,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def edges_with_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that leave some one-time jobs without upstreams."""
+    return edges(spark, sf_dir).where("downstream_job_id % 20 NOT IN (3, 7)")
+
+
 def edges_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = (
         raw(spark, sf_dir, "customer")
@@ -211,13 +216,16 @@ def faulty_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).selectExpr(
         "job_id",
         "CASE job_id % 6 WHEN 1 THEN '  ' WHEN 2 THEN 'dup-' || CAST(job_id % 50 AS STRING) ELSE name END AS name",
-        "CASE job_id % 7 WHEN 3 THEN '61 * * * *' WHEN 4 THEN '0 2 * *' ELSE cron_expression END AS cron_expression",
+        "CASE job_id % 7 WHEN 3 THEN '61 * * * *' WHEN 4 THEN '0 2 * *' WHEN 5 THEN '@daily' WHEN 6 THEN '0 2 L * *' ELSE cron_expression END AS cron_expression",
         "CASE job_id % 11 WHEN 5 THEN 'ftp' ELSE action_type END AS action_type",
         """CASE job_id % 8
            WHEN 1 THEN '{"method":"GET"}'
            WHEN 2 THEN '{"url":"u","command":"c","timeout_seconds":0}'
            WHEN 3 THEN '{"url":"u","command":"c","headers":["a"]}'
            WHEN 4 THEN '{"url":"u","command":"c","body":5}'
+           WHEN 5 THEN '{"url":"u","command":"c","timeout_seconds":null,"body":null}'
+           WHEN 6 THEN '{"url":5,"command":null,"timeout_seconds":"5"}'
+           WHEN 7 THEN '{"url":"u","command":"c","method":null,"timeout_seconds":5.0}'
            ELSE action_config END AS action_config""",
         "CASE WHEN job_id % 9 = 2 THEN 'Allow' ELSE concurrency_policy END AS concurrency_policy",
         "max_retries - 1 AS max_retries",
@@ -269,16 +277,16 @@ def message_rows(orders: DataFrame) -> DataFrame:
 
 
 def partial_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A partial update of every job: a new name, or switched off with its cron cleared, or nothing;
-    and one job not known before per customer left out of the job view."""
+    """A partial update of every job: a new name, or switched off with its cron cleared, or another cron, of which
+    some are invalid; and an update for each job left out of the job view."""
     return raw(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS job_id",
         f"{_NOW} AS updated_at",
         """CASE c_custkey % 3 WHEN 0 THEN array('name') WHEN 1 THEN array('enabled', 'cron_expression')
-           ELSE CAST(array() AS ARRAY<STRING>) END AS fields""",
+           ELSE CASE WHEN c_custkey % 9 < 6 THEN array('cron_expression') ELSE CAST(array() AS ARRAY<STRING>) END END AS fields""",
         "upper(c_name) AS name",
         "false AS enabled",
-        "CAST(NULL AS STRING) AS cron_expression",
+        "CASE c_custkey % 9 WHEN 2 THEN ' 0 2 * * * ' WHEN 5 THEN '0 2 * *' END AS cron_expression",
     )
 
 

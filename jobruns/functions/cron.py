@@ -1,8 +1,11 @@
 """Five-field cron expressions in Spark SQL expressions.
 
-Dialect: ``*``, numbers, lists, ranges, steps, month and weekday names, 7 as Sunday. When day of
-month and weekday are both restricted, either may match. Seconds, ``L``, ``#``, ``W`` and
-``@daily`` forms count as invalid.
+Dialect: ``*``, numbers, lists, ranges, steps, month and weekday names, 7 as Sunday; ``L`` as the last day of
+the month, ``5#2`` as its second and ``L5`` as its last Friday; ``@hourly``, ``@daily``, ``@midnight``, ``@weekly``,
+``@monthly``, ``@yearly`` and ``@annually``. When day of month and weekday are both restricted, either may match.
+Seconds and ``W`` count as invalid.
+
+The last day is day 0 of a field's numbers. Weekday n of week k is n + 10 * k, the last one n + 60.
 
 The functions take column *names* and are built as SQL text: these expressions are large, and one
 parsed text is much quicker to plan than hundreds of single column calls. They work on one
@@ -23,6 +26,16 @@ _NAMES = {
 }
 _ITEM = r"r'^(\*|[0-9a-z]+)(?:-([0-9a-z]+))?(?:/([0-9]+))?$'"
 
+_ALIASES = {
+    "@yearly": "0 0 1 1 *",
+    "@annually": "0 0 1 1 *",
+    "@monthly": "0 0 1 * *",
+    "@weekly": "0 0 * * 0",
+    "@daily": "0 0 * * *",
+    "@midnight": "0 0 * * *",
+    "@hourly": "0 * * * *",
+}
+
 # 29 February recurs after eight years at the latest (around 1900 and 2100).
 HORIZON_DAYS = 8 * 366
 _NEAR_DAYS = 40
@@ -61,14 +74,23 @@ def _item_values(item: str, field: str, lo: int, hi: int) -> str:
     numbers = f"""CASE WHEN b.first BETWEEN {lo} AND {hi} AND {last} BETWEEN {lo} AND {hi}
              AND b.first <= {last} AND b.stride >= 1
         THEN sequence(b.first, {last}, b.stride) END"""
-    return _let("p", parts, _let("b", bounds, numbers))
+    plain = _let("p", parts, _let("b", bounds, numbers))
+    if field == "day":
+        return f"CASE WHEN {item} = 'l' THEN array(0) ELSE {plain} END"
+    if field == "weekday":
+        nth = f"regexp_extract({item}, r'^([0-7]|[a-z]{{3}})#([1-5])$', 1)"
+        week = f"CAST(right({item}, 1) AS INT)"
+        return f"""CASE WHEN {item} RLIKE r'#[1-5]$' THEN {_let("wd", _number(nth, field), f"CASE WHEN wd IS NOT NULL THEN array(wd % 7 + 10 * {week}) END")}
+            WHEN {item} RLIKE r'^l[0-7]$' THEN array(CAST(right({item}, 1) AS INT) % 7 + 60)
+            ELSE {plain} END"""
+    return plain
 
 
 def _field_values(text: str, field: str, lo: int, hi: int) -> str:
     """Ascending distinct numbers of a field, null when any of its items is malformed."""
     numbers = f"flatten(transform(split({text}, ',', -1), item -> {_item_values('item', field, lo, hi)}))"
     if field == "weekday":
-        numbers = f"transform({numbers}, n -> n % 7)"
+        numbers = f"transform({numbers}, n -> CASE WHEN n <= 7 THEN n % 7 ELSE n END)"
     return f"array_sort(array_distinct({numbers}))"
 
 
@@ -77,7 +99,9 @@ def cron_fields(column: str) -> Column:
 
     ``either``: day and weekday are both restricted, so a date qualifies by matching one of them.
     """
-    words = rf"split(lower(regexp_replace({column}, r'(?U)^\s+|\s+$', '')), r'\s+', -1)"
+    text = rf"lower(regexp_replace({column}, r'(?U)^\s+|\s+$', ''))"
+    aliases = " ".join(f"WHEN '{name}' THEN '{meant}'" for name, meant in _ALIASES.items())
+    words = _let("e", text, rf"split(CASE e {aliases} ELSE e END, r'\s+', -1)")
     values = "struct({})".format(
         ", ".join(f"{_field_values(f'w[{i}]', n, lo, hi)} AS {n}" for i, (n, lo, hi) in enumerate(FIELDS))
     )
@@ -101,8 +125,12 @@ def valid_cron(column: str) -> Column:
 
 def _matches_day(fields: str, day: str) -> str:
     """Does a date satisfy the day, month and weekday fields?"""
-    by_day = f"array_contains({fields}.day, dayofmonth({day}))"
-    by_weekday = f"array_contains({fields}.weekday, dayofweek({day}) - 1)"
+    by_day = f"(array_contains({fields}.day, dayofmonth({day})) OR array_contains({fields}.day, 0) AND {day} = last_day({day}))"
+    weekday = f"dayofweek({day}) - 1"
+    week = f"(dayofmonth({day}) + 6) DIV 7"
+    by_weekday = f"""(array_contains({fields}.weekday, {weekday})
+        OR array_contains({fields}.weekday, CAST({weekday} + 10 * ({week}) AS INT))
+        OR array_contains({fields}.weekday, {weekday} + 60) AND {day} > date_sub(last_day({day}), 7))"""
     return f"""(array_contains({fields}.month, month({day}))
         AND CASE WHEN {fields}.either THEN {by_day} OR {by_weekday} ELSE {by_day} AND {by_weekday} END)"""
 
@@ -134,10 +162,15 @@ def at_minute(day: str, minute: str) -> Column:
     return F.expr(_at(day, minute))
 
 
-def firings_between(fields: str, start: str, end: str) -> Column:
-    """All firings after time column ``start`` up to time column ``end``."""
-    times = f"flatten(transform({_days('f', f'to_date({start})', f'to_date({end})')}, d -> transform({_minutes('f')}, n -> {_at('d', 'n')})))"
-    return F.expr(_let("f", fields, f"filter({times}, t -> t > {start} AND t <= {end})"))
+def count_firings() -> Column:
+    """How many firings lie after column ``t0`` up to column ``t1``, from columns ``days`` and ``minutes``: every minute
+    of every day, without those of the first day up to ``t0`` and those of the last day after ``t1``."""
+
+    def outside(day: str, condition: str) -> str:
+        return f"IF(array_contains(days, {day}), size(filter(minutes, m -> {_at(day, 'm')} {condition})), 0)"
+
+    early, late = outside("to_date(t0)", "<= t0"), outside("to_date(t1)", "> t1")
+    return F.expr(f"CAST(size(days) AS BIGINT) * size(minutes) - {early} - {late}")
 
 
 def next_after(fields: str, base: str) -> Column:

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from jobruns.constants import ACTION_TYPES, INVALID_CRON, POLICIES
 from jobruns.functions.specs import (
-    http_config,
     member_kind,
     runtime_spec,
     runtime_spec_error,
-    shell_config,
 )
 from jobruns.functions.text import blank_to_null, env_ok
 from jobruns.operators.schedule import check_cron
@@ -44,14 +42,18 @@ def _faults(columns: list[str]) -> list[Column]:
     """One column per rule: its text where the rule is broken, else null."""
     action, config = F.col("action_type"), F.col("action_config")
     is_http, is_shell = action == "http", action == "shell"
-    http, shell = http_config(config), shell_config(config)
-    kinds = {m: member_kind(config, m) for m in ("headers", "body", "timeout_seconds")}
-    given = {m: k.isNotNull() & (k != "VOID") for m, k in kinds.items()}
+    kinds = {m: member_kind(config, m) for m in ("method", "url", "command", "headers", "body", "timeout_seconds")}
+    given = {m: k.isNotNull() for m, k in kinds.items()}
 
-    bad_timeout = given["timeout_seconds"] & (
-        (kinds["timeout_seconds"] != "BIGINT")
-        | (F.coalesce(F.when(is_http, http["timeout_seconds"]).otherwise(shell["timeout_seconds"]), F.lit(0)) < 1)
+    def is_text(member: str) -> Column:
+        return F.coalesce(kinds[member] == "STRING", F.lit(False))
+
+    # Whole numbers count in any spelling: 5, 5.0, "5", and true as 1. Null does not.
+    timeout = F.trim(F.try_variant_get(F.try_parse_json(config), "$.timeout_seconds", "string"))
+    whole = F.when(kinds["timeout_seconds"] == "BOOLEAN", (timeout == "true").cast("double")).when(
+        timeout.rlike(r"^[+-]?[0-9]+(\.0*)?$"), timeout.cast("double")
     )
+    bad_timeout = given["timeout_seconds"] & (F.coalesce(whole, F.lit(0.0)) < 1)
     header_values = F.try_variant_get(F.try_parse_json(config), "$.headers", "map<string,variant>")
     bad_headers = given["headers"] & (
         ~kinds["headers"].startswith("OBJECT")
@@ -59,15 +61,17 @@ def _faults(columns: list[str]) -> list[Column]:
             F.exists(F.map_values(header_values), lambda v: F.schema_of_variant(v) != "STRING"), F.lit(False)
         )
     )
-    bad_body = given["body"] & (kinds["body"] != "STRING") & ~kinds["body"].startswith("OBJECT")
+    bad_body = given["body"] & ~kinds["body"].isin("STRING", "VOID") & ~kinds["body"].startswith("OBJECT")
+    document = F.schema_of_variant(F.try_parse_json(config))
     rules = [
         (blank_to_null(F.coalesce("name", F.lit(""))).isNull(), "empty name"),
         (F.col("max_retries") < 0, "negative max_retries"),
         (action.isNull() | ~action.isin(*ACTION_TYPES), "unknown action_type"),
         (F.col("concurrency_policy").isNull() | ~F.col("concurrency_policy").isin(*POLICIES), "unknown concurrency_policy"),
-        (F.try_parse_json(config).isNull(), "action_config is not JSON"),
-        (is_http & http["url"].isNull(), "missing url"),
-        (is_shell & shell["command"].isNull(), "missing command"),
+        (document.isNull() | ~document.startswith("OBJECT"), "action_config is no JSON object"),
+        (is_http & ~is_text("url"), "missing url"),
+        (is_http & given["method"] & ~is_text("method"), "method is not text"),
+        (is_shell & ~is_text("command"), "missing command"),
         (action.isin(*ACTION_TYPES) & bad_timeout, "timeout_seconds below 1"),
         (is_http & bad_headers, "headers are not an object of strings"),
         (is_http & bad_body, "body is neither text nor object"),

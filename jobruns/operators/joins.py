@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobruns.constants import FINAL_FAILED, JOB_NOT_FOUND
@@ -67,52 +67,40 @@ def runs_without_job(tasks: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
-def adjacency(jobs: DataFrame, edges: DataFrame, chunk: int = 100_000) -> DataFrame:
-    """Per job its sorted ``upstream_job_ids`` and ``downstream_job_ids``, empty when there are none.
-
-    A job with more than ``chunk`` neighbours on one side gets several rows, numbered by ``part``,
-    each holding a hash slice of the list of about ``chunk`` ids: no list and no task has to hold
-    all neighbours of a hub. All other jobs have the one row ``part`` 0.
-    """
+def adjacency(jobs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``job_id, side, neighbour_id``: one row per job and neighbour, ``side`` upstream or downstream. The rows of a
+    hub are spread like any others."""
     sides = edges.select(
         F.inline(
             F.array(
                 F.struct(
                     F.col("downstream_job_id").alias("job_id"),
-                    F.col("upstream_job_id").alias("other"),
-                    F.lit(True).alias("up"),
+                    F.lit("upstream").alias("side"),
+                    F.col("upstream_job_id").alias("neighbour_id"),
                 ),
                 F.struct(
                     F.col("upstream_job_id").alias("job_id"),
-                    F.col("downstream_job_id").alias("other"),
-                    F.lit(False).alias("up"),
+                    F.lit("downstream").alias("side"),
+                    F.col("downstream_job_id").alias("neighbour_id"),
                 ),
             )
         )
     )
-    # At most 2 * edges / chunk rows, whatever the graph looks like, and so fit to be broadcast.
-    hubs = (
-        sides.groupBy("job_id", "up")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > chunk)
-        .groupBy("job_id")
-        .agg(F.ceil(F.max("n") / chunk).cast("int").alias("parts"))
-    )
-    sliced = sides.join(F.broadcast(hubs), "job_id", "left").withColumn(
-        "part",
-        F.coalesce(F.pmod(F.xxhash64("other"), F.col("parts").cast("long")), F.lit(0)).cast("int"),
-    )
-    lists = sliced.groupBy("job_id", "part").agg(
-        F.sort_array(F.collect_list(F.when(F.col("up"), F.col("other")))).alias("upstream_job_ids"),
-        F.sort_array(F.collect_list(F.when(~F.col("up"), F.col("other")))).alias("downstream_job_ids"),
-    )
-    key_type = edges.schema["upstream_job_id"].dataType
-    none = F.array().cast(f"array<{key_type.simpleString()}>")
-    return jobs.select("job_id").join(lists, "job_id", "left").select(
-        "job_id",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("upstream_job_ids", none).alias("upstream_job_ids"),
-        F.coalesce("downstream_job_ids", none).alias("downstream_job_ids"),
+    return sides.join(jobs.select("job_id"), "job_id", "left_semi")
+
+
+def adjacency_lists(shown: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per job of ``shown`` with its sorted ``upstream_job_ids`` and ``downstream_job_ids``, empty when there
+    are none. For the jobs of a page: a list holds all neighbours of its job."""
+    rows = adjacency(shown, edges)
+
+    def side(name: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("side") == name, F.col("neighbour_id")))).alias(f"{name}_job_ids")
+
+    lists = rows.groupBy("job_id").agg(side("upstream"), side("downstream"))
+    none = F.array().cast(f"array<{edges.schema['upstream_job_id'].dataType.simpleString()}>")
+    return shown.select("job_id").join(lists, "job_id", "left").select(
+        "job_id", *[F.coalesce(f"{n}_job_ids", none).alias(f"{n}_job_ids") for n in ("upstream", "downstream")]
     )
 
 

@@ -24,7 +24,7 @@ from jobruns.constants import (
 )
 from jobruns.functions.text import decode_text, truncate_output
 from jobruns.functions.times import TimeLike, as_time, completed_at, seconds
-from jobruns.operators.graph import DOWN, UP, candidates
+from jobruns.operators.graph import DOWN, UP, candidate_set, candidates
 from jobruns.operators.joins import upstream_state
 from jobruns.operators.schedule import Verdict, each_request, new_runs
 from jobruns.operators.select import expired_running, unchained_successes
@@ -206,7 +206,7 @@ def dispatch_dependents(
     One level per call. Successes that lead to nothing are marked too. ``limit`` takes only the
     oldest successes and leaves the rest for the next call; by default all are taken."""
     successes = unchained_successes(tasks, limit)
-    latest = latest_state(tasks)
+    latest = latest_state(tasks, candidate_set(successes, edges, jobs))
     ready = ready_jobs(candidates(successes, edges, jobs), edges, latest)
     return Chained(
         new_runs(generation_guard(ready, latest), DEPENDENCY, now),

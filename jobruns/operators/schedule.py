@@ -161,11 +161,9 @@ def dispatch_audit(jobs: DataFrame, tasks: DataFrame, start: TimeLike, end: Time
     start, end = as_time(start), as_time(end)
     planned = (
         _expressions(jobs)
-        .withColumns({"t0": start, "t1": end})
-        .select(
-            "cron_expression",
-            F.coalesce(F.size(cron.firings_between("fields", "t0", "t1")), F.lit(0)).cast("long").alias("planned"),
-        )
+        .withColumns({"t0": start, "t1": end, "first": F.to_date(start), "last": F.to_date(end)})
+        .select("*", cron.days_between("fields", "first", "last").alias("days"), cron.minutes_of_day("fields").alias("minutes"))
+        .select("cron_expression", F.coalesce(cron.count_firings(), F.lit(0)).cast("long").alias("planned"))
     )
     actual = (
         tasks.where(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobruns.constants import ACTIVE, PENDING, RUNNING, SCHEDULED, SETTLED, SUCCESS
 from jobruns.functions.sizing import pages
 from jobruns.functions.text import name_contains
-from jobruns.functions.times import TimeLike, as_time, truncated
+from jobruns.functions.times import TimeLike, as_time
 
 
 def filter_jobs(
@@ -34,42 +34,12 @@ def newest_first(df: DataFrame, key: str) -> DataFrame:
     return df.orderBy(F.desc("created_at"), F.desc(key))
 
 
-def page(df: DataFrame, page: int = 1, page_size: int = 20, key: str = "job_id", deep: int = 10_000) -> DataFrame:
-    """One page, newest first. Up to ``deep`` rows from the start Spark keeps the top rows of each
-    partition and sorts no table; pages further back are found by counting."""
+def page(df: DataFrame, page: int = 1, page_size: int = 20, key: str = "job_id") -> DataFrame:
+    """One page, newest first, rows without a time last. Spark keeps the rows up to the page's end from each
+    partition and sorts no table."""
     if page < 1 or not 1 <= page_size <= 100:
         raise ValueError("page starts at 1, page_size is 1 to 100")
-    last = page * page_size
-    if last > deep:
-        return _deep_page(df, last - page_size + 1, last, key)
-    return newest_first(df, key).offset(last - page_size).limit(page_size)
-
-
-def _deep_page(df: DataFrame, first: int, last: int, key: str) -> DataFrame:
-    """Rows ``first`` to ``last`` of the newest-first order, without moving the rows before them:
-    rows are counted per minute, only the minutes that hold the page are read again and numbered."""
-    minute = truncated("minute", "created_at")
-    counts = df.groupBy(minute.alias("_minute")).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_day", truncated("day", "_minute"))
-
-    def newer(total: str, window: WindowSpec) -> Column:
-        return F.coalesce(F.sum(total).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-
-    days = counts.groupBy("_day").agg(F.sum("_n").alias("_total"))
-    days = days.select("_day", newer("_total", Window.orderBy(F.desc("_day"))).alias("_newer"))
-    inside = Window.partitionBy("_day").orderBy(F.desc("_minute"))
-    minutes = (
-        counts.join(days, "_day")
-        .select("_minute", "_n", (F.col("_newer") + newer("_n", inside)).alias("_before"))
-        .where((F.col("_before") < last) & (F.col("_before") + F.col("_n") >= first))
-    )
-    order = Window.partitionBy("_minute").orderBy(F.desc("created_at"), F.desc(key))
-    numbered = (
-        df.withColumn("_minute", minute)
-        .join(minutes, "_minute")
-        .withColumn("_number", F.col("_before") + F.row_number().over(order))
-    )
-    return newest_first(numbered.where(F.col("_number").between(first, last)), key).select(*df.columns)
+    return newest_first(df, key).offset((page - 1) * page_size).limit(page_size)
 
 
 def page_envelope(df: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:

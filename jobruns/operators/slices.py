@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from jobruns.functions.times import micros, truncated
 
-ROWS_PER_SLICE = 1_000_000
+ROWS_PER_SLICE = 100_000
 
 
 def assign_slices(
@@ -24,27 +24,22 @@ def assign_slices(
     rows_per_slice: int = ROWS_PER_SLICE,
     min_micros: int = 1,
 ) -> DataFrame:
-    """Add ``_slice``, and for groups of more than ``rows_per_slice`` rows ``_slice_end`` and
-    ``_first`` (the group's first time), both in microseconds.
+    """Add ``_slice``, ``_slice_end`` and ``_first`` (the group's first time), the last two in microseconds.
 
-    The slices of a large group are equally wide, their number following from its row count; every
-    other group is slice 0 as a whole. There are at most ``rows / rows_per_slice`` large groups,
-    a few thousand for billions of rows, which is why they may be broadcast.
+    The slices of a group are equally wide, their number following from its row count. Rows are dealt by
+    group and slice, so a large group is spread.
     """
     at = micros(F.col(ts))
-    large = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"), F.min(at).alias("_first"), F.max(at).alias("_last"))
-        .where(F.col("_n") > rows_per_slice)
-    )
+    spans = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(at).alias("_first"), F.max(at).alias("_last"))
     width = F.ceil((F.col("_last") - F.col("_first") + 1) / F.ceil(F.col("_n") / rows_per_slice))
-    large = large.select(*keys, "_first", F.greatest(width, F.lit(min_micros)).cast("long").alias("_width"))
+    spans = spans.select(*keys, "_first", F.greatest(width, F.lit(min_micros)).cast("long").alias("_width"))
     number = F.floor((at - F.col("_first")) / F.col("_width")).cast("long")
     return (
-        df.join(F.broadcast(large), list(keys), "left")
+        df.join(spans, list(keys), "left")
         .withColumn("_slice", F.coalesce(number, F.lit(0)))
         .withColumn("_slice_end", F.col("_first") + (F.col("_slice") + 1) * F.col("_width"))
         .drop("_width")
+        .repartition(*keys, "_slice")
     )
 
 
@@ -52,19 +47,15 @@ def with_previous(sliced: DataFrame, keys: Sequence[str], order: Sequence[str],
     """``value`` of the preceding row of the same group, across slice borders."""
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     boxed = F.struct(F.col(value).alias("v"))
-    # The last row of each slice, for large groups only: as few rows as there are slices.
-    ends = (
-        sliced.where(F.col("_slice_end").isNotNull())
-        .groupBy(*keys, "_slice")
-        .agg(F.max(F.struct(*order, F.col(value).alias("_v"))).alias("_end"))
-    )
+    # The last row of each slice: as few rows as there are slices.
+    ends = sliced.groupBy(*keys, "_slice").agg(F.max(F.struct(*order, F.col(value).alias("_v"))).alias("_end"))
     last = F.struct(F.col("_end._v").alias("v"))
     carry = ends.select(
         *keys, "_slice", F.lag(last).over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carry")
     ).where(F.col("_carry").isNotNull())
     return (
         sliced.withColumn("_prev", F.lag(boxed).over(inside))
-        .join(F.broadcast(carry), [*keys, "_slice"], "left")
+        .join(carry, [*keys, "_slice"], "left")
         .withColumn(name, F.coalesce("_prev", "_carry")["v"])
         .drop("_prev", "_carry")
     )
@@ -116,10 +107,12 @@ def trailing_sum(
     # Both sums only grow while a slice is walked through, so the cost does not depend on how many
     # rows a window holds; a sliding frame would add up every window anew.
     walk = Window.partitionBy(*keys, "_slice").orderBy("_at")
-    until_now = F.sum(value).over(walk.rangeBetween(Window.unboundedPreceding, 0))
-    before = F.sum(value).over(walk.rangeBetween(Window.unboundedPreceding, -window))
+    # Summed as decimals: the difference of two sums is exact wherever slices begin.
+    exact = F.col(value).cast("decimal(28,9)")
+    until_now = F.sum(exact).over(walk.rangeBetween(Window.unboundedPreceding, 0))
+    before = F.sum(exact).over(walk.rangeBetween(Window.unboundedPreceding, -window))
     return (
-        spread.withColumn(name, until_now - F.coalesce(before, F.lit(0)))
+        spread.withColumn(name, (until_now - F.coalesce(before, F.lit(0))).cast("double"))
         .where(F.col("_copy") == 0)
         .drop("_copy", "_at")
     )

@@ -43,22 +43,27 @@ def latest_state(tasks: DataFrame, job_ids: DataFrame | None = None) -> DataFram
     )
 
 
-def counter_steps(samples: DataFrame, window_seconds: int, by: str = "series", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def _labels(by: str | list[str]) -> list[str]:
+    return [by] if isinstance(by, str) else list(by)
+
+
+def counter_steps(samples: DataFrame, window_seconds: int, by: str | list[str] = "series", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Growth between neighbouring samples. After a reset the new value is the growth; the first
-    sample of a series has none."""
-    sliced = assign_slices(samples, [by], "ts", rows_per_slice, window_seconds * 1_000_000)
+    sample of a series has none, and a sample without a value is none. ``by``: a label or several."""
+    samples = samples.where(F.col("value").isNotNull())
+    sliced = assign_slices(samples, _labels(by), "ts", rows_per_slice, window_seconds * 1_000_000)
     value, before = F.col("value"), F.col("_before")
     step = F.when(before.isNull(), F.lit(0.0)).when(value < before, value).otherwise(value - before)
-    return with_previous(sliced, [by], ["ts", "value"], "value", "_before").withColumn("step", step).drop("_before")
+    return with_previous(sliced, _labels(by), ["ts", "value"], "value", "_before").withColumn("step", step).drop("_before")
 
 
 def counter_increase(
-    samples: DataFrame, window_seconds: int, by: str = "series", rows_per_slice: int = ROWS_PER_SLICE
+    samples: DataFrame, window_seconds: int, by: str | list[str] = "series", rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """Growth of a counter in the trailing window, at every sample: the plain sum of its steps."""
     steps = counter_steps(samples, window_seconds, by, rows_per_slice)
-    return trailing_sum(steps, [by], "ts", "step", window_seconds, "increase").select(
-        by, "ts", "value", "increase"
+    return trailing_sum(steps, _labels(by), "ts", "step", window_seconds, "increase").select(
+        *_labels(by), "ts", "value", "increase"
     )
 
 
@@ -66,12 +71,12 @@ def counter_rate(
     samples: DataFrame,
     window_seconds: int,
     scale: float = 1.0,
-    by: str = "series",
+    by: str | list[str] = "series",
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Growth per second, times ``scale``."""
     return counter_increase(samples, window_seconds, by, rows_per_slice).select(
-        by, "ts", "value", (F.col("increase") / window_seconds * scale).alias("rate")
+        *_labels(by), "ts", "value", (F.col("increase") / window_seconds * scale).alias("rate")
     )
 
 
@@ -125,5 +130,5 @@ def first_claim_per_task(attempts: DataFrame) -> DataFrame:
 
 
 def latest_version_per_job(changes: DataFrame) -> DataFrame:
-    """The last change of each job in a change feed."""
-    return first_per_key(changes, ["job_id"], F.desc("updated_at"))
+    """The last change of each job in a change feed; of changes at one time the one whose content sorts last."""
+    return first_per_key(changes, ["job_id"], F.desc("updated_at"), F.desc(F.to_json(F.struct("*"))))

@@ -21,6 +21,7 @@ from jobruns.functions.times import as_time
 from jobruns.operators import (
     aggregates,
     definitions,
+    edits,
     graph,
     joins,
     queues,
@@ -59,9 +60,10 @@ def _id_list(column: str):
 
 @query
 def read_tables(spark, d):
-    t = fx.tables(spark, d)
-    typed = tables.typed_tables(t.jobs, t.tasks, t.edges)
-    return typed.tasks.select(
+    t, folder = fx.tables(spark, d), f"{shared_dir(spark)}/tables-{uuid.uuid4()}"
+    for name, rows in (("jobs", t.jobs), ("tasks", t.tasks.drop("locked_by")), ("job_dependencies", t.edges)):
+        rows.write.parquet(f"{folder}/{name}")
+    return tables.read_tables(spark, folder).tasks.select(
         "task_id", "job_id", "status", "trigger_type", "retry_count", "created_at", "processed_for_chaining"
     )
 
@@ -85,11 +87,30 @@ def queue_samples(spark, d):
 
 @query
 def upsert_jobs(spark, d):
-    return tables.upsert_jobs(fx.jobs(spark, d), fx.partial_updates(spark, d)).select(
-        "job_id", "name", F.col("enabled").cast("string").alias("enabled"), "cron_expression", "job_type", "updated_at"
+    return _edit(spark, d).jobs.select(
+        "job_id", "name", F.col("enabled").cast("string").alias("enabled"), "cron_expression", "job_type", "next_fire_at", "updated_at"
     )
 
 
+def _edit(spark, d):
+    return edits.update_jobs(fx.jobs(spark, d), fx.partial_updates(spark, d), fx.edges(spark, d), NOW)
+
+
+@query
+def refused_updates(spark, d):
+    return _edit(spark, d).refused
+
+
+@query
+def create_jobs(spark, d):
+    """Every job of the faulty view offered under a new id."""
+    offered = fx.faulty_jobs(spark, d).withColumn("job_id", F.col("job_id") + 10_000_000).withColumn("enabled", F.lit(True))
+    made = edits.create_jobs(fx.jobs(spark, d), offered, fx.edges(spark, d), NOW)
+    added = made.jobs.where("job_id > 10000000").select("job_id", F.lit("added").alias("outcome"), "job_type", "next_fire_at")
+    started = made.new_runs.select("job_id", F.col("queue").alias("outcome"), F.lit(None).cast("string").alias("job_type"), F.lit(None).cast("timestamp_ntz").alias("next_fire_at"))
+    return added.unionByName(started)
+
+
 @query
 def cascade_delete(spark, d):
     t = fx.tables(spark, d)
@@ -195,7 +216,7 @@ def page(spark, d):
 @query
 def deep_page(spark, d):
     runs_of_all = fx.tasks(spark, d).select("task_id", "job_id", "created_at")
-    return select.page(runs_of_all, 7, 50, key="task_id", deep=300)
+    return select.page(runs_of_all, 7, 50, key="task_id")
 
 
 @query
@@ -324,8 +345,14 @@ def runs_without_job(spark, d):
 
 @query
 def adjacency(spark, d):
-    return joins.adjacency(fx.jobs(spark, d), fx.edges(spark, d)).select(
-        "job_id", "part", _id_list("upstream_job_ids"), _id_list("downstream_job_ids")
+    return joins.adjacency(fx.jobs(spark, d), fx.edges(spark, d))
+
+
+@query
+def adjacency_lists(spark, d):
+    shown = select.page(select.filter_jobs(fx.jobs(spark, d), enabled=True), 2, 100)
+    return joins.adjacency_lists(shown, fx.edges(spark, d)).select(
+        "job_id", _id_list("upstream_job_ids"), _id_list("downstream_job_ids")
     )
 
 
@@ -549,13 +576,13 @@ def concurrency_gate(spark, d):
 
 @query
 def dispatch_one_time(spark, d):
-    return _run_columns(schedule.dispatch_one_time(fx.jobs(spark, d), fx.edges(spark, d), NOW))
+    return _run_columns(schedule.dispatch_one_time(fx.jobs(spark, d), fx.edges_with_roots(spark, d), NOW))
 
 
 @query
 def dispatch_on_enable(spark, d):
     return _run_columns(
-        schedule.dispatch_on_enable(fx.jobs(spark, d), fx.edited_jobs(spark, d), fx.edges(spark, d), NOW)
+        schedule.dispatch_on_enable(fx.jobs(spark, d), fx.edited_jobs(spark, d), fx.edges_with_roots(spark, d), NOW)
     )
 
 
@@ -618,7 +645,7 @@ def manual_retry(spark, d):
 
 @query
 def apply_results(spark, d):
-    outcome = runs.apply_results(fx.results(spark, d), fx.tasks(spark, d), fx.jobs(spark, d), NOW, cap=2000)
+    outcome = runs.apply_results(fx.results(spark, d), fx.tasks(spark, d), fx.jobs(spark, d), NOW)
     return outcome.finished.select(
         "task_id", "job_id", "status", "stderr", "finished_at",
         F.length("stdout").cast("long").alias("stdout_chars"),
@@ -628,7 +655,7 @@ def apply_results(spark, d):
 
 @query
 def result_retries(spark, d):
-    outcome = runs.apply_results(fx.results(spark, d), fx.tasks(spark, d), fx.jobs(spark, d), NOW, cap=2000)
+    outcome = runs.apply_results(fx.results(spark, d), fx.tasks(spark, d), fx.jobs(spark, d), NOW)
     return _run_columns(outcome.retries)
 
 
@@ -704,7 +731,7 @@ def scheduler_pass_tasks(spark, d):
 
 @query
 def truncate_output(spark, d):
-    out = text.truncate_output(F.col("stdout"), 2000)
+    out = text.truncate_output(F.col("stdout"))
     return fx.task_outputs(spark, d).select("task_id", F.length(out).cast("long").alias("chars"), F.md5(out).alias("md5"))
 
 

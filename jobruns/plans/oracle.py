@@ -87,7 +87,7 @@ _VIEWS = {
     FROM documents d JOIN tasks t ON t.task_id = d.doc_id LEFT JOIN jobs j ON j.job_id = t.job_id""",
     "faulty": """SELECT job_id,
       CASE job_id % 6 WHEN 1 THEN '  ' WHEN 2 THEN 'dup-' || CAST(job_id % 50 AS VARCHAR) ELSE name END AS name,
-      CASE job_id % 7 WHEN 3 THEN '61 * * * *' WHEN 4 THEN '0 2 * *' ELSE cron_expression END AS cron_expression,
+      CASE job_id % 7 WHEN 3 THEN '61 * * * *' WHEN 4 THEN '0 2 * *' WHEN 5 THEN '@daily' WHEN 6 THEN '0 2 L * *' ELSE cron_expression END AS cron_expression,
       CASE job_id % 11 WHEN 5 THEN 'ftp' ELSE action_type END AS action_type,
       CASE WHEN job_id % 9 = 2 THEN 'Allow' ELSE concurrency_policy END AS concurrency_policy,
       max_retries - 1 AS max_retries FROM jobs""",
@@ -157,6 +157,21 @@ def _new_run(trigger: str, queue: str) -> str:
     return _NEW_RUN.format(trigger=trigger, queue=queue)
 
 
+_INVALID = """SELECT job_id, reason FROM (
+      SELECT job_id, 'empty name' AS reason FROM faulty WHERE trim(name) = ''
+      UNION ALL SELECT job_id, 'negative max_retries' FROM faulty WHERE max_retries < 0
+      UNION ALL SELECT job_id, 'unknown action_type' FROM faulty WHERE action_type NOT IN ('http', 'shell')
+      UNION ALL SELECT job_id, 'unknown concurrency_policy' FROM faulty WHERE concurrency_policy NOT IN ('allow', 'forbid', 'replace')
+      UNION ALL SELECT job_id, 'missing url' FROM faulty WHERE action_type = 'http' AND job_id % 8 IN (1, 6)
+      UNION ALL SELECT job_id, 'method is not text' FROM faulty WHERE action_type = 'http' AND job_id % 8 = 7
+      UNION ALL SELECT job_id, 'missing command' FROM faulty WHERE action_type = 'shell' AND job_id % 8 IN (1, 6)
+      UNION ALL SELECT job_id, 'timeout_seconds below 1' FROM faulty WHERE action_type IN ('http', 'shell') AND job_id % 8 IN (2, 5)
+      UNION ALL SELECT job_id, 'headers are not an object of strings' FROM faulty WHERE action_type = 'http' AND job_id % 8 = 3
+      UNION ALL SELECT job_id, 'body is neither text nor object' FROM faulty WHERE action_type = 'http' AND job_id % 8 = 4
+      UNION ALL SELECT job_id, 'duplicate name' FROM faulty WHERE name IN (SELECT name FROM faulty GROUP BY name HAVING count(*) > 1)
+      UNION ALL SELECT job_id, 'Invalid cron expression' FROM faulty WHERE job_id % 7 IN (3, 4))"""
+
+
 ORACLE: dict[str, str] = {
     # Sources and sinks
     "read_tables": _sql("tasks", "SELECT task_id, job_id, status, trigger_type, retry_count, created_at, processed_for_chaining FROM tasks"),
@@ -173,9 +188,18 @@ ORACLE: dict[str, str] = {
     "upsert_jobs": _sql("jobs", f"""SELECT c.c_custkey AS job_id,
       CASE WHEN c.c_custkey % 3 = 0 THEN upper(c.c_name) ELSE j.name END AS name,
       CAST(CASE WHEN c.c_custkey % 3 = 1 THEN false ELSE j.enabled END AS VARCHAR) AS enabled,
-      CASE WHEN c.c_custkey % 3 = 1 THEN NULL ELSE j.cron_expression END AS cron_expression,
-      j.job_type, {_NOW} AS updated_at
-      FROM customer c LEFT JOIN jobs j ON j.job_id = c.c_custkey"""),
+      CASE WHEN c.c_custkey % 3 = 1 THEN NULL WHEN c.c_custkey % 9 = 2 THEN '0 2 * * *' ELSE j.cron_expression END AS cron_expression,
+      CASE WHEN c.c_custkey % 3 = 1 THEN 'normal' WHEN c.c_custkey % 9 = 2 THEN 'scheduled' ELSE j.job_type END AS job_type,
+      CASE WHEN c.c_custkey % 3 = 1 THEN NULL WHEN c.c_custkey % 9 = 2 THEN TIMESTAMP '2001-08-02 02:00:00' ELSE j.next_fire_at END AS next_fire_at,
+      CASE WHEN c.c_custkey % 9 = 5 THEN j.updated_at ELSE {_NOW} END AS updated_at
+      FROM customer c JOIN jobs j ON j.job_id = c.c_custkey"""),
+    "refused_updates": """SELECT c_custkey AS job_id, 'Job not found' AS reason FROM customer WHERE c_custkey % 97 = 0
+      UNION ALL SELECT c_custkey, 'Invalid cron expression' FROM customer WHERE c_custkey % 97 <> 0 AND c_custkey % 9 = 5""",
+    "create_jobs": _sql("faulty next", f""", broken AS ({_INVALID}), made AS (SELECT f.* FROM faulty f WHERE job_id NOT IN (SELECT job_id FROM broken))
+      SELECT m.job_id + 10000000 AS job_id, 'added' AS outcome, CASE WHEN m.cron_expression IS NULL THEN 'normal' ELSE 'scheduled' END AS job_type,
+        CASE m.job_id % 7 WHEN 5 THEN TIMESTAMP '2001-08-03 00:00:00' WHEN 6 THEN TIMESTAMP '2001-08-31 02:00:00' ELSE n.fires_at END AS next_fire_at
+      FROM made m LEFT JOIN nxt n ON n.cron_expression = m.cron_expression
+      UNION ALL SELECT job_id + 10000000, 'normal', NULL, NULL FROM made WHERE cron_expression IS NULL"""),
     "cascade_delete": _sql("jobs tasks edges", """, doomed AS (SELECT job_id FROM jobs WHERE lower(name) LIKE '%r#%1_%')
       SELECT 'job' AS kind, job_id AS a, job_id AS b FROM jobs WHERE job_id NOT IN (SELECT job_id FROM doomed)
       UNION ALL SELECT 'task', task_id, job_id FROM tasks WHERE job_id NOT IN (SELECT job_id FROM doomed)
@@ -256,10 +280,13 @@ ORACLE: dict[str, str] = {
     "jobs_without_upstream": _sql("jobs edges", "SELECT job_id, name FROM jobs WHERE job_id NOT IN (SELECT downstream_job_id FROM edges)"),
     "runs_without_job": _sql("jobs tasks", """SELECT task_id, job_id, 'final_failed' AS status, '' AS stdout, 'Job not found' AS stderr
       FROM tasks WHERE job_id NOT IN (SELECT job_id FROM jobs)"""),
-    "adjacency": _sql("jobs edges", """SELECT job_id, 0 AS part,
+    "adjacency": _sql("jobs edges", """SELECT downstream_job_id AS job_id, 'upstream' AS side, upstream_job_id AS neighbour_id FROM edges
+      WHERE downstream_job_id IN (SELECT job_id FROM jobs)
+      UNION ALL SELECT upstream_job_id, 'downstream', downstream_job_id FROM edges WHERE upstream_job_id IN (SELECT job_id FROM jobs)"""),
+    "adjacency_lists": _sql("jobs edges", """SELECT job_id,
       coalesce((SELECT string_agg(CAST(upstream_job_id AS VARCHAR), ',' ORDER BY upstream_job_id) FROM edges WHERE downstream_job_id = job_id), '') AS upstream_job_ids,
       coalesce((SELECT string_agg(CAST(downstream_job_id AS VARCHAR), ',' ORDER BY downstream_job_id) FROM edges WHERE upstream_job_id = job_id), '') AS downstream_job_ids
-      FROM jobs"""),
+      FROM (SELECT job_id FROM jobs WHERE enabled ORDER BY created_at DESC, job_id DESC LIMIT 100 OFFSET 100)"""),
     "upstream_state": _sql("upstream", "SELECT * FROM upstream"),
     # Aggregations
     "table_totals": _sql("jobs tasks", "SELECT 'jobs' AS name, count(*) AS total FROM jobs UNION ALL SELECT 'tasks', count(*) FROM tasks"),
@@ -337,7 +364,7 @@ ORACLE: dict[str, str] = {
     # Schedules and dispatch
     "classify_schedule": _sql("faulty next", """SELECT job_id,
       CASE WHEN f.cron_expression IS NULL THEN 'normal' WHEN f.job_id % 7 NOT IN (3, 4) THEN 'scheduled' END AS job_type,
-      f.cron_expression, n.fires_at AS next_fire_at,
+      f.cron_expression, CASE f.job_id % 7 WHEN 5 THEN TIMESTAMP '2001-08-03 00:00:00' WHEN 6 THEN TIMESTAMP '2001-08-31 02:00:00' ELSE n.fires_at END AS next_fire_at,
       CASE WHEN f.job_id % 7 IN (3, 4) THEN 'Invalid cron expression' END AS error
       FROM faulty f LEFT JOIN nxt n ON n.cron_expression = f.cron_expression"""),
     "next_fire": _sql("jobs next", """SELECT job_id, j.cron_expression, n.fires_at
@@ -354,9 +381,9 @@ ORACLE: dict[str, str] = {
     "dispatch_due_jobs": _sql("due next", "SELECT job_id, fires_at AS next_fire_at FROM due JOIN nxt USING (cron_expression)"),
     "concurrency_gate": _sql("due", "SELECT job_id, concurrency_policy, blocked FROM due"),
     "dispatch_one_time": _sql("jobs edges", f"""SELECT job_id, {_new_run('manual', 'normal')} FROM jobs
-      WHERE job_type = 'normal' AND enabled AND job_id NOT IN (SELECT downstream_job_id FROM edges)"""),
+      WHERE job_type = 'normal' AND enabled AND job_id NOT IN (SELECT downstream_job_id FROM edges WHERE downstream_job_id % 20 NOT IN (3, 7))"""),
     "dispatch_on_enable": _sql("edited edges", f"""SELECT job_id, {_new_run('manual', 'normal')} FROM edited
-      WHERE job_type = 'normal' AND enabled AND NOT was_enabled AND job_id NOT IN (SELECT downstream_job_id FROM edges)"""),
+      WHERE job_type = 'normal' AND enabled AND NOT was_enabled AND job_id NOT IN (SELECT downstream_job_id FROM edges WHERE downstream_job_id % 20 NOT IN (3, 7))"""),
     "trigger": _sql("jobs", """SELECT o_custkey AS job_id, CASE WHEN o_custkey IN (SELECT job_id FROM jobs) THEN 'normal' ELSE 'Job not found' END AS outcome FROM orders"""),
     "route": _sql("routed", "SELECT task_id, queue FROM routed"),
     "reconstruct_queue": _sql("jobs tasks", f"SELECT task_id, {_QUEUE} AS queue FROM tasks JOIN jobs USING (job_id)"),
@@ -379,7 +406,7 @@ ORACLE: dict[str, str] = {
         FROM asked LEFT JOIN tasks USING (task_id) WHERE status IS NULL OR status NOT IN ('failed', 'final_failed')"""),
     "apply_results": _sql("judged", f"""SELECT task_id, job_id, status, CASE WHEN gone THEN 'Job not found' ELSE stderr END AS stderr,
       {_NOW} AS finished_at, length(cut) AS stdout_chars, md5(cut) AS stdout_md5
-      FROM (SELECT *, CASE WHEN gone THEN '' WHEN length(stdout) > 2000 THEN substring(stdout, 1, 2000) || chr(10) || '...[truncated]' ELSE stdout END AS cut FROM judged)"""),
+      FROM (SELECT *, CASE WHEN gone THEN '' WHEN length(stdout) > 64000 THEN substring(stdout, 1, 64000) || chr(10) || '...[truncated]' ELSE stdout END AS cut FROM judged)"""),
     "result_retries": _sql("judged", f"""SELECT job_id, 'pending' AS status, trigger_type, retry_count + 1 AS retry_count, {_NOW} AS created_at, 'retry' AS queue
       FROM judged WHERE status = 'failed'"""),
     "claim": _sql("tasks winners", f"""SELECT t.task_id, t.job_id, 'running' AS status, w.worker_id AS locked_by,
@@ -411,7 +438,7 @@ ORACLE: dict[str, str] = {
     "scheduler_pass_tasks": _sql("unchained", f"""SELECT task_id, status, true AS processed_for_chaining FROM unchained
       UNION ALL SELECT task_id, 'pending', processed_for_chaining FROM tasks WHERE status = 'running' AND locked_until < {_NOW}"""),
     "truncate_output": """SELECT task_id, length(cut) AS chars, md5(cut) AS md5 FROM (SELECT doc_id AS task_id,
-      CASE WHEN length(text) > 2000 THEN substring(text, 1, 2000) || chr(10) || '...[truncated]' ELSE text END AS cut FROM documents)""",
+      CASE WHEN length(text) > 64000 THEN substring(text, 1, 64000) || chr(10) || '...[truncated]' ELSE text END AS cut FROM documents)""",
     # Queues and fleet
     "queue_depth_timeline": _sql("messages", """SELECT queue, bucket, CAST(sum(v) OVER w AS BIGINT) AS visible, CAST(sum(f) OVER w AS BIGINT) AS not_visible
       FROM (SELECT queue, date_trunc('minute', ts) AS bucket,
@@ -432,18 +459,7 @@ ORACLE: dict[str, str] = {
     "rederive_spec": _sql("jobs", """SELECT job_id, 'curlimages/curl:8.6.0' AS image,
       'curl|-fsS|-X|GET|-H|A: 1|-H|B: 2|-d|{"k": [1, 2], "t": "a, b: c"}|https://new.example/' || CAST(job_id AS VARCHAR) AS command,
       '500m' AS cpu, '256Mi' AS memory FROM jobs WHERE job_id % 4 = 0"""),
-    "invalid_jobs": _sql("faulty", """SELECT job_id, reason FROM (
-      SELECT job_id, 'empty name' AS reason FROM faulty WHERE trim(name) = ''
-      UNION ALL SELECT job_id, 'negative max_retries' FROM faulty WHERE max_retries < 0
-      UNION ALL SELECT job_id, 'unknown action_type' FROM faulty WHERE action_type NOT IN ('http', 'shell')
-      UNION ALL SELECT job_id, 'unknown concurrency_policy' FROM faulty WHERE concurrency_policy NOT IN ('allow', 'forbid', 'replace')
-      UNION ALL SELECT job_id, 'missing url' FROM faulty WHERE action_type = 'http' AND job_id % 8 = 1
-      UNION ALL SELECT job_id, 'missing command' FROM faulty WHERE action_type = 'shell' AND job_id % 8 = 1
-      UNION ALL SELECT job_id, 'timeout_seconds below 1' FROM faulty WHERE action_type IN ('http', 'shell') AND job_id % 8 = 2
-      UNION ALL SELECT job_id, 'headers are not an object of strings' FROM faulty WHERE action_type = 'http' AND job_id % 8 = 3
-      UNION ALL SELECT job_id, 'body is neither text nor object' FROM faulty WHERE action_type = 'http' AND job_id % 8 = 4
-      UNION ALL SELECT job_id, 'duplicate name' FROM faulty WHERE name IN (SELECT name FROM faulty GROUP BY name HAVING count(*) > 1)
-      UNION ALL SELECT job_id, 'Invalid cron expression' FROM faulty WHERE job_id % 7 IN (3, 4))"""),
+    "invalid_jobs": _sql("faulty", _INVALID),
     # Streams
     "message_actions": _sql("tasks", """SELECT o_orderkey AS seq, id AS task_id,
       CASE WHEN id IS NULL THEN 'drop' WHEN o_orderkey % 8 = 3 OR status NOT IN ('pending', 'running') THEN 'delete'
@@ -462,7 +478,7 @@ ORACLE: dict[str, str] = {
         max(ts) FILTER (kind = 'finish') AS finished, max(ts) FILTER (kind <> 'finish') AS beat FROM numbered GROUP BY ALL)
       SELECT task_id, worker_id, beat + INTERVAL 4 HOUR AS locked_until FROM sessions
       WHERE claimed IS NOT NULL AND (finished IS NULL OR finished < claimed)
-        AND last + INTERVAL 4 HOUR <= (SELECT max(ts) FROM events)""",
+        """,
     "job_changes_stream": _sql("changes", """SELECT job_id, job_type, enabled, next_fire_at, updated_at FROM
       (SELECT *, max(updated_at) OVER (PARTITION BY job_id) AS last FROM changes) WHERE updated_at = last AND enabled AND job_type = 'scheduled'"""),
 }

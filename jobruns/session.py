@@ -21,6 +21,13 @@ SETTINGS = {
 }
 
 
+def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
+    """``builder`` with the settings; a cluster session needs them as well."""
+    for key, value in SETTINGS.items():
+        builder = builder.config(key, value)
+    return builder
+
+
 def local_session(app: str = "jobruns", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session on this machine, for tests and the bench."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -29,9 +36,7 @@ def local_session(app: str = "jobruns", cores: str = "*", shuffle_partitions: in
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
     )
-    for key, value in SETTINGS.items():
-        builder = builder.config(key, value)
-    spark = builder.getOrCreate()
+    spark = configure(builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

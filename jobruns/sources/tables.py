@@ -1,4 +1,4 @@
-"""The three tables: typed reading, key lookup, append, partial update, cascade delete."""
+"""The three tables: typed reading, key lookup, append, cascade delete."""
 
 from __future__ import annotations
 
@@ -128,36 +128,6 @@ def append_tasks(new_tasks: DataFrame, path: str, batch_id: str | int, by: Seque
     writer.parquet(f"{path}/batch_id={batch_id}")
 
 
-def upsert_jobs(jobs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Partial update. ``changes`` has ``job_id``, ``updated_at``, an array ``fields`` naming the
-    columns a change sets, and those columns; a column not named is kept, one named with null is
-    cleared. Several changes of one job are applied in the order of ``updated_at``; jobs not yet
-    known are added."""
-    changed = [c for c in changes.columns if c not in ("job_id", "updated_at", "fields")]
-
-    def names(column: str):
-        return F.array_contains("fields", column)
-
-    last = changes.groupBy("job_id").agg(
-        F.max("updated_at").alias("_at"),
-        *[
-            F.max_by(F.struct(F.col(c).alias("v")), F.when(names(c), F.col("updated_at"))).alias(f"_set_{c}")
-            for c in changed
-        ],
-    )
-    merged = jobs.join(last, "job_id", "full_outer")
-
-    def value(column: str):
-        if column == "updated_at":
-            return F.coalesce("_at", "updated_at").alias(column)
-        if column in changed:
-            new = F.col(f"_set_{column}")
-            return F.when(new.isNotNull(), new["v"]).otherwise(F.col(column)).alias(column)
-        return F.col(column)
-
-    return merged.select(*[value(c) for c in jobs.columns])
-
-
 def cascade_delete(tables: Tables, doomed: DataFrame) -> Tables:
     """Remove the jobs in ``doomed`` (column ``job_id``), their runs, and every edge touching them."""
     ids = doomed.select("job_id").distinct()

@@ -15,7 +15,7 @@ EXPRESSIONS = [
     "0 0 1,15 */2 *", "10-20/3,40 0 * * 1-5", "0 4 */10 * *", "0 0 */2 * 3",
 ]
 INVALID = [
-    "61 * * * *", "0 24 * * *", "* * 0 * *", "* * * 13 *", "* * * * 8", "0 2 * *", "* * * * * *", "@daily",
+    "61 * * * *", "0 24 * * *", "* * 0 * *", "* * * 13 *", "* * * * 8", "0 2 * *", "* * * * * *", "@never", "0 0 L-2 * *", "0 0 * * 5#6", "0 0 * * L8", "0 0 * * #2",
     "1- * * * *", "*/0 * * * *", "1,,2 * * * *", "", "L * * * *", "5-1 * * * *", "a b c d e", "*-3 * * * *",
 ]
 NAMES = {n: i for i, n in enumerate("sun mon tue wed thu fri sat".split())} | {
@@ -75,6 +75,21 @@ def test_validity(spark):
     assert got == {e: True for e in EXPRESSIONS} | {e: False for e in INVALID} | {None: False}
 
 
+SPECIAL = {
+    "@hourly": "2024-02-28 12:00:00", "@daily": "2024-02-29 00:00:00", "@Midnight": "2024-02-29 00:00:00",
+    "@weekly": "2024-03-03 00:00:00", "@monthly": "2024-03-01 00:00:00", "@yearly": "2025-01-01 00:00:00",
+    "@annually": "2025-01-01 00:00:00", "0 2 L * *": "2024-02-29 02:00:00", "30 1 1,l * *": "2024-02-29 01:30:00",
+    "0 0 * * 5#2": "2024-03-08 00:00:00", "0 0 * * thu#5": "2024-02-29 00:00:00", "0 0 * * L5": "2024-03-29 00:00:00",
+    "0 0 * * L7": "2024-03-31 00:00:00", "0 0 * * mon,5#1": "2024-03-01 00:00:00", "0 0 L * 1#1": "2024-02-29 00:00:00",
+}
+
+
+def test_aliases_last_days_and_numbered_weekdays(spark):
+    jobs = spark.createDataFrame([(e,) for e in SPECIAL], "cron_expression string")
+    got = {r.cron_expression: str(r.fires_at) for r in schedule.next_fire(jobs, "2024-02-28 11:00:00").collect()}
+    assert got == SPECIAL
+
+
 def test_leap_day_and_impossible_date(spark):
     jobs = spark.createDataFrame([(1, "0 0 29 2 *"), (2, "0 0 31 2 *")], "job_id long, cron_expression string")
     got = {r.job_id: r.fires_at for r in schedule.next_fire(jobs, "2097-01-01 00:00:00").collect()}

@@ -57,23 +57,6 @@ def test_appending_a_batch_again_replaces_it(spark, tmp_path, table):
     ]
 
 
-def test_partial_update(table):
-    jobs = table("job_id long, name string, enabled boolean, cron_expression string, updated_at time",
-                 (1, "a", True, "* * * * *", "2024-01-01 00:00:00"), (2, "b", True, None, "2024-01-01 00:00:00"))
-    changes = table(
-        "job_id long, fields array<string>, name string, cron_expression string, updated_at time",
-        (1, ["cron_expression"], "ignored", None, "2024-01-02 00:00:00"),
-        (1, ["name"], "early", None, "2024-01-02 00:00:00"),
-        (1, ["name"], "late", "ignored", "2024-01-03 00:00:00"),
-        (3, ["name"], "new", None, "2024-01-02 00:00:00"),
-    )
-    got = tables.upsert_jobs(jobs, changes)
-    assert values(got, "job_id", "name", "enabled", "cron_expression", "updated_at") == [
-        (1, "late", True, None, datetime(2024, 1, 3)), (2, "b", True, None, datetime(2024, 1, 1)),
-        (3, "new", None, None, datetime(2024, 1, 2)),
-    ]
-
-
 def test_cascade_delete(spark):
     t = fx.tables(spark, SF)
     doomed = select.filter_jobs(t.jobs, q="00001")
