@@ -120,7 +120,7 @@ class _Classes(dict):
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """The classes of the words and of the end."""
-        return np.fromiter((self[w] for w in words), np.int32, len(words))
+        return np.array(list(map(self.__getitem__, words)), np.int32)
 
 
 def pair_counts(slim: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -249,57 +249,59 @@ SCORED = (
     "doc_id long, held_out boolean, text_hash long, n_tokens long, n_common long, rare_tokens long, base_common double, "
     "model_part double, rare array<struct<word: binary, n: long>>"
 )
-_SCORED = pa.schema(
-    [
-        ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text_hash", pa.int64()), ("n_tokens", pa.int64()),
-        ("n_common", pa.int64()), ("rare_tokens", pa.int64()), ("base_common", pa.float64()), ("model_part", pa.float64()),
-        ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
-    ]
-)
-
-
-def _score_text(text: bytes, model: Model, classes: _Classes) -> dict:
-    """What a task can say of a text: all but the counts of its rare words."""
-    vocab, words = model.vocab, words_of(text)
-    before, logs, model_part = END, 0.0, 0.0
-    for i in range(0, len(words) + 1, AT_ONCE):
-        part = words[i : i + AT_ONCE]
-        c = classes.of(part)
-        if i + AT_ONCE > len(words):
-            c = np.append(c, END)
-        model_part += float(model.table[np.concatenate([[before], c[:-1]]), c].sum() - model.masses[c].sum())
-        before = c[-1]
-    rare: Counter[bytes] = Counter()
-    common, n_common, known = vocab.common, int(vocab.ends > 0), np.log10(vocab.ends + 0.1)
-    for word, n in Counter(words).items():
-        count = common.get(word)
-        if count is None:
-            rare[word] = n
-            continue
-        n_common += n
-        logs += n * np.log10(count + 0.1)
-        if word not in vocab.heads:
-            model_part += n * np.log10(count + 0.1)
-    return {
-        "n_tokens": len(words) + 1, "n_common": n_common, "rare_tokens": rare.total(), "base_common": logs + known,
-        "model_part": model_part, "rare": [{"word": w, "n": n} for w, n in rare.items()],
-        "text_hash": int(np.uint64(xxhash.xxh64_intdigest(text)).view(np.int64)),
-    }
+_SCORED_NAMES = ["doc_id", "held_out", "text_hash", "n_tokens", "n_common", "rare_tokens", "base_common", "model_part", "rare"]
+
+
+class _Scorer:
+    """What a task can say of texts: all but the counts of their rare words."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.classes = model, _Classes(model.vocab)
+        self.logs = {w: float(np.log10(n + 0.1)) for w, n in model.vocab.common.items()}
+
+    def score(self, text: bytes) -> tuple[int, int, float, float, Counter[bytes]]:
+        """Tokens and common tokens; log10 of the common tokens' counts plus 0.1; the model's part; the rare words."""
+        model, words, logs = self.model, words_of(text), self.logs
+        before, model_part = END, 0.0
+        ends = model.vocab.ends
+        n_common, base = int(ends > 0), float(np.log10(ends + 0.1))
+        rare: Counter[bytes] = Counter()
+        for i in range(0, len(words) + 1, AT_ONCE):
+            part = words[i : i + AT_ONCE]
+            c = self.classes.of(part)
+            own = np.array(list(map(logs.get, part)), np.float64)  # nan for rare words
+            known = ~np.isnan(own)
+            rare.update(w for w, k in zip(part, known.tolist(), strict=True) if not k)
+            n_common += int(known.sum())
+            base += float(own[known].sum())
+            model_part += float(own[known & (c > HEADS)].sum())
+            if i + AT_ONCE > len(words):
+                c = np.append(c, np.int32(END))
+            model_part += float(model.table[np.concatenate([[before], c[:-1]]), c].sum() - model.masses[c].sum())
+            before = c[-1]
+        return len(words) + 1, n_common, base, model_part, rare
 
 
 def _scored(slim: DataFrame, model: Model) -> DataFrame:
     sent = slim.sparkSession.sparkContext.broadcast(model)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = _Classes(sent.value.vocab)
+        scorer = _Scorer(sent.value)
         for part in parts:
-            rows = []
-            for key, text, held_out in zip(*part.columns, strict=True):
-                rows.append({"doc_id": key.as_py(), "held_out": held_out.as_py(), **_score_text(text.as_py(), sent.value, classes)})
-                if len(rows) == 1000:
-                    yield pa.RecordBatch.from_pylist(rows, _SCORED)
-                    rows = []
-            yield pa.RecordBatch.from_pylist(rows, _SCORED)
+            for first in range(0, part.num_rows, 1000):
+                rows = part.slice(first, 1000)
+                texts = [t.as_py() for t in rows.column(1)]
+                n_tokens, n_common, base, model_part, rare = zip(*map(scorer.score, texts), strict=True)
+                hashes = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+                ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+                words = pa.array([w for r in rare for w in r], pa.binary())
+                counts = pa.array([n for r in rare for n in r.values()], pa.int64())
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([words, counts], ["word", "n"]))
+                columns = [
+                    rows.column(0), rows.column(2), pa.array(hashes), pa.array(n_tokens, pa.int64()), pa.array(n_common, pa.int64()),
+                    pa.array([r.total() for r in rare], pa.int64()), pa.array(base, pa.float64()), pa.array(model_part, pa.float64()), lists,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=_SCORED_NAMES)
 
     return slim.select("doc_id", "text", "held_out").mapInArrow(batches, SCORED)
 
