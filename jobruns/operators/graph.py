@@ -7,6 +7,8 @@ the checkpoint folder, which keeps plans short and lets a lost executor be repla
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def _grown(found: DataFrame, piece: DataFrame, rounds: int) -> DataFrame:
 def descendants(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Every job reachable downstream of the source jobs (column ``job_id``), at any depth. A source
     is part of the result only when it lies on a cycle or below another source."""
-    edges = edges.select(UP, DOWN)
+    edges = cut_lineage(edges.select(UP, DOWN).distinct())
     frontier = cut_lineage(sources.select("job_id").distinct())
     found, rounds = frontier.limit(0), 0
     while True:
@@ -43,9 +45,30 @@ def descendants(edges: DataFrame, sources: DataFrame) -> DataFrame:
         found = _grown(found, frontier, rounds)
 
 
+def descendants_of_each(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(source, descendant)`` for the source jobs (column ``job_id``) only."""
+    edges = cut_lineage(edges.select(UP, DOWN).distinct())
+    frontier = cut_lineage(sources.select(F.col("job_id").alias("source"), F.col("job_id").alias("descendant")).distinct())
+    found, rounds = frontier.limit(0), 0
+    while True:
+        step = (
+            frontier.withColumnRenamed("descendant", UP)
+            .join(edges, UP)
+            .select("source", F.col(DOWN).alias("descendant"))
+            .distinct()
+            .join(found, ["source", "descendant"], "left_anti")
+        )
+        frontier = cut_lineage(step)
+        if frontier.isEmpty():
+            return found
+        rounds += 1
+        found = _grown(found, frontier, rounds)
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs ``(ancestor, descendant)``. Its size is what the question asks for: it grows with
-    the square of a component. Use :func:`descendants` or :func:`jobs_on_cycle` where they do.
+    the square of a component. Use :func:`descendants`, :func:`descendants_of_each` or
+    :func:`jobs_on_cycle` where they do.
 
     Pairs carry their distance. When all pairs up to distance ``n`` are known, those at exactly
     ``n`` followed by any known pair give all up to ``2n``, so the number of rounds is the logarithm
@@ -92,13 +115,79 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return core
 
 
+class Chains(NamedTuple):
+    """A graph with its chains drawn together. A chain's jobs have one edge in and one out; ``inner`` has them
+    with the jobs before and after their chain (``job_id, start, end``), and ``edges`` leads from one to the
+    other. ``rings`` are the jobs of cycles that nothing else touches."""
+
+    edges: DataFrame
+    inner: DataFrame
+    rings: DataFrame
+
+
+def contracted(edges: DataFrame) -> Chains:
+    """Draw chains together. Each round doubles how far a job sees along its chain, so the rounds are the
+    logarithm of the longest one."""
+    edges = cut_lineage(edges.select(UP, DOWN).distinct())
+    ends = F.inline(
+        F.array(
+            F.struct(F.col(UP).alias("job_id"), F.col(DOWN).alias("end"), F.lit(None).alias("start")),
+            F.struct(F.col(DOWN).alias("job_id"), F.lit(None).alias("end"), F.col(UP).alias("start")),
+        )
+    )
+    inner = cut_lineage(
+        edges.select(ends)
+        .groupBy("job_id")
+        .agg(F.min("start").alias("start"), F.min("end").alias("end"), F.count("start").alias("ins"), F.count("end").alias("outs"))
+        .where((F.col("ins") == 1) & (F.col("outs") == 1) & (F.col("start") != F.col("job_id")))
+        .select("job_id", "start", "end", F.lit(True).alias("open"))
+    )
+    for _ in range(inner.count().bit_length()):
+        back = inner.select(F.col("job_id").alias("start"), F.col("start").alias("_start"))
+        on = inner.select(F.col("job_id").alias("end"), F.col("end").alias("_end"))
+        inner = cut_lineage(
+            inner.join(back, "start", "left")
+            .join(on, "end", "left")
+            .select(
+                "job_id",
+                F.coalesce("_start", "start").alias("start"),
+                F.coalesce("_end", "end").alias("end"),
+                F.col("_end").isNotNull().alias("open"),
+            )
+        )
+        if inner.where("open").isEmpty():
+            break
+    # What still leads to a chain's job after that many doublings goes round.
+    rings = inner.where("open").select("job_id")
+    inner = inner.where("NOT open").select("job_id", "start", "end")
+    within = inner.select("job_id").unionByName(rings)
+    kept = edges.join(within.withColumnRenamed("job_id", UP), UP, "left_anti").join(
+        within.withColumnRenamed("job_id", DOWN), DOWN, "left_anti"
+    )
+    drawn = inner.select(F.col("start").alias(UP), F.col("end").alias(DOWN))
+    return Chains(cut_lineage(kept.select(UP, DOWN).unionByName(drawn).distinct()), inner, rings)
+
+
 def has_cycle(edges: DataFrame) -> DataFrame:
     """One row: does the graph have a cycle?"""
-    return cyclic_core(edges).agg((F.count("*") > 0).alias("has_cycle"))
+    chains = contracted(edges)
+    core = cyclic_core(chains.edges).select(F.col(UP).alias("job_id"))
+    return chains.rings.unionByName(core).agg((F.count("*") > 0).alias("has_cycle"))
 
 
 def jobs_on_cycle(edges: DataFrame) -> DataFrame:
-    """Jobs that are their own descendant.
+    """Jobs that are their own descendant: those of the graph with its chains drawn together, the chains between
+    two of one cycle, and the rings."""
+    chains = contracted(edges)
+    cyclic = cut_lineage(_cyclic_components(chains.edges))
+    start = cyclic.select(F.col("job_id").alias("start"), "label")
+    end = cyclic.select(F.col("job_id").alias("end"), "label")
+    between = chains.inner.join(start, "start").join(end, ["end", "label"]).select("job_id")
+    return cyclic.select("job_id").unionByName(between).unionByName(chains.rings)
+
+
+def _cyclic_components(edges: DataFrame) -> DataFrame:
+    """``(job_id, label)`` of the jobs on cycles, by strongly connected component.
 
     Without forming pairs: peel to the core, give every job the largest id that reaches it, then
     walk back from each job that kept its own id among the jobs of that id. What is met is one
@@ -106,7 +195,7 @@ def jobs_on_cycle(edges: DataFrame) -> DataFrame:
     in the edges.
     """
     core = cyclic_core(edges)
-    found = core.select(F.col(UP).alias("job_id")).limit(0)
+    found = core.select(F.col(UP).alias("job_id"), F.col(UP).alias("label")).limit(0)
     while not core.isEmpty():
         label = _largest_reaching(core)
         component = _component_of_roots(core, label)
@@ -114,8 +203,8 @@ def jobs_on_cycle(edges: DataFrame) -> DataFrame:
         loops = core.where(F.col(UP) == F.col(DOWN)).select(F.col(UP).alias("job_id"))
         cyclic = (
             component.join(members.where(F.col("size") > 1), "label", "left_semi")
-            .select("job_id")
-            .unionByName(component.select("job_id").join(loops, "job_id", "left_semi"))
+            .select("job_id", "label")
+            .unionByName(component.select("job_id", "label").join(loops, "job_id", "left_semi"))
             .distinct()
         )
         found = cut_lineage(found.unionByName(cyclic))

@@ -87,3 +87,26 @@ def test_diamond_gives_one_candidate(spark, table):
     successes = table("job_id long", (1,), (2,))
     assert values(graph.candidates(successes, edges, jobs)) == [(3,)]
     assert values(graph.candidate_set(successes, edges, jobs)) == [(1,), (2,), (3,), (5,)]
+
+
+def test_long_rings_and_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    cut = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    ring = [(i, (i + 1) % 300) for i in range(300)]
+    chain = [(20_000 + i, 20_001 + i) for i in range(300)]
+    # Two jobs with three ways between them, each a chain, and one way back.
+    ways = [(40_000, 41_000), (41_199, 40_001), (40_000, 42_000), (42_199, 40_001), (40_001, 43_000), (43_199, 40_000), (40_001, 44_000)]
+    ways += [(b + i, b + i + 1) for b in (41_000, 42_000, 43_000, 44_000) for i in range(199)]
+    df = make(spark, ring + chain + ways)
+    on_cycle = {r.job_id for r in graph.jobs_on_cycle(df).collect()}
+    assert on_cycle == {*range(300), 40_000, 40_001, *(b + i for b in (41_000, 42_000, 43_000) for i in range(200))}
+    assert len(rounds) <= 40
+    rounds.clear()
+    assert graph.has_cycle(make(spark, chain)).first().has_cycle is False and len(rounds) <= 40
+
+
+def test_descendants_of_each(spark):
+    df = make(spark, [(1, 2), (2, 3), (3, 2), (4, 1)])
+    sources = spark.createDataFrame([(1,), (3,), (9,)], "job_id long")
+    assert values(graph.descendants_of_each(df, sources)) == [(1, 2), (1, 3), (3, 2), (3, 3)]
