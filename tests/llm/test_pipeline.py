@@ -37,8 +37,8 @@ def test_odd_rows_through_each_stage(spark, odd, none, tmp_path):
         if name != "encoding":
             assert out.columns == odd.columns and out.dtypes == odd.dtypes
         ids = [r.doc_id for r in out.collect()]
-        if name == "exact dedup":  # 2 has more code points than 1; 3 is another text; 4 is the first empty one
-            assert sorted(map(str, ids)) == sorted(map(str, [2, 3, 4, None, 7, 8, 9, 10]))
+        if name == "exact dedup":  # 2 has more code points than 1, 6 than the other empty ones
+            assert sorted(map(str, ids)) == sorted(map(str, [2, 3, 6, None, 7, 8, 9, 10]))
         if name == "near dedup":  # case does not count
             assert sorted(map(str, ids)) == sorted(map(str, [1, 4, None, 7, 8, 9, 10]))
         assert stage(spark, none, str(tmp_path)).count() == 0
