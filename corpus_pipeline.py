@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from jobruns.llm.bpe import default_tokenizer
 from jobruns.llm.common import table, text_hash, written
 from jobruns.llm.exact import dedup_documents
+from jobruns.llm.jaccard import near_copies
 from jobruns.llm.mixing import mix
 from jobruns.llm.quality import accepted, fit
-from jobruns.llm.simhash import near_duplicates
 
 #: No SQL: the classifier, SimHash and the tokenizer are not expressible in it; tests hold the run to brute force.
 ORACLE_SQL = None
@@ -44,9 +44,9 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
+    """Of each group of near copies (op1's links, and five-word similarity of 0.8 or more) the document with the smallest id."""
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
-    best = near_duplicates(docs).groupBy("group").agg(F.min(order).alias("best"))
+    best = near_copies(docs).groupBy("group").agg(F.min(order).alias("best"))
     return _only(docs, best.select("best.doc_id", "best.text_hash"))
 
 
