@@ -1,7 +1,7 @@
 """The corpus pipeline: documents that are good, different, mixed to target shares, as token counts and digests.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's ``docs``. All but the last return the columns they were given, with rows left out. Rows that repeat a
+one's ``docs``. All but the last return the columns they were given, with rows left out, or repeated by the mixing. Rows that repeat a
 document whole (id and text) are one document. Ids and texts may be null; tables may be empty; columns beside doc_id,
 text, source and lang are carried along, whatever they are called.
 """
@@ -51,8 +51,8 @@ def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample in which sources, languages and topics have their target shares of tokens."""
-    return mix(docs).where("chosen").select("row.*")
+    """A sample in which sources, languages and topics have their target shares of tokens; documents of rare ones can repeat."""
+    return mix(docs).where("chosen").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 Documents are counted into cells (one per combination of categories). The cells' token weights are raked:
 scaled to each margin's target shares in turn until all margins hold. A cell's weight over its tokens is the
-rate at which its documents are wanted; the rates are scaled so that the largest is a probability of 1, so
-the expected tokens of the sample have the target shares. Only cell tables are shuffled, after counting per
+rate at which its documents are wanted. A sample has a target size, a share of all tokens: a document is taken as
+often as its rate times that share says, the whole part for certain and the rest by a draw, so the expected tokens have
+the target shares and size, and a small cell far below its target is repeated and leaves the others as they are.
+``probability`` is the law without repeats: rates scaled so that the largest is 1, so that the rarest cell decides how
+much is left. Only cell tables are shuffled, after counting per
 task. Only DataFrame functions are used.
 """
 
@@ -18,6 +21,8 @@ from jobruns.llm.common import WORD, filled, table, written
 
 TOLERANCE = 1e-10
 SWEEPS = 50
+#: Tokens of a sample as a share of the tokens there are.
+SIZE = 0.9
 #: Exponents on the tokens of a category; the targets are the shares of the results.
 TEMPERATURES = {"source": 0.8, "lang": 0.9, "topic": 1.0}
 
@@ -77,11 +82,12 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float =
 
 
 def chances(cells: DataFrame) -> DataFrame:
-    """Raked cells with ``rate`` (weight over tokens, as shares) and ``probability`` (rate over the largest rate)."""
+    """Raked cells with ``rate`` (weight over tokens, as shares) and ``probability`` (rate over the largest rate); ``wanted`` is the rate as it is."""
     total, peak = cells.agg(F.sum("tokens"), F.max(F.col("weight") / F.col("tokens"))).first()
     rate = F.col("weight") / F.col("tokens")
     return cells.select(
         "*",
+        (rate * F.lit(float(total or 1))).alias("wanted"),
         F.round(rate * F.lit(float(total or 1)), 6).alias("rate"),
         F.round(rate / F.lit(peak or 1.0), 9).alias("probability"),
     )
@@ -93,8 +99,21 @@ def draw(seed: int, key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", seed: int = 4) -> DataFrame:
-    """The frame as column ``row`` (a struct), with topic, tokens, rate, probability and ``chosen``.
+def mix(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    lang: str = "lang",
+    seed: int = 4,
+    size: float | None = SIZE,
+    targets: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
+    """The frame as column ``row`` (a struct), with topic, tokens, rate, probability, ``copies`` and ``chosen`` (any copies).
+
+    ``size``: the expected tokens of all copies as a share of all tokens, where every cell with documents has a target;
+    None for the largest sample without repeats, drawn by ``probability``. ``targets``: (category, target) shares by
+    column source, lang or topic, in place of the tempered shares of the data.
 
     Null categories count as the empty string, null texts as empty (they have one token, the end). Rows with
     equal ids are chosen together. An empty frame stays empty.
@@ -109,14 +128,18 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         draw(seed, F.col(key)).alias("u"),
     )
     cells = written(marked.groupBy(*columns).agg(F.sum("tokens").alias("tokens")), "counts")
-    targets = {c: tempered(cells, c, e) for c, e in TEMPERATURES.items()}
-    rates = written(chances(rake(cells, targets)).drop("tokens", "weight"), "rates")
-    return marked.join(rates, columns).withColumn("chosen", F.col("u") < F.col("probability"))
+    given = targets or {}
+    fitted = {c: given[c] if c in given else tempered(cells, c, e) for c, e in TEMPERATURES.items()}
+    rates = written(chances(rake(cells, fitted)).drop("tokens", "weight"), "rates")
+    times = F.col("probability") if size is None else F.col("wanted") * F.lit(float(size))
+    whole = F.lit(0) if size is None else F.floor(times).cast("int")
+    copies = whole + (F.col("u") < times - whole).cast("int")
+    return marked.join(rates, columns).withColumn("copies", copies).drop("wanted").withColumn("chosen", F.col("copies") > 0)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mix(docs).select("row.doc_id", "source", "lang", "topic", "tokens", "rate", "probability", "chosen")
+    return mix(docs, size=None).select("row.doc_id", "source", "lang", "topic", "tokens", "rate", "probability", "chosen")
 
 
 def _target_sql(column: str) -> str:

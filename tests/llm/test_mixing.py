@@ -61,3 +61,25 @@ def test_odd_rows(odd, none):
     assert len(twice) == 2 and twice[0] == twice[1]
     assert mixing.mix(odd).select("row.*").columns == odd.columns
     assert mixing.mix(none).count() == 0
+
+
+def test_a_stray_row_does_not_thin_out_the_others(spark):
+    rows = [(i, "word " * 99, "en" if i % 5 else "de", "big" if i % 4 else "small") for i in range(2000)]
+    found = {}
+    for stray in ([], [(9999, "just four words here", "en", "odd")]):
+        mixed = mixing.mix(spark.createDataFrame(rows + stray, "doc_id long, text string, lang string, source string")).collect()
+        found[len(stray)] = sum(r.chosen for r in mixed if r.row.doc_id != 9999) / 2000
+        tokens = sum(r.tokens for r in mixed)
+        assert sum(r.tokens * r.copies for r in mixed) / tokens == pytest.approx(mixing.SIZE, abs=0.03)
+    assert mixed and next(r.copies for r in mixed if r.row.doc_id == 9999) > 1
+    assert found[1] == pytest.approx(found[0], abs=0.05) and found[1] > 0.8
+
+
+def test_target_tables(spark):
+    rows = [(i, "word " * 9, "en", "a" if i % 10 else "b") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = defaultdict(int)
+    for r in mixing.mix(docs, size=1.0, targets={"source": shares(spark, "source", {"a": 0.5, "b": 0.5})}).collect():
+        taken[r.source] += r.tokens * r.copies
+    assert taken["a"] / sum(taken.values()) == pytest.approx(0.5, abs=0.02)
+    assert sum(taken.values()) == pytest.approx(40_000, rel=0.03)
