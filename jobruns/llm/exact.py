@@ -7,7 +7,8 @@ An arriving digest is looked up in its bucket; only if the slot's 32 bytes equal
 Digests that are not members are groups of their own.
 
 Rows are grouped by digest before anything is shuffled by it, so a text that fills a third of the table is
-one row per task; a bucket holds about ``KEYS_PER_BUCKET`` distinct digests whatever the input.
+one row per task; the buckets follow from the digests of history and arrivals together, so a bucket holds at most about
+``KEYS_PER_BUCKET`` distinct digests however the rows are split.
 """
 
 from __future__ import annotations
@@ -170,9 +171,10 @@ def exact_dedup(history: DataFrame, arrivals: DataFrame) -> DataFrame:
     group with as many code points has one. Empty frames give an empty result.
     """
     old = written(groups(history), "history")
-    buckets = old.count() // KEYS_PER_BUCKET + 1
+    new = written(groups(arrivals), "arrivals")
+    buckets = (old.count() + new.count()) // KEYS_PER_BUCKET + 1
     index = written(build_index(old, buckets), "index")
-    found = merge_arrivals(index, groups(arrivals), buckets)
+    found = merge_arrivals(index, new, buckets)
     keys = history.unionByName(arrivals)
     return keys.join(found.select("digest", "keep_id", "group_size"), "digest").select(
         "doc_id",
@@ -186,11 +188,9 @@ def exact_dedup(history: DataFrame, arrivals: DataFrame) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``exact_dedup`` of one table: the lower half of its range of ids is the history, the rest arrives."""
+    """``exact_dedup`` of one table: half of its ids, by hash, are the history, the rest arrives."""
     keys = written(digests(docs, key, text), "digests")
-    ends = keys.agg(F.min("doc_id"), F.max("doc_id")).first()
-    middle = (ends[0] + ends[1]) // 2 if ends[0] is not None else 0
-    known = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
+    known = F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
     return exact_dedup(keys.where(known), keys.where(~known))
 
 

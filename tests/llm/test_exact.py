@@ -51,3 +51,13 @@ def test_any_split_into_history_and_arrivals_gives_the_same(spark, monkeypatch):
     expected = plain(rows)
     for history in ("true", "false", "doc_id % 3 = 0"):
         assert found(exact.exact_dedup(all_keys.where(history), all_keys.where(f"NOT ({history})"))) == expected
+
+
+def test_arrivals_are_dealt_over_buckets_without_a_history(spark, monkeypatch):
+    monkeypatch.setattr(exact, "KEYS_PER_BUCKET", 10)
+    dealt, merge = [], exact.merge_arrivals
+    monkeypatch.setattr(exact, "merge_arrivals", lambda index, new, buckets: dealt.append(buckets) or merge(index, new, buckets))
+    docs = [(None, f"text {i}") for i in range(200)], [(i or -(10**9), f"text {i}") for i in range(200)]
+    for rows in docs:
+        got = found(exact.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string")))
+        assert got == plain(rows) and dealt.pop() == 21
