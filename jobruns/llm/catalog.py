@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobruns.llm import bpe, exact, licences, lm, mixing, mtree, quality, recompression, shards, simhash, warc
+from jobruns.llm import bpe, exact, licences, lm, mixing, mtree, prefix_trie, quality, recompression, shards, simhash, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         bpe.op8_bpe,
         shards.op9_shards,
         lm.op10_lm,
+        prefix_trie.op11_prefix_trie,
         recompression.op13_recompression,
     )
 }
@@ -26,5 +27,6 @@ ORACLE = {
     "op3_exact_dedup": exact.SQL,
     "op4_mixing": mixing.SQL,
     "op5_mtree": mtree.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
     "op13_recompression": recompression.SQL,
 }
