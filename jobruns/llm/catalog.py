@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobruns.llm import bpe, exact, licences, lm, mixing, mtree, prefix_trie, quality, recompression, shards, simhash, warc
+from jobruns.llm import bpe, collocations, exact, licences, lm, mixing, mtree, prefix_trie, quality, recompression, shards, simhash, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         shards.op9_shards,
         lm.op10_lm,
         prefix_trie.op11_prefix_trie,
+        collocations.op12_collocations,
         recompression.op13_recompression,
     )
 }
@@ -28,5 +29,6 @@ ORACLE = {
     "op4_mixing": mixing.SQL,
     "op5_mtree": mtree.SQL,
     "op11_prefix_trie": prefix_trie.SQL,
+    "op12_collocations": collocations.SQL,
     "op13_recompression": recompression.SQL,
 }
