@@ -49,6 +49,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 #: Gives each round bits of its own.
 _ROUND = _mixed(np.arange(1, ROUNDS + 1, dtype=np.uint64))
 
@@ -93,23 +94,27 @@ def symbols(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def span_hashes(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of ``size`` words from each start; equal for equal words."""
-    h = np.zeros(len(start), np.uint64)
-    for k in range(int(size.max(initial=0))):
-        on = size > k
-        if on.all():
-            h = h * _ODD + words[start + k]
-        else:
-            h[on] = h[on] * _ODD + words[start[on] + k]
-    return _mixed(h)
+class Spans:
+    """Hashes of spans of words, equal for equal words: differences of one running sum, moved to the same power."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        powers = np.full(len(words) + 1, _ODD)
+        powers[0] = 1
+        self.back = np.full(len(words) + 1, _INVERSE)
+        self.back[0] = 1
+        np.cumprod(powers, out=powers)
+        np.cumprod(self.back, out=self.back)
+        self.sums = np.append(np.uint64(0), np.cumsum(words * powers[:-1]))
+
+    def of(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[start + size] - self.sums[start]) * self.back[start])
 
 
 def stretches(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     """(anchor, start, windows, stretch): windows in a row with one anchor, by the first one's start. ``stretch`` is a hash
     of all their words; for windows that are their own anchor, which are equal, it is the anchor."""
     n = len(words)
-    begin = np.flatnonzero(first)
+    begin, spans = np.flatnonzero(first), Spans(words)
     end = np.append(begin[1:], n)
     text_start, text_end = np.repeat(begin, end - begin), np.repeat(end, end - begin)
     name, s, e, lo, hi = symbols(words, first)
@@ -128,16 +133,16 @@ def stretches(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     best = best[starts]
     served = best >= 0
     key = np.zeros(len(starts), np.uint64)
-    anchors = _mixed(name + span_hashes(words, np.maximum(lo, 0), np.where(count > 0, hi - lo, 0)))
-    key[served] = anchors[best[served]]
-    key[~served] = span_hashes(words, starts[~served], np.full((~served).sum(), WINDOW))
+    used = best[served]
+    key[served] = _mixed(name[used] + spans.of(lo[used], (hi - lo)[used]))
+    key[~served] = spans.of(starts[~served], np.full((~served).sum(), WINDOW))
     new = np.ones(len(starts), bool)
     follows = (starts[1:] == starts[:-1] + 1) & (text_start[starts[1:]] == text_start[starts[:-1]])
     new[1:] = ~follows | (best[1:] != best[:-1]) | (~served[1:] & (key[1:] != key[:-1]))
     at = np.flatnonzero(new)
     windows = np.diff(np.append(at, len(starts)))
     own = ~served[at]
-    whole = span_hashes(words, starts[at], np.where(own, 0, windows + WINDOW - 1))
+    whole = spans.of(starts[at], windows + WINDOW - 1)
     return key[at], starts[at], windows, np.where(own, key[at], whole)
 
 
@@ -192,7 +197,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_places(slim: DataFrame, places: DataFrame, how: str, each: Callable, schema: str) -> DataFrame:
-    """``each(words, doc, doc_id, places)`` over the documents; places are those of one document, a list of dicts."""
+    """Columns that ``each(words, doc, doc_id, places)`` gives for the documents, put together; places are those of one document."""
     fields = [c for c in places.columns if c != "doc"]
     listed = places.groupBy("doc").agg(F.collect_list(F.struct(*fields)).alias("places"))
     packed = slim.mapInArrow(_packed, "doc long, text binary, doc_id long")
@@ -201,48 +206,48 @@ def _with_places(slim: DataFrame, places: DataFrame, how: str, each: Callable, s
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for part in parts:
+            kinds = [pa.string() if x.endswith("string") else pa.int64() for x in schema.split(", ")]
             rows = []
             for i in range(part.num_rows):
                 words = unpack.decompress(part.column(1)[i].as_py()).split()
-                rows += each(words, part.column(0)[i].as_py(), part.column(2)[i].as_py(), part.column(3)[i])
-            kinds = [pa.string() if x.endswith("string") else pa.int64() for x in schema.split(", ")]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                columns = each(words, part.column(0)[i].as_py(), part.column(2)[i].as_py(), part.column(3)[i])
+                rows.append(pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names))
+            yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
 
     return packed.join(listed, "doc", how).select("doc", "text", "doc_id", "places").mapInArrow(batches, schema)
 
 
-def _held(words: list[bytes], found: pa.Scalar) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
-    """The fields of the places whose stretch the text really has, their starts and windows, and the words' hashes. Rows that
+def _held(words: list[bytes], found: pa.Scalar) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, Spans]]:
+    """The fields of the places whose stretch the text really has, their starts and windows, and the hashes of spans. Rows that
     share an id but not a text thus get only places of their own."""
     if not found.is_valid or not len(found.values) or len(words) < WINDOW:
         return
     hashes = word_hashes(words)
+    spans = Spans(hashes)
     fields = {f.name: found.values.field(f.name).to_numpy(zero_copy_only=False) for f in found.values.type}
     start, windows = fields["place"] >> 32, fields["place"] & 0xFFFFFFFF
     inside = start + windows + WINDOW - 1 <= len(words)
     own = fields["stretch"] == fields["anchor"]
     # Of windows that are their own anchor, and equal, one stands for all; two in a row are of one word throughout.
     size = np.where(own, WINDOW, windows + WINDOW - 1)
-    real = span_hashes(hashes, np.where(inside, start, 0), np.where(inside, size, 0)).view(np.int64)
+    real = spans.of(np.where(inside, start, 0), np.where(inside, size, 0)).view(np.int64)
     changes = np.append(0, np.cumsum(hashes[1:] != hashes[:-1]))
     last = np.where(inside & own, start + windows + WINDOW - 2, 0)
     run = ~own | (windows == 1) | (changes[last] == changes[np.where(inside, start, 0)])
     true = inside & run & (real == fields["stretch"])
-    yield {k: v[true] for k, v in fields.items()}, start[true], windows[true], hashes
+    yield {k: v[true] for k, v in fields.items()}, start[true], windows[true], spans
 
 
-def _window_rows(words: list[bytes], doc: int, _: int | None, found: pa.Scalar) -> list[tuple]:
-    rows = []
-    for fields, start, windows, hashes in _held(words, found):
+def _window_rows(words: list[bytes], doc: int, _: int | None, found: pa.Scalar) -> tuple:
+    for fields, start, windows, spans in _held(words, found):
         which = np.repeat(np.arange(len(start)), windows)
         step = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-        value = span_hashes(hashes, start[which] + step, np.full(len(which), WINDOW)).view(np.int64)
-        rows += zip(fields["anchor"][which].tolist(), fields["stretch"][which].tolist(), step.tolist(), value.tolist(), [doc] * len(which), strict=True)
-    return rows
+        value = spans.of(start[which] + step, np.full(len(which), WINDOW)).view(np.int64)
+        return fields["anchor"][which], fields["stretch"][which], step, value, np.full(len(which), doc)
+    return ([],) * 5
 
 
-def _kept(words: list[bytes], _: int, doc_id: int | None, found: pa.Scalar) -> list[tuple]:
+def _kept(words: list[bytes], _: int, doc_id: int | None, found: pa.Scalar) -> tuple:
     change = np.zeros(len(words) + 1, np.int64)
     for fields, start, windows, _hashes in _held(words, found):
         every = fields["steps"] == -1
@@ -254,7 +259,7 @@ def _kept(words: list[bytes], _: int, doc_id: int | None, found: pa.Scalar) -> l
             np.add.at(change, start[i] + steps + WINDOW, -1)
     gone = np.cumsum(change)[:-1] > 0
     left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-    return [(doc_id, len(words), int(gone.sum()), hashlib.sha256(left).hexdigest())]
+    return [doc_id], [len(words)], [int(gone.sum())], [hashlib.sha256(left).hexdigest()]
 
 
 def repeated_places(slim: DataFrame) -> DataFrame:
@@ -262,9 +267,11 @@ def repeated_places(slim: DataFrame) -> DataFrame:
     each window that is meant, all bits for all windows."""
     found = slim.select("doc", "text").mapInArrow(_stretch_batches, "anchor long, doc long, place long, stretch long")
     shared = found.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
+    # Written, so that the join's sides come straight from exchanges and a hot anchor can be split.
+    shared = written(shared, "shared")
     again = written(found.join(shared, "anchor"), "again")
     same = written(again.groupBy("anchor", "stretch").agg(F.min(F.struct("doc", "place")).alias("least")), "stretches")
-    different = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    different = written(same.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "different")
     asked = same.join(different, "anchor").select("least.doc", "least.place", "anchor", "stretch")
     windows = written(
         _with_places(slim, asked, "inner", _window_rows, "anchor long, stretch long, step long, value long, doc long"), "windows"
@@ -273,7 +280,7 @@ def repeated_places(slim: DataFrame) -> DataFrame:
     late = windows.join(least, ["anchor", "value"]).where("doc > lo")
     steps = late.groupBy("anchor", "stretch").agg(F.bit_or(F.expr("shiftleft(1L, CAST(step AS INT))")).alias("steps"))
     known = same.join(steps, ["anchor", "stretch"], "left").select("anchor", "stretch", F.col("least.doc").alias("owner"), "steps")
-    placed = again.join(known, ["anchor", "stretch"])
+    placed = again.join(written(known, "known"), ["anchor", "stretch"])
     steps_of = F.when(F.col("doc") > F.col("owner"), F.lit(-1).cast("long")).otherwise(F.col("steps"))
     return placed.select("doc", "place", "anchor", "stretch", steps_of.alias("steps")).where("steps IS NOT NULL")
 
