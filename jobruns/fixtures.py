@@ -334,3 +334,66 @@ def lease_rows(events: DataFrame) -> DataFrame:
         "ts",
         "CASE WHEN event_id % 3 = 0 THEN 'claim' WHEN event_id % 7 = 0 THEN 'finish' ELSE 'beat' END AS kind",
     )
+
+
+def paused_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job view before some one-time jobs were switched on."""
+    return jobs(spark, sf_dir).withColumn("enabled", F.expr("enabled AND job_id % 20 <> 3"))
+
+
+def lock_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two beats for every running run, some of them by a worker that does not hold its lock."""
+    return raw(spark, sf_dir, "orders").where("o_orderkey % 10 = 8").selectExpr(
+        "o_orderkey AS task_id",
+        "'worker-' || CAST((o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) % 8 AS STRING) AS worker_id",
+        f"explode(array({_NOW} - INTERVAL '1' SECOND * (o_orderkey % 50), {_NOW} - INTERVAL '1' MINUTE)) AS ts",
+    )
+
+
+def specified_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job view with a specification that is not what action and configuration give, so that one derived anew shows."""
+    stored = F.struct(F.lit("stored").alias("image"), F.array(F.lit("true")).alias("command"), F.create_map().cast("map<string,string>").alias("env"), F.lit(1).alias("timeout_seconds"))
+    return jobs(spark, sf_dir).withColumn("runtime_spec", stored)
+
+
+def edit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One change for every job, in turn: the next job's name, fewer than no retries, no fields, a configuration that breaks a
+    rule, one that breaks none, a new name, an enabled flag that is null, an invalid expression."""
+    return raw(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS job_id",
+        f"{_NOW} AS updated_at",
+        """CASE c_custkey % 10 WHEN 1 THEN array('max_retries') WHEN 2 THEN CAST(NULL AS ARRAY<STRING>)
+           WHEN 3 THEN array('action_type', 'action_config') WHEN 4 THEN array('action_config') WHEN 7 THEN array('enabled')
+           WHEN 8 THEN array('cron_expression', 'name') ELSE array('name') END AS fields""",
+        "CASE WHEN c_custkey % 10 = 0 THEN 'Customer#' || lpad(CAST(c_custkey + 1 AS STRING), 9, '0') ELSE 'renamed-' || CAST(c_custkey AS STRING) END AS name",
+        "CAST(NULL AS BOOLEAN) AS enabled",
+        "-3 AS max_retries",
+        "'http' AS action_type",
+        """CASE WHEN c_custkey % 10 = 3 THEN '{"method":"GET"}' ELSE '{"url":"https://new.example/","command":"echo new"}' END AS action_config""",
+        "'61 * * * *' AS cron_expression",
+    )
+
+
+def edit_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependency lists of the same requests: one that closes a circle with an edge there is, one that closes none."""
+    return raw(spark, sf_dir, "customer").where("c_custkey % 10 IN (5, 6)").selectExpr(
+        "c_custkey AS job_id",
+        f"{_NOW} AS updated_at",
+        "'upstream' AS side",
+        "CASE c_custkey % 10 WHEN 5 THEN c_custkey + 2 ELSE c_custkey - 6 END AS other_job_id",
+    )
+
+
+def edge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependency lists asked for one after another; which of two that close a circle together comes first differs."""
+    return raw(spark, sf_dir, "customer").where("c_custkey % 97 <> 0 AND c_custkey % 10 IN (0, 1, 4, 8)").selectExpr(
+        "c_custkey AS job_id",
+        f"{_NOW} + INTERVAL '1' SECOND * (c_custkey % 7) AS requested_at",
+        "'upstream' AS side",
+        "CASE c_custkey % 10 WHEN 0 THEN c_custkey + 1 WHEN 1 THEN c_custkey - 1 WHEN 4 THEN c_custkey + 2 END AS other_job_id",
+    )
+
+
+def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer after the one before: one chain through the whole table."""
+    return raw(spark, sf_dir, "customer").where("c_custkey > 1").selectExpr("c_custkey - 1 AS upstream_job_id", "c_custkey AS downstream_job_id")

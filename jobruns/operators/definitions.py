@@ -38,8 +38,11 @@ def rederive_spec(before: DataFrame, after: DataFrame, shell_enabled: bool = Tru
     return with_runtime_spec(changed.drop("_old_type", "_old_config"), shell_enabled)
 
 
-def _faults(columns: list[str]) -> list[Column]:
-    """One column per rule: its text where the rule is broken, else null."""
+_ACTION = ("action_type", "action_config")
+
+
+def rules(columns: list[str]) -> list[tuple[Column, str, tuple[str, ...]]]:
+    """Each rule: where it is broken, its text, and the columns it speaks of."""
     action, config = F.col("action_type"), F.col("action_config")
     is_http, is_shell = action == "http", action == "shell"
     kinds = {m: member_kind(config, m) for m in ("method", "url", "command", "headers", "body", "timeout_seconds")}
@@ -63,26 +66,32 @@ def _faults(columns: list[str]) -> list[Column]:
     )
     bad_body = given["body"] & ~kinds["body"].isin("STRING", "VOID") & ~kinds["body"].startswith("OBJECT")
     document = F.schema_of_variant(F.try_parse_json(config))
-    rules = [
-        (blank_to_null(F.coalesce("name", F.lit(""))).isNull(), "empty name"),
-        (F.col("max_retries") < 0, "negative max_retries"),
-        (action.isNull() | ~action.isin(*ACTION_TYPES), "unknown action_type"),
-        (F.col("concurrency_policy").isNull() | ~F.col("concurrency_policy").isin(*POLICIES), "unknown concurrency_policy"),
-        (document.isNull() | ~document.startswith("OBJECT"), "action_config is no JSON object"),
-        (is_http & ~is_text("url"), "missing url"),
-        (is_http & given["method"] & ~is_text("method"), "method is not text"),
-        (is_shell & ~is_text("command"), "missing command"),
-        (action.isin(*ACTION_TYPES) & bad_timeout, "timeout_seconds below 1"),
-        (is_http & bad_headers, "headers are not an object of strings"),
-        (is_http & bad_body, "body is neither text nor object"),
+    found = [
+        (blank_to_null(F.coalesce("name", F.lit(""))).isNull(), "empty name", ("name",)),
+        (F.col("max_retries") < 0, "negative max_retries", ("max_retries",)),
+        (action.isNull() | ~action.isin(*ACTION_TYPES), "unknown action_type", ("action_type",)),
+        (F.col("concurrency_policy").isNull() | ~F.col("concurrency_policy").isin(*POLICIES), "unknown concurrency_policy", ("concurrency_policy",)),
+        (document.isNull() | ~document.startswith("OBJECT"), "action_config is no JSON object", _ACTION),
+        (is_http & ~is_text("url"), "missing url", _ACTION),
+        (is_http & given["method"] & ~is_text("method"), "method is not text", _ACTION),
+        (is_shell & ~is_text("command"), "missing command", _ACTION),
+        (action.isin(*ACTION_TYPES) & bad_timeout, "timeout_seconds below 1", _ACTION),
+        (is_http & bad_headers, "headers are not an object of strings", _ACTION),
+        (is_http & bad_body, "body is neither text nor object", _ACTION),
     ]
     if "runtime_spec" in columns:
-        rules.append((~env_ok(F.col("runtime_spec.env")), "bad environment variable name"))
-    return [F.when(F.coalesce(broken, F.lit(False)), F.lit(text)) for broken, text in rules]
+        found.append((~env_ok(F.col("runtime_spec.env")), "bad environment variable name", ("runtime_spec",)))
+    return [(F.coalesce(broken, F.lit(False)), text, about) for broken, text, about in found]
+
+
+def _faults(columns: list[str]) -> list[Column]:
+    """One column per rule: its text where the rule is broken, else null."""
+    return [F.when(broken, F.lit(text)) for broken, text, _ in rules(columns)]
 
 
-def invalid_jobs(jobs: DataFrame) -> DataFrame:
-    """``job_id, reason``, one row per broken rule."""
+def invalid_jobs(jobs: DataFrame, existing: DataFrame | None = None, expressions: DataFrame | None = None) -> DataFrame:
+    """``job_id, reason``, one row per broken rule. Names must differ from each other and, where ``existing`` jobs are given, from
+    theirs. ``expressions`` are those of ``schedule.settled``, if they are worked out already."""
     single = jobs.select("job_id", F.explode(F.array_compact(F.array(*_faults(jobs.columns)))).alias("reason"))
 
     # Names used more than once, found by counting; the jobs that bear them are joined back.
@@ -91,7 +100,16 @@ def invalid_jobs(jobs: DataFrame) -> DataFrame:
         "job_id", F.lit("duplicate name").alias("reason")
     )
 
+    if existing is not None:
+        taken = existing.select("name").distinct()
+        duplicates = duplicates.unionByName(
+            jobs.join(taken, "name", "left_semi").select("job_id", F.lit("duplicate name").alias("reason"))
+        ).distinct()
     expression = blank_to_null(F.col("cron_expression"))
     with_cron = jobs.select("job_id", expression.alias("cron_expression")).where(F.col("cron_expression").isNotNull())
-    wrong = check_cron(with_cron).where(~F.col("cron_ok")).select("job_id", F.lit(INVALID_CRON).alias("reason"))
+    if expressions is None:
+        checked = check_cron(with_cron)
+    else:
+        checked = with_cron.join(expressions.select("cron_expression", F.col("valid").alias("cron_ok")), "cron_expression")
+    wrong = checked.where(~F.col("cron_ok")).select("job_id", F.lit(INVALID_CRON).alias("reason"))
     return single.unionByName(duplicates).unionByName(wrong)

@@ -3,12 +3,19 @@
 Spark's recursive queries only know UNION ALL, which does not end on a cycle, so the loops are
 written here: each round works on what the round before found new, and its result is written to
 the checkpoint folder, which keeps plans short and lets a lost executor be replaced.
+
+Most questions are answered within a weakly connected component: workflows are many and small. Components are found
+in a logarithmic number of rounds and dealt to tasks, which walk theirs to the end, however deep. A component of
+more than ``LOCAL`` edges is not given to one task; its jobs go through rounds over all of its edges.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Hashable, Iterable
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,17 +26,97 @@ UP, DOWN = "upstream_job_id", "downstream_job_id"
 # A result that grows by one piece per round is written out as one after this many.
 _PIECES = 8
 
+#: Edges that one task may hold; a graph of no more needs no components.
+LOCAL = 200_000
+
 
 def _grown(found: DataFrame, piece: DataFrame, rounds: int) -> DataFrame:
     found = found.unionByName(piece)
     return cut_lineage(found) if rounds % _PIECES == 0 else found
 
 
+def weak_components(edges: DataFrame) -> DataFrame:
+    """``(job_id, component)``: jobs that hang together, whatever the direction, by the smallest of them.
+
+    Every job points to a smaller one of its component. In a round the job that a job points to takes the smallest job that
+    is pointed to twice removed by a neighbour, and every job skips one step, so paths shrink to a half at least."""
+    both = F.inline(F.array(F.struct(F.col(UP).alias("job_id"), F.col(DOWN).alias("other")), F.struct(F.col(DOWN).alias("job_id"), F.col(UP).alias("other"))))
+    near = cut_lineage(edges.select(both).distinct())
+    at = near.groupBy("job_id").agg(F.least(F.min("other"), F.col("job_id")).alias("root"))
+    at = cut_lineage(at)
+    while True:
+        skip = at.join(at.select(F.col("job_id").alias("root"), F.col("root").alias("second")), "root")
+        least = near.join(skip.select(F.col("job_id").alias("other"), F.col("second").alias("offer")), "other").groupBy("job_id").agg(F.min("offer").alias("offer"))
+        offers = skip.join(least, "job_id").select(
+            F.inline(
+                F.array(
+                    F.struct(F.col("job_id").alias("job_id"), F.least("second", "offer").alias("offer")),
+                    F.struct(F.col("root").alias("job_id"), F.col("offer").alias("offer")),
+                )
+            )
+        )
+        best = offers.groupBy("job_id").agg(F.min("offer").alias("offer"))
+        after = cut_lineage(
+            at.join(best, "job_id").select("job_id", F.least("root", "offer").alias("root"), (F.col("offer") < F.col("root")).alias("moved"))
+        )
+        at = after.select("job_id", "root")
+        if after.where("moved").isEmpty():
+            return at.withColumnRenamed("root", "component")
+
+
+class Dealt(NamedTuple):
+    """Edges by ``block``, whole components each, that a task can hold; and those of larger components by ``component``."""
+
+    blocks: DataFrame
+    large: DataFrame
+
+
+def dealt(edges: DataFrame) -> Dealt:
+    edges = cut_lineage(edges.select(UP, DOWN).distinct())
+    total = edges.count()
+    if total <= LOCAL:
+        return Dealt(edges.withColumn("block", F.lit(0)), edges.withColumn("component", F.col(UP)).limit(0))
+    named = cut_lineage(edges.join(weak_components(edges).withColumnRenamed("job_id", UP), UP))
+    sizes = named.groupBy("component").agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > LOCAL).select("component")
+    # As many blocks as hold half of what a task can hold, so that uneven ones fit as well.
+    block = F.pmod(F.xxhash64("component"), F.lit(total // (LOCAL // 2 + 1) + 1)).cast("int")
+    small = named.join(large, "component", "left_anti").select(UP, DOWN, block.alias("block"))
+    return Dealt(small, cut_lineage(named.join(large, "component", "left_semi").select(UP, DOWN, "component")))
+
+
+def _reached(edges: pd.DataFrame) -> pd.DataFrame:
+    """What lies below the edges' marked upstream jobs."""
+    below, todo = defaultdict(list), []
+    for up, down, start in zip(edges[UP], edges[DOWN], edges["start"], strict=True):
+        below[up].append(down)
+        if start:
+            todo.append(down)
+    seen = set()
+    while todo:
+        job = todo.pop()
+        if job not in seen:
+            seen.add(job)
+            todo.extend(below[job])
+    return pd.DataFrame({"job_id": pd.Series(list(seen), dtype=edges[DOWN].dtype)})
+
+
 def descendants(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Every job reachable downstream of the source jobs (column ``job_id``), at any depth. A source
     is part of the result only when it lies on a cycle or below another source."""
-    edges = cut_lineage(edges.select(UP, DOWN).distinct())
-    frontier = cut_lineage(sources.select("job_id").distinct())
+    parts, wanted = dealt(edges), sources.select("job_id").distinct()
+    marks = wanted.select(F.col("job_id").alias(UP), F.lit(True).alias("start"))
+    marked = parts.blocks.join(marks, UP, "left").select("block", UP, DOWN, F.coalesce("start", F.lit(False)).alias("start"))
+    touched = marked.where("start").select("block").distinct()
+    kind = edges.schema[DOWN].dataType.simpleString()
+    local = marked.join(touched, "block", "left_semi").groupBy("block").applyInPandas(lambda rows: _reached(rows), f"job_id {kind}")
+    return local if parts.large.isEmpty() else local.unionByName(_descendants_by_level(parts.large, wanted))
+
+
+def _descendants_by_level(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """The same in a round per level."""
+    edges = edges.select(UP, DOWN)
+    frontier = cut_lineage(sources)
     found, rounds = frontier.limit(0), 0
     while True:
         step = (
@@ -142,7 +229,8 @@ def contracted(edges: DataFrame) -> Chains:
         .where((F.col("ins") == 1) & (F.col("outs") == 1) & (F.col("start") != F.col("job_id")))
         .select("job_id", "start", "end", F.lit(True).alias("open"))
     )
-    for _ in range(inner.count().bit_length()):
+    # After r rounds a job knows what is 2^(r-1) steps away, so the longest chain takes one round more than its length has bits.
+    for _ in range(inner.count().bit_length() + 1):
         back = inner.select(F.col("job_id").alias("start"), F.col("start").alias("_start"))
         on = inner.select(F.col("job_id").alias("end"), F.col("end").alias("_end"))
         inner = cut_lineage(
@@ -168,22 +256,78 @@ def contracted(edges: DataFrame) -> Chains:
     return Chains(cut_lineage(kept.select(UP, DOWN).unionByName(drawn).distinct()), inner, rings)
 
 
+def _strong(edges: pd.DataFrame) -> pd.DataFrame:
+    """``(job_id, label)`` of the jobs on cycles; a label is one job of the strongly connected component. Depth first,
+    with the path kept in a list (Tarjan)."""
+    below: dict[Hashable, list] = defaultdict(list)
+    loops = set()
+    for up, down in zip(edges[UP], edges[DOWN], strict=True):
+        below[up].append(down)
+        if up == down:
+            loops.add(up)
+    order: dict[Hashable, int] = {}
+    low: dict[Hashable, int] = {}
+    held, open_jobs, found = [], set(), []
+    for start in list(below):
+        if start in order:
+            continue
+        path = [(start, iter(below[start]))]
+        order[start] = low[start] = len(order)
+        held.append(start)
+        open_jobs.add(start)
+        while path:
+            job, rest = path[-1]
+            nxt = next((d for d in rest if d not in order or d in open_jobs), None)
+            if nxt is None:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[job])
+                if low[job] == order[job]:
+                    members = [held.pop()]
+                    while members[-1] != job:
+                        members.append(held.pop())
+                    open_jobs.difference_update(members)
+                    if len(members) > 1 or job in loops:
+                        found += [(m, job) for m in members]
+            elif nxt in order:
+                low[job] = min(low[job], order[nxt])
+            else:
+                order[nxt] = low[nxt] = len(order)
+                held.append(nxt)
+                open_jobs.add(nxt)
+                path.append((nxt, iter(below[nxt] if nxt in below else ())))
+    kind = edges[UP].dtype
+    return pd.DataFrame({"job_id": pd.Series([m for m, _ in found], dtype=kind), "label": pd.Series([x for _, x in found], dtype=kind)})
+
+
+def cyclic_components(edges: DataFrame) -> DataFrame:
+    """``(job_id, label)`` of the jobs that are their own descendants, by strongly connected component."""
+    parts = dealt(edges)
+    kind = edges.schema[UP].dataType.simpleString()
+    local = parts.blocks.groupBy("block").applyInPandas(lambda rows: _strong(rows), f"job_id {kind}, label {kind}")
+    return local if parts.large.isEmpty() else local.unionByName(_large_cyclic(parts.large))
+
+
+def _large_cyclic(edges: DataFrame) -> DataFrame:
+    """The same in rounds over all edges, with the chains drawn together first: the jobs on cycles of what is left, the chains
+    between two of one cycle, and the rings, which are components by themselves."""
+    chains = contracted(edges)
+    cyclic = cut_lineage(_cyclic_components(chains.edges))
+    start = cyclic.select(F.col("job_id").alias("start"), "label")
+    end = cyclic.select(F.col("job_id").alias("end"), "label")
+    between = chains.inner.join(start, "start").join(end, ["end", "label"]).select("job_id", "label")
+    owner = edges.select(F.col(UP).alias("job_id"), F.col("component").alias("label")).distinct()
+    return cyclic.unionByName(between).unionByName(chains.rings.join(owner, "job_id"))
+
+
 def has_cycle(edges: DataFrame) -> DataFrame:
     """One row: does the graph have a cycle?"""
-    chains = contracted(edges)
-    core = cyclic_core(chains.edges).select(F.col(UP).alias("job_id"))
-    return chains.rings.unionByName(core).agg((F.count("*") > 0).alias("has_cycle"))
+    return cyclic_components(edges).agg((F.count("*") > 0).alias("has_cycle"))
 
 
 def jobs_on_cycle(edges: DataFrame) -> DataFrame:
-    """Jobs that are their own descendant: those of the graph with its chains drawn together, the chains between
-    two of one cycle, and the rings."""
-    chains = contracted(edges)
-    cyclic = cut_lineage(_cyclic_components(chains.edges))
-    start = cyclic.select(F.col("job_id").alias("start"), "label")
-    end = cyclic.select(F.col("job_id").alias("end"), "label")
-    between = chains.inner.join(start, "start").join(end, ["end", "label"]).select("job_id")
-    return cyclic.select("job_id").unionByName(between).unionByName(chains.rings)
+    """Jobs that are their own descendant."""
+    return cyclic_components(edges).select("job_id")
 
 
 def _cyclic_components(edges: DataFrame) -> DataFrame:
@@ -288,7 +432,8 @@ def proposed_graph(edges: DataFrame, proposed: DataFrame) -> DataFrame:
 def validate_edges(edges: DataFrame, proposed: DataFrame) -> DataFrame:
     """One row per job with a proposal: ``accepted`` unless the job would be its own descendant.
 
-    A batch is judged as a whole, so of two proposals that close a cycle together both are refused."""
+    A batch is judged as a whole, so of two proposals that close a cycle together both are refused; see :func:`accept_edges`
+    for requests one after another."""
     cyclic = jobs_on_cycle(proposed_graph(edges, proposed)).withColumn("on_cycle", F.lit(True))
     return (
         proposed.select("job_id")
@@ -298,6 +443,140 @@ def validate_edges(edges: DataFrame, proposed: DataFrame) -> DataFrame:
     )
 
 
+REQUEST = ("job_id", "requested_at")
+
+
+def _listed(requests: Iterable[tuple]) -> list[tuple]:
+    """``(job, requested_at, {side: set of others})`` in the order of time, then job."""
+    lists: dict[tuple, dict[str, set]] = {}
+    for job, at, side, others in requests:
+        lists.setdefault((at, job), {})[side] = set(others)
+    return [(job, at, sides) for (at, job), sides in sorted(lists.items())]
+
+
+def _judged(edges: pd.DataFrame, requests: pd.DataFrame) -> pd.DataFrame:
+    """Take the requests of some components one after another; a refused one leaves the lists as they were."""
+    below, above = defaultdict(set), defaultdict(set)
+    for up, down in zip(edges[UP], edges[DOWN], strict=True):
+        below[up].add(down)
+        above[down].add(up)
+
+    def put(job: Hashable, side: str, others: set) -> set:
+        near, far = (above, below) if side == "upstream" else (below, above)
+        old = near[job]
+        for other in old:
+            far[other].discard(job)
+        for other in others:
+            far[other].add(job)
+        near[job] = others
+        return old
+
+    def returns(job: Hashable) -> bool:
+        todo, seen = list(below[job]), set()
+        while todo:
+            at = todo.pop()
+            if at == job:
+                return True
+            if at not in seen:
+                seen.add(at)
+                todo.extend(below[at])
+        return False
+
+    rows = []
+    for job, at, sides in _listed(requests[["job_id", "requested_at", "side", "others"]].itertuples(index=False, name=None)):
+        # One list after the other, and back in the opposite order: both may hold the job itself.
+        old = [(side, put(job, side, others)) for side, others in sorted(sides.items(), reverse=True)]
+        accepted = not returns(job)
+        if not accepted:
+            for side, others in reversed(old):
+                put(job, side, others)
+        rows.append((job, at, accepted))
+    out = pd.DataFrame(rows, columns=["job_id", "requested_at", "accepted"])
+    return out.astype({"job_id": requests["job_id"].dtype, "requested_at": requests["requested_at"].dtype})
+
+
+def accept_edges(edges: DataFrame, requests: DataFrame) -> DataFrame:
+    """``(job_id, requested_at, accepted)``: dependency lists requested one after another.
+
+    ``requests``: ``job_id, requested_at, side ('upstream' | 'downstream'), other_job_id``; the rows of one job and time are one
+    request and give its new lists, a null other empties one. A request after which the job would be its own descendant is
+    refused and changes nothing; those that follow are judged without it. Requests of one time count in the order of their jobs.
+
+    Only jobs that are on a cycle of all edges together, those there are and those asked for, can be refused: their strongly
+    connected components are dealt to tasks, the rest is accepted as it is. Should one have more than ``LOCAL`` edges, its requests are
+    judged one by one over the whole component."""
+    requests = cut_lineage(requests.select("job_id", "requested_at", "side", "other_job_id"))
+    asked = requests.where(F.col("other_job_id").isNotNull())
+    is_up = F.col("side") == "upstream"
+    wanted = asked.select(
+        F.when(is_up, F.col("other_job_id")).otherwise(F.col("job_id")).alias(UP), F.when(is_up, F.col("job_id")).otherwise(F.col("other_job_id")).alias(DOWN)
+    )
+    old = cut_lineage(edges.select(UP, DOWN).distinct())
+    cyclic = cut_lineage(cyclic_components(old.unionByName(wanted)))
+    labels = cyclic.select(F.col("job_id").alias(DOWN), F.col("label").alias("_label"))
+    inner = old.join(cyclic.withColumnRenamed("job_id", UP), UP).join(labels, DOWN).where(F.col("label") == F.col("_label")).select(UP, DOWN, "label")
+    risky = requests.join(cyclic, "job_id")
+    lists = risky.groupBy("job_id", "requested_at", "side", "label").agg(F.collect_list("other_job_id").alias("others"))
+    sizes = inner.select("label").unionByName(risky.select("label")).groupBy("label").agg(F.count("*").alias("n"))
+    named = cut_lineage(sizes)
+    large = named.where(F.col("n") > LOCAL).select("label")
+    total = named.agg(F.sum("n")).first()[0] or 0
+    block = F.pmod(F.xxhash64("label"), F.lit(total // (LOCAL // 2 + 1) + 1)).cast("int").alias("block")
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+    schema = f"job_id {kinds['job_id']}, requested_at {kinds['requested_at']}, accepted boolean"
+    judged = (
+        inner.join(large, "label", "left_anti").select(UP, DOWN, block).groupBy("block")
+        .cogroup(lists.join(large, "label", "left_anti").select("job_id", "requested_at", "side", "others", block).groupBy("block"))
+        .applyInPandas(lambda lines, rows: _judged(lines, rows), schema)
+    )
+    if not large.isEmpty():
+        judged = judged.unionByName(_one_by_one(inner.join(large, "label", "left_semi"), risky.join(large, "label", "left_semi")))
+    verdict = judged.select("job_id", "requested_at", "accepted")
+    every = requests.select(*REQUEST).distinct()
+    return every.join(verdict, [*REQUEST], "left").select(*REQUEST, F.coalesce("accepted", F.lit(True)).alias("accepted"))
+
+
+def _one_by_one(edges: DataFrame, requests: DataFrame) -> DataFrame:
+    """The requests judged in turn, each over all edges."""
+    edges, rows = edges.select(UP, DOWN), []
+    for r in requests.select(*REQUEST).distinct().orderBy("requested_at", "job_id").toLocalIterator():
+        own = requests.where((F.col("job_id") == r.job_id) & (F.col("requested_at") == r.requested_at))
+        after = cut_lineage(proposed_graph(edges, own))
+        accepted = descendants(after, own).where(F.col("job_id") == r.job_id).isEmpty()
+        edges = after if accepted else edges
+        rows.append(own.select(*REQUEST, F.lit(accepted).alias("accepted")).distinct())
+    found = rows[0]
+    for row in rows[1:]:
+        found = found.unionByName(row)
+    return cut_lineage(found)
+
+
+def edges_after(edges: DataFrame, requests: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The edges when the accepted ones of :func:`accept_edges` have been taken in order. An edge is in two lists, that of
+    its upstream and that of its downstream job; the one set last says whether it is there."""
+    taken = requests.join(verdict.where("accepted").select(*REQUEST), [*REQUEST], "left_semi")
+    last = taken.groupBy("job_id", "side").agg(F.max("requested_at").alias("requested_at"))
+    lists = taken.join(last, ["job_id", "side", "requested_at"], "left_semi").where(F.col("other_job_id").isNotNull())
+    ups = lists.where("side = 'upstream'").select(F.col("other_job_id").alias(UP), F.col("job_id").alias(DOWN), F.lit(True).alias("in_up"))
+    downs = lists.where("side = 'downstream'").select(F.col("job_id").alias(UP), F.col("other_job_id").alias(DOWN), F.lit(True).alias("in_down"))
+    every = edges.select(UP, DOWN).withColumn("was", F.lit(True)).distinct()
+    every = every.join(ups.distinct(), [UP, DOWN], "full").join(downs.distinct(), [UP, DOWN], "full")
+
+    def set_at(side: str, job: str) -> DataFrame:
+        return last.where(F.col("side") == side).select(F.col("job_id").alias(job), F.struct("requested_at", F.col("job_id").alias("job")).alias(f"{side}_at"))
+
+    every = every.join(set_at("upstream", DOWN), DOWN, "left").join(set_at("downstream", UP), UP, "left")
+    up, down = F.col("upstream_at"), F.col("downstream_at")
+    # Of one request with both lists either names the edge.
+    there = (
+        F.when(up.isNull() & down.isNull(), F.col("was"))
+        .when(down.isNull() | (up > down), F.col("in_up"))
+        .when(up.isNull() | (down > up), F.col("in_down"))
+        .otherwise(F.coalesce("in_up", "in_down"))
+    )
+    return every.where(F.coalesce(there, F.lit(False))).select(UP, DOWN)
+
+
 def neighbourhood_nodes(job_id, jobs: DataFrame, edges: DataFrame) -> DataFrame:
     """The job with its direct neighbours: ``job_id, kind, name``; the name is null when unknown."""
     job = F.lit(job_id)

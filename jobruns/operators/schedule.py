@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobruns.constants import (
@@ -107,18 +107,21 @@ def next_fire(jobs: DataFrame, base: TimeLike) -> DataFrame:
     return jobs.join(times, "cron_expression", "left")
 
 
-def classify_schedule(jobs: DataFrame, now: TimeLike) -> DataFrame:
-    """``job_id, job_type, cron_expression, next_fire_at, error`` from the raw expression."""
-    trimmed = jobs.select("job_id", blank_to_null(F.col("cron_expression")).alias("cron_expression"))
-    times = (
+def settled(jobs: DataFrame, now: TimeLike) -> DataFrame:
+    """``cron_expression, valid, next_fire_at`` of the different expressions of ``jobs``, blanks around them left out."""
+    trimmed = jobs.select(blank_to_null(F.col("cron_expression")).alias("cron_expression"))
+    return (
         _expressions(trimmed)
         .withColumn("base", as_time(now))
-        .select(
-            "cron_expression",
-            F.col("fields").isNotNull().alias("valid"),
-            cron.next_after("fields", "base").alias("next_fire_at"),
-        )
+        .select("cron_expression", F.col("fields").isNotNull().alias("valid"), cron.next_after("fields", "base").alias("next_fire_at"))
     )
+
+
+def classify_schedule(jobs: DataFrame, now: TimeLike, expressions: DataFrame | None = None) -> DataFrame:
+    """``job_id, job_type, cron_expression, next_fire_at, error`` from the raw expression. ``expressions``: those of
+    :func:`settled`, if they are worked out already."""
+    trimmed = jobs.select("job_id", blank_to_null(F.col("cron_expression")).alias("cron_expression"))
+    times = settled(jobs, now) if expressions is None else expressions
     invalid = F.col("cron_expression").isNotNull() & ~F.col("valid")
     return trimmed.join(times, "cron_expression", "left").select(
         "job_id",
@@ -156,6 +159,38 @@ def fire_calendar(jobs: DataFrame, start: TimeLike, end: TimeLike) -> DataFrame:
     )
 
 
+def missed_firings(jobs: DataFrame, tasks: DataFrame, start: TimeLike, end: TimeLike) -> DataFrame:
+    """Every planned firing in an interval with the run that it started: ``job_id, fire_at, task_id``, null where it was missed.
+
+    A scheduled first attempt belongs to the last firing before it, so runs and firings keep their order, and a run
+    too many stands for no firing but its own; of several runs of one firing the first counts. Runs and firings of a job meet day by
+    day; what a day needs from earlier ones is its last firing before."""
+    planned = fire_calendar(jobs, start, end)
+    started = tasks.where(
+        (F.col("trigger_type") == SCHEDULED) & (F.col("retry_count") == 0) & (F.col("created_at") > as_time(start)) & (F.col("created_at") <= as_time(end))
+    ).select("job_id", F.col("created_at").alias("at"), F.lit(None).cast("timestamp_ntz").alias("fire_at"), "task_id")
+    # Only days with runs, and the last firing of each day before, are looked at together.
+    run_days = started.select("job_id", F.to_date("at").alias("day")).distinct()
+    firings = planned.select("job_id", F.col("fire_at").alias("at"), "fire_at", F.lit(None).cast(tasks.schema["task_id"].dataType).alias("task_id"))
+    last = firings.groupBy("job_id", F.to_date("at").alias("day")).agg(F.max("fire_at").alias("last"))
+    days = run_days.withColumn("last", F.lit(None).cast("timestamp_ntz")).unionByName(last)
+    earlier = Window.partitionBy("job_id").orderBy(F.unix_date("day")).rangeBetween(Window.unboundedPreceding, -1)
+    carry = days.withColumn("carry", F.max("last").over(earlier)).groupBy("job_id", "day").agg(F.max("carry").alias("carry"))
+    near = firings.withColumn("day", F.to_date("at")).join(run_days, ["job_id", "day"], "left_semi")
+    both = near.unionByName(started.withColumn("day", F.to_date("at")))
+    order = Window.partitionBy("job_id", "day").orderBy("at", F.col("fire_at").isNull())
+    met = (
+        both.withColumn("own", F.last("fire_at", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .where(F.col("task_id").isNotNull())
+        .join(carry, ["job_id", "day"], "left")
+        .withColumn("fire_at", F.coalesce("own", "carry"))
+        .where(F.col("fire_at").isNotNull())
+        .groupBy("job_id", "fire_at")
+        .agg(F.min(F.struct("at", "task_id"))["task_id"].alias("task_id"))
+    )
+    return planned.join(met, ["job_id", "fire_at"], "left").select("job_id", "fire_at", "task_id")
+
+
 def dispatch_audit(jobs: DataFrame, tasks: DataFrame, start: TimeLike, end: TimeLike) -> DataFrame:
     """Per cron job: planned firings against scheduled first attempts created in the same interval."""
     start, end = as_time(start), as_time(end)

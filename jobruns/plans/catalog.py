@@ -101,10 +101,30 @@ def refused_updates(spark, d):
     return _edit(spark, d).refused
 
 
+def _requested(spark, d):
+    return edits.update_jobs(fx.specified_jobs(spark, d), fx.edit_requests(spark, d), fx.edges(spark, d), NOW, fx.edit_lists(spark, d))
+
+
+@query
+def edited_jobs(spark, d):
+    return _requested(spark, d).jobs.select("job_id", "name", "max_retries", "cron_expression", F.array_join("runtime_spec.command", "|").alias("command"))
+
+
+@query
+def edited_edges(spark, d):
+    return _requested(spark, d).edges
+
+
+@query
+def refused_edits(spark, d):
+    return _requested(spark, d).refused
+
+
 @query
 def create_jobs(spark, d):
-    """Every job of the faulty view offered under a new id."""
-    offered = fx.faulty_jobs(spark, d).withColumn("job_id", F.col("job_id") + 10_000_000).withColumn("enabled", F.lit(True))
+    """Every job of the faulty view offered under a new id and name."""
+    name = F.when(F.trim("name") == "", F.col("name")).otherwise(F.concat(F.lit("new "), "name"))
+    offered = fx.faulty_jobs(spark, d).withColumns({"job_id": F.col("job_id") + 10_000_000, "enabled": F.lit(True), "name": name})
     made = edits.create_jobs(fx.jobs(spark, d), offered, fx.edges(spark, d), NOW)
     added = made.jobs.where("job_id > 10000000").select("job_id", F.lit("added").alias("outcome"), "job_type", "next_fire_at")
     started = made.new_runs.select("job_id", F.col("queue").alias("outcome"), F.lit(None).cast("string").alias("job_type"), F.lit(None).cast("timestamp_ntz").alias("next_fire_at"))
@@ -514,6 +534,28 @@ def validate_edges(spark, d):
     return graph.validate_edges(fx.edges(spark, d), fx.proposals(spark, d))
 
 
+@query
+def accept_edges(spark, d):
+    return graph.accept_edges(fx.edges(spark, d), fx.edge_requests(spark, d))
+
+
+@query
+def chain_descendants(spark, d):
+    chain = fx.chain(spark, d)
+    return graph.descendants(chain, chain.where("upstream_job_id = 7").select(F.col("upstream_job_id").alias("job_id")))
+
+
+@query
+def chain_cycles(spark, d):
+    """One chain through the whole table, and the same with the way back from its tenth job."""
+    chain = fx.chain(spark, d)
+    ring = chain.unionByName(chain.where("upstream_job_id = 10").selectExpr("upstream_job_id", "1L AS downstream_job_id"))
+    return (
+        graph.has_cycle(chain).selectExpr("'chain' AS name", "CAST(has_cycle AS BIGINT) AS n")
+        .unionByName(graph.jobs_on_cycle(ring).agg(F.count("*").alias("n")).selectExpr("'ring' AS name", "n"))
+    )
+
+
 @query
 def neighbourhood_nodes(spark, d):
     return graph.neighbourhood_nodes(15, fx.jobs(spark, d), fx.edges_cyclic(spark, d))
@@ -558,6 +600,11 @@ def dispatch_audit(spark, d):
     return schedule.dispatch_audit(fx.jobs(spark, d), fx.tasks(spark, d), "2001-07-01 00:00:00", "2001-08-01 00:00:00")
 
 
+@query
+def missed_firings(spark, d):
+    return schedule.missed_firings(fx.jobs(spark, d), fx.tasks(spark, d), "2001-07-28 00:00:00", "2001-08-01 00:00:00")
+
+
 @query
 def dispatch_due_runs(spark, d):
     return _run_columns(schedule.dispatch_due(fx.jobs(spark, d), fx.tasks(spark, d), NOW).new_runs)
@@ -582,7 +629,7 @@ def dispatch_one_time(spark, d):
 @query
 def dispatch_on_enable(spark, d):
     return _run_columns(
-        schedule.dispatch_on_enable(fx.jobs(spark, d), fx.edited_jobs(spark, d), fx.edges_with_roots(spark, d), NOW)
+        schedule.dispatch_on_enable(fx.paused_jobs(spark, d), fx.edited_jobs(spark, d), fx.edges_with_roots(spark, d), NOW)
     )
 
 
@@ -678,7 +725,7 @@ def recover_orphans(spark, d):
 
 @query
 def lease_extension(spark, d):
-    return runs.lease_extension(fx.heartbeats(spark, d), fx.tasks(spark, d), 4 * 3600)
+    return runs.lease_extension(fx.lock_beats(spark, d), fx.tasks(spark, d), 4 * 3600)
 
 
 @query

@@ -172,6 +172,9 @@ _INVALID = """SELECT job_id, reason FROM (
       UNION ALL SELECT job_id, 'Invalid cron expression' FROM faulty WHERE job_id % 7 IN (3, 4))"""
 
 
+# A job of the third kind asks for an upstream job that it leads to, if that one is there.
+_CIRCLE = "(j.job_id + 2 IN (SELECT job_id FROM jobs))"
+
 ORACLE: dict[str, str] = {
     # Sources and sinks
     "read_tables": _sql("tasks", "SELECT task_id, job_id, status, trigger_type, retry_count, created_at, processed_for_chaining FROM tasks"),
@@ -195,6 +198,19 @@ ORACLE: dict[str, str] = {
       FROM customer c JOIN jobs j ON j.job_id = c.c_custkey"""),
     "refused_updates": """SELECT c_custkey AS job_id, 'Job not found' AS reason FROM customer WHERE c_custkey % 97 = 0
       UNION ALL SELECT c_custkey, 'Invalid cron expression' FROM customer WHERE c_custkey % 97 <> 0 AND c_custkey % 9 = 5""",
+    "edited_jobs": _sql("jobs", f"""SELECT job_id, CASE WHEN job_id % 10 IN (6, 9) OR job_id % 10 = 5 AND NOT {_CIRCLE} THEN 'renamed-' || CAST(job_id AS VARCHAR)
+        WHEN job_id % 10 = 0 AND 'Customer#' || lpad(CAST(job_id + 1 AS VARCHAR), 9, '0') NOT IN (SELECT name FROM jobs) THEN 'Customer#' || lpad(CAST(job_id + 1 AS VARCHAR), 9, '0')
+        ELSE name END AS name, max_retries, cron_expression,
+      CASE WHEN job_id % 10 <> 4 THEN 'true' WHEN action_type = 'http' THEN 'curl|-fsS|-X|GET|https://new.example/' ELSE 'sh|-c|echo new' END AS command FROM jobs j"""),
+    "edited_edges": _sql("edges jobs", f"""SELECT e.* FROM edges e JOIN jobs j ON j.job_id = e.downstream_job_id
+      WHERE NOT (job_id % 10 = 6 OR job_id % 10 = 5 AND NOT {_CIRCLE})
+      UNION ALL SELECT job_id - 6, job_id FROM jobs WHERE job_id % 10 = 6 AND job_id - 6 IN (SELECT job_id FROM jobs)"""),
+    "refused_edits": _sql("jobs", f"""SELECT c_custkey AS job_id, 'Job not found' AS reason FROM customer WHERE c_custkey % 97 = 0
+      UNION ALL SELECT * FROM (SELECT job_id, CASE job_id % 10
+        WHEN 0 THEN CASE WHEN 'Customer#' || lpad(CAST(job_id + 1 AS VARCHAR), 9, '0') IN (SELECT name FROM jobs) THEN 'duplicate name' END
+        WHEN 1 THEN 'negative max_retries' WHEN 2 THEN 'fields is null' WHEN 3 THEN 'missing url'
+        WHEN 5 THEN CASE WHEN {_CIRCLE} THEN 'Circular dependency detected' END
+        WHEN 7 THEN 'enabled is null' WHEN 8 THEN 'Invalid cron expression' END AS reason FROM jobs j) WHERE reason IS NOT NULL"""),
     "create_jobs": _sql("faulty next", f""", broken AS ({_INVALID}), made AS (SELECT f.* FROM faulty f WHERE job_id NOT IN (SELECT job_id FROM broken))
       SELECT m.job_id + 10000000 AS job_id, 'added' AS outcome, CASE WHEN m.cron_expression IS NULL THEN 'normal' ELSE 'scheduled' END AS job_type,
         CASE m.job_id % 7 WHEN 5 THEN TIMESTAMP '2001-08-03 00:00:00' WHEN 6 THEN TIMESTAMP '2001-08-31 02:00:00' ELSE n.fires_at END AS next_fire_at
@@ -354,6 +370,8 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT 'cyclic', EXISTS (SELECT 1 FROM reach WHERE a = d)"""),
     "validate_edges": _sql("proposed", "WITH " + _REACH.format(edges="proposed") + """
       SELECT DISTINCT job_id, NOT EXISTS (SELECT 1 FROM reach WHERE a = d AND a = job_id) AS accepted FROM proposals"""),
+    "chain_descendants": "SELECT c_custkey AS job_id FROM customer WHERE c_custkey > 7",
+    "chain_cycles": "SELECT 'chain' AS name, count(*) FILTER (c_custkey - 1 >= c_custkey) AS n FROM customer UNION ALL SELECT 'ring', count(*) FROM customer WHERE c_custkey BETWEEN 1 AND 10",
     "neighbourhood_nodes": _sql("jobs cyclic", """SELECT n.job_id, n.kind, j.name FROM (
       SELECT upstream_job_id AS job_id, 'upstream' AS kind FROM cyclic WHERE downstream_job_id = 15
       UNION SELECT downstream_job_id, 'downstream' FROM cyclic WHERE upstream_job_id = 15
@@ -377,13 +395,20 @@ ORACLE: dict[str, str] = {
       (SELECT count(*) FROM tasks t WHERE t.job_id = j.job_id AND trigger_type = 'scheduled' AND retry_count = 0
         AND created_at > TIMESTAMP '2001-07-01 00:00:00' AND created_at <= TIMESTAMP '2001-08-01 00:00:00') AS actual
       FROM jobs j WHERE cron_expression IS NOT NULL"""),
+    "missed_firings": _sql("jobs tasks firings", """, planned AS (SELECT job_id, m AS fire_at FROM jobs JOIN firings USING (cron_expression)
+        WHERE m > TIMESTAMP '2001-07-28 00:00:00' AND m <= TIMESTAMP '2001-08-01 00:00:00'),
+      started AS (SELECT job_id, task_id, created_at FROM tasks WHERE trigger_type = 'scheduled' AND retry_count = 0
+        AND created_at > TIMESTAMP '2001-07-28 00:00:00' AND created_at <= TIMESTAMP '2001-08-01 00:00:00'),
+      met AS (SELECT p.job_id, p.fire_at, arg_min(s.task_id, s.created_at) AS task_id
+        FROM started s ASOF JOIN planned p ON s.job_id = p.job_id AND s.created_at >= p.fire_at GROUP BY 1, 2)
+      SELECT job_id, fire_at, task_id FROM planned LEFT JOIN met USING (job_id, fire_at)"""),
     "dispatch_due_runs": _sql("due", f"SELECT job_id, {_new_run('scheduled', 'scheduled')} FROM due WHERE NOT blocked"),
     "dispatch_due_jobs": _sql("due next", "SELECT job_id, fires_at AS next_fire_at FROM due JOIN nxt USING (cron_expression)"),
     "concurrency_gate": _sql("due", "SELECT job_id, concurrency_policy, blocked FROM due"),
     "dispatch_one_time": _sql("jobs edges", f"""SELECT job_id, {_new_run('manual', 'normal')} FROM jobs
       WHERE job_type = 'normal' AND enabled AND job_id NOT IN (SELECT downstream_job_id FROM edges WHERE downstream_job_id % 20 NOT IN (3, 7))"""),
     "dispatch_on_enable": _sql("edited edges", f"""SELECT job_id, {_new_run('manual', 'normal')} FROM edited
-      WHERE job_type = 'normal' AND enabled AND NOT was_enabled AND job_id NOT IN (SELECT downstream_job_id FROM edges WHERE downstream_job_id % 20 NOT IN (3, 7))"""),
+      WHERE job_type = 'normal' AND enabled AND (NOT was_enabled OR job_id % 20 = 3) AND job_id NOT IN (SELECT downstream_job_id FROM edges WHERE downstream_job_id % 20 NOT IN (3, 7))"""),
     "trigger": _sql("jobs", """SELECT o_custkey AS job_id, CASE WHEN o_custkey IN (SELECT job_id FROM jobs) THEN 'normal' ELSE 'Job not found' END AS outcome FROM orders"""),
     "route": _sql("routed", "SELECT task_id, queue FROM routed"),
     "reconstruct_queue": _sql("jobs tasks", f"SELECT task_id, {_QUEUE} AS queue FROM tasks JOIN jobs USING (job_id)"),
@@ -418,8 +443,8 @@ ORACLE: dict[str, str] = {
       WHERE NOT coalesce(t.status = 'pending' AND w.worker_id = a.worker_id AND w.seq = a.seq AND w.attempted_at = a.attempted_at, false)"""),
     "recover_orphans": _sql("tasks", f"""SELECT task_id, job_id, 'pending' AS status, CAST(NULL AS VARCHAR) AS locked_by, retry_count
       FROM tasks WHERE status = 'running' AND locked_until < {_NOW}"""),
-    "lease_extension": _sql("tasks", """SELECT t.task_id, t.locked_by, max(e.ts) + INTERVAL 4 HOUR AS locked_until
-      FROM tasks t JOIN events e ON e.user_id = t.task_id AND 'worker-' || CAST(e.user_id % 8 AS VARCHAR) = t.locked_by GROUP BY 1, 2"""),
+    "lease_extension": _sql("tasks", f"""SELECT task_id, locked_by, {_NOW} - INTERVAL 1 SECOND * (task_id % 50) + INTERVAL 4 HOUR AS locked_until
+      FROM tasks WHERE status = 'running' AND task_id % 3 <> 0"""),
     "ready_jobs": _sql("ready", "SELECT job_id, ready_at FROM ready"),
     "ready_now": _sql("guarded", "SELECT job_id, ready_at FROM guarded"),
     "generation_guard": _sql("jobs latest", """SELECT j.job_id, j.created_at AS ready_at FROM jobs j LEFT JOIN latest l ON l.job_id = j.job_id
