@@ -30,6 +30,17 @@ def stream(spark: SparkSession, sf_dir: str, name: str, files: int = 4) -> DataF
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+def clocked(rows: DataFrame, ts: str, files: int = 4) -> DataFrame:
+    """``rows`` as a stream of ``files`` micro-batches in no order, and a last one, years later, that has only a time."""
+    folder = f"{shared_dir(rows.sparkSession)}/feed-{uuid.uuid4()}"
+    kept = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(files)))
+    for n in range(files):
+        kept.where(F.col("_part") == n).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    tick = rows.agg((F.max(ts) + F.expr("INTERVAL '20' YEAR")).alias(ts))
+    tick.select(*[F.col(c) if c == ts else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).write.mode("append").parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job_rows(raw(spark, sf_dir, "customer"))
 

@@ -941,7 +941,20 @@ def chain_stream(spark, d):
 def job_changes_stream(spark, d):
     changes = fx.change_rows(fx.stream(spark, d, "customer"))
     schema = columns_of(changes.select(*run_streams.SNAPSHOT_COLUMNS))
-    return _of_keys(spark, run_streams.start_job_changes, changes, ["job_id"], schema).where("enabled")
+    with _work(spark) as folder:
+        last = _last_batch(run_streams.start_job_changes(changes, folder, f"{folder}/checkpoint"))
+        return run_streams.current_snapshot(spark, folder, schema, last)
+
+
+@query
+def lease_orphans_stream(spark, d):
+    return _appended(spark, run_streams.lease_orphans(fx.clocked(fx.lease_events(spark, d), "ts"), 4 * 3600, "7000 days"))
+
+
+@query
+def throughput_sliding_stream(spark, d):
+    finished = fx.clocked(fx.tasks(spark, d).where("finished_at IS NOT NULL").select("status", "finished_at"), "finished_at")
+    return _appended(spark, run_streams.throughput_sliding(finished, delay="7000 days"))
 
 
 @query

@@ -507,5 +507,10 @@ ORACLE: dict[str, str] = {
     "job_changes_stream": _sql("changes", """SELECT job_id, job_type, enabled, next_fire_at, updated_at FROM
       (SELECT *, max(updated_at) OVER (PARTITION BY job_id) AS last FROM changes) WHERE updated_at = last AND enabled AND job_type = 'scheduled'"""),
 }
+ORACLE["lease_orphans_stream"] = ORACLE["lease_monitor"]
+ORACLE["throughput_sliding_stream"] = _sql("tasks", """SELECT ws AS window_start, ws + INTERVAL 1 MINUTE AS window_end,
+  count(*) FILTER (status = 'success') AS success, count(*) FILTER (status IN ('failed', 'final_failed')) AS failed
+  FROM (SELECT status, unnest(range(time_bucket(INTERVAL 5 SECOND, finished_at) - INTERVAL 55 SECOND, finished_at + INTERVAL 1 MICROSECOND, INTERVAL 5 SECOND)) AS ws
+    FROM tasks WHERE finished_at IS NOT NULL) GROUP BY ws""")
 ORACLE["chain_stream"] = ORACLE["dispatch_dependents"]
 ORACLE["transitions_stream"] = ORACLE["status_transitions"]

@@ -23,12 +23,17 @@ def read_messages(spark: SparkSession, path: str, files_per_trigger: int = 1000)
 def message_actions(messages: DataFrame, tasks: DataFrame) -> DataFrame:
     """What each message asks for, against the table of runs: ``run`` a pending run, ``keep`` the
     message while another worker has it, ``delete`` it when the run is finished or missing, ``drop``
-    it when it carries no id."""
-    known = tasks.select(F.col("task_id").cast("string").alias("task_id"), "status")
-    status = F.col("status")
+    it when it carries no id. The id of a message is turned into a key of the table, not the keys into text."""
+    kind = tasks.schema["task_id"].dataType.simpleString()
+    known = tasks.select(F.col("task_id").alias("_key"), "status")
+    status, parsed = F.col("status"), parse_messages(messages)
+    key = F.col("task_id").try_cast(kind)
+    # An id that only reads as the key, like 007, is none.
+    exact = F.when(key.cast("string") == F.col("task_id"), key)
     return (
-        parse_messages(messages)
-        .join(known, "task_id", "left")
+        parsed.withColumn("_id", exact)
+        .join(known, F.col("_id") == F.col("_key"), "left")
+        .drop("_id", "_key")
         .withColumn(
             "action",
             F.when(F.col("drop"), "drop")

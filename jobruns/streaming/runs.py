@@ -14,9 +14,9 @@ from jobruns.operators.graph import candidate_set, candidates
 from jobruns.operators.runs import generation_guard, ready_jobs
 from jobruns.operators.schedule import new_runs
 from jobruns.operators.select import changed_since
-from jobruns.operators.windows import latest_state, latest_version_per_job, status_transitions
+from jobruns.operators.windows import latest_state, status_transitions
 from jobruns.sources.tables import Tables, append_tasks
-from jobruns.streaming.batches import current, read_batches, start, start_per_key, watermarked, write_batch
+from jobruns.streaming.batches import newest, read_batches, start, start_newest, start_per_key, watermarked, write_batch
 
 SNAPSHOT_COLUMNS = ("job_id", "job_type", "enabled", "next_fire_at", "updated_at")
 
@@ -43,6 +43,23 @@ def throughput(
     )
 
 
+def throughput_sliding(finished: DataFrame, width: str = "1 minute", slide: str = "5 seconds", delay: str = "1 minute") -> DataFrame:
+    """Successful and failed runs per sliding window, put together from panes one slide wide: a run is counted in one pane, and only
+    panes are dealt to all the windows that hold them. In append mode a window comes out when the watermark has passed it."""
+    status = F.col("status")
+    panes = (
+        watermarked(finished.where(F.col("finished_at").isNotNull()), "finished_at", delay)
+        .groupBy(F.window("finished_at", slide).alias("pane"))
+        .agg(F.count_if(status == SUCCESS).alias("success"), F.count_if(status.isin(*UNSUCCESSFUL)).alias("failed"))
+    )
+    return (
+        panes.groupBy(F.window(F.window_time("pane"), width, slide).alias("w"))
+        .agg(F.sum("success").alias("success"), F.sum("failed").alias("failed"))
+        .where("success + failed > 0")
+        .select(utc_wall_clock(F.col("w.start")).alias("window_start"), utc_wall_clock(F.col("w.end")).alias("window_end"), "success", "failed")
+    )
+
+
 def leases(events: DataFrame, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
     """Leases that ended, or will end, without the run finishing: ``task_id, worker_id, locked_until``.
 
@@ -51,10 +68,20 @@ def leases(events: DataFrame, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
     lease as its gap. A session without a claim is a worker that has lost its run; one whose last
     claim was finished has ended in order.
     """
+    return _open_leases(events.withColumn("ts", as_instant(F.col("ts"))), lease_seconds)
+
+
+def lease_orphans(events: DataFrame, lease_seconds: int = LEASE_SECONDS, delay: str = "1 minute") -> DataFrame:
+    """The same on a stream, in append mode: a lease comes out once, when the watermark has passed its end, which makes its run an
+    orphan. ``delay`` is how late an event may come against the newest; time goes on only where events come, so add
+    ticks (rows with a time alone) to a stream that can fall silent."""
+    return _open_leases(watermarked(events, "ts", delay), lease_seconds)
+
+
+def _open_leases(events: DataFrame, lease_seconds: int) -> DataFrame:
     ts, kind = F.col("ts"), F.col("kind")
     sessions = (
-        events.withColumn("ts", as_instant(ts))
-        .groupBy("task_id", "worker_id", F.session_window("ts", f"{lease_seconds} seconds").alias("s"))
+        events.groupBy("task_id", "worker_id", F.session_window("ts", f"{lease_seconds} seconds").alias("s"))
         .agg(
             F.max(F.when(kind == "claim", ts)).alias("claimed"),
             F.max(F.when(kind == "finish", ts)).alias("finished"),
@@ -123,12 +150,14 @@ def start_job_changes(changes: DataFrame, path: str, checkpoint: str, **trigger)
     Disabled jobs are kept as such, so that an older version that is read again cannot bring one
     back: re-read rows change nothing."""
     columns = changed_since(changes).select(*SNAPSHOT_COLUMNS)
-    return start_per_key(columns, ["job_id"], latest_version_per_job, path, checkpoint, **trigger)
+    row = F.struct(*SNAPSHOT_COLUMNS)
+    last = columns.groupBy("job_id").agg(F.max_by(row, F.struct("updated_at", F.to_json(row).alias("content"))).alias("_row"))
+    return start_newest(last.select("_row.*"), path, checkpoint, **trigger)
 
 
 def current_snapshot(spark: SparkSession, path: str, schema: str, last: int) -> DataFrame:
     """The enabled cron jobs after batch ``last``; ``schema`` is that of ``SNAPSHOT_COLUMNS``."""
-    return current(spark, path, ["job_id"], schema, last).where(F.col("enabled"))
+    return newest(spark, path, ["job_id"], schema, last).where(F.col("enabled"))
 
 
 def start_transitions(observations: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
