@@ -25,7 +25,7 @@ from jobruns.llm.common import filled, table, written
 from jobruns.llm.double_array import Trie, build
 
 LEAST, LONGEST, TOP = 30, 4, 2000
-PART, HELD, AT_ONCE = 1 << 24, 500_000, 1 << 22
+PART, HELD, AT_ONCE = 1 << 22, 300_000, 1 << 20
 COUNTS = "id long, lang string, phrase binary, n long"
 
 _SPACE, _END = 0x20, 0x0A
@@ -97,9 +97,11 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from _flushed(held, 0)
 
 
-def _walked(docs: DataFrame, trie: Trie, ids: np.ndarray, words: int) -> DataFrame:
-    """Counts of the trie's phrases, by id, and of the phrases that are one word longer."""
+def _walked(docs: DataFrame, trie: Trie, ids: np.ndarray, words: int, whole_level: bool) -> DataFrame:
+    """Counts of the trie's phrases, by id, and of the phrases that are one word longer; where the trie has the whole level, of
+    those only whose last words it has too."""
     sent = docs.sparkSession.sparkContext.broadcast((trie, ids))
+    del trie, ids
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, ids = sent.value
@@ -114,7 +116,9 @@ def _walked(docs: DataFrame, trie: Trie, ids: np.ndarray, words: int) -> DataFra
             which, key, behind = which[whole], key[whole], behind[whole]
             total += np.bincount(key, minlength=len(ids))
             if words < LONGEST:
-                which = which[out[behind] == _SPACE]
+                met = np.zeros(len(first) + 1, bool)
+                met[which] = True
+                which = which[(out[behind] == _SPACE) & (met[which + 1] | (not whole_level))]
                 line = out.tobytes()
                 spans = zip(first[which].tolist(), end[which + words].tolist(), strict=True)
                 held.setdefault(lang, Counter()).update([line[s:e] for s, e in spans])
@@ -147,8 +151,11 @@ def counted_phrases(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         counts, longer = [], []
         for part in range(parts):
             own = dealt.where(F.col("part") == part)
-            found = sorted((r.lang.encode() + b"\n" + bytes(r.phrase), r.id) for r in own.collect())
-            sums = _summed(_walked(docs, build([x for x, _ in found]), np.array([i for _, i in found], np.int64), k), f"level-{k}")
+            name = F.concat(F.col("lang").cast("binary"), F.lit(b"\n"), "phrase")
+            found = own.select(name.alias("key"), "id").toArrow().sort_by("key")
+            trie = build(found["key"].to_pylist())
+            sums = _summed(_walked(docs, trie, found["id"].to_numpy(), k, parts == 1), f"level-{k}")
+            del found, trie
             counts.append(own.join(sums.where("id IS NOT NULL").select("id", "n"), "id").select("lang", "phrase", "n"))
             longer.append(sums.where("id IS NULL").select("lang", "phrase"))
         level = counts[0]

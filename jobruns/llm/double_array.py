@@ -52,8 +52,8 @@ def _edges(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(k) for k in keys], np.int64)
     begin = np.cumsum(sizes) - sizes
     text = np.frombuffer(b"".join(keys), np.uint8)
-    last = np.full(len(keys), -1, np.int64)
-    alive, count, depth = np.arange(len(keys)), 0, 0
+    last = np.full(len(keys), -1, np.int32)
+    alive, count, depth = np.arange(len(keys), dtype=np.int32), 0, 0
     parents, labels = [], []
     while len(alive := alive[sizes[alive] > depth]):
         label, parent = text[begin[alive] + depth], last[alive]
@@ -61,12 +61,12 @@ def _edges(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         new[1:] = (label[1:] != label[:-1]) | (parent[1:] != parent[:-1])
         parents.append(parent[new])
         labels.append(label[new])
-        last[alive] = count + np.cumsum(new) - 1
+        last[alive] = count + np.cumsum(new, dtype=np.int32) - 1
         count += int(new.sum())
         depth += 1
     if not parents:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), last
-    return np.concatenate(parents), np.concatenate(labels).astype(np.int64), last
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), last
+    return np.concatenate(parents), np.concatenate(labels).astype(np.int32), last
 
 
 def _places(parent: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:

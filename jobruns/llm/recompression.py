@@ -265,7 +265,7 @@ def _kept(words: list[bytes], _: int, doc_id: int | None, found: pa.Scalar) -> t
 def repeated_places(slim: DataFrame) -> DataFrame:
     """(doc, place, anchor, stretch, steps): stretches of documents that a smaller ``doc`` has too; ``steps`` has a bit for
     each window that is meant, all bits for all windows."""
-    found = slim.select("doc", "text").mapInArrow(_stretch_batches, "anchor long, doc long, place long, stretch long")
+    found = written(slim.select("doc", "text").mapInArrow(_stretch_batches, "anchor long, doc long, place long, stretch long"), "found")
     shared = found.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
     # Written, so that the join's sides come straight from exchanges and a hot anchor can be split.
     shared = written(shared, "shared")
