@@ -10,6 +10,7 @@ from jobruns.functions.times import micros, truncated
 from jobruns.operators.slices import (
     ROWS_PER_SLICE,
     assign_slices,
+    borders,
     running_totals,
     trailing_sum,
     with_previous,
@@ -47,22 +48,27 @@ def _labels(by: str | list[str]) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def counter_steps(samples: DataFrame, window_seconds: int, by: str | list[str] = "series", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def counter_steps(samples: DataFrame, by: str | list[str] = "series", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Growth between neighbouring samples. After a reset the new value is the growth; the first
     sample of a series has none, and a sample without a value is none. ``by``: a label or several."""
     samples = samples.where(F.col("value").isNotNull())
-    sliced = assign_slices(samples, _labels(by), "ts", rows_per_slice, window_seconds * 1_000_000)
+    return _steps(samples, _labels(by), borders(samples, _labels(by), "ts", rows_per_slice)).drop("_slice", "_first")
+
+
+def _steps(samples: DataFrame, labels: list[str], cuts: DataFrame) -> DataFrame:
+    sliced = assign_slices(samples, labels, "ts", cuts=cuts)
     value, before = F.col("value"), F.col("_before")
     step = F.when(before.isNull(), F.lit(0.0)).when(value < before, value).otherwise(value - before)
-    return with_previous(sliced, _labels(by), ["ts", "value"], "value", "_before").withColumn("step", step).drop("_before")
+    return with_previous(sliced, labels, ["ts", "value"], "value", "_before").withColumn("step", step).drop("_before")
 
 
 def counter_increase(
     samples: DataFrame, window_seconds: int, by: str | list[str] = "series", rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """Growth of a counter in the trailing window, at every sample: the plain sum of its steps."""
-    steps = counter_steps(samples, window_seconds, by, rows_per_slice)
-    return trailing_sum(steps, _labels(by), "ts", "step", window_seconds, "increase").select(
+    samples, labels = samples.where(F.col("value").isNotNull()), _labels(by)
+    cuts = borders(samples, labels, "ts", rows_per_slice)
+    return trailing_sum(_steps(samples, labels, cuts), labels, "ts", "step", window_seconds, "increase", cuts).select(
         *_labels(by), "ts", "value", "increase"
     )
 

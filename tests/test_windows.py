@@ -128,3 +128,20 @@ def test_empty_tables_still_report_zeros(table):
     assert long[("tasks_created_total", "")] == 0.0 and len(long) == 15
     assert tuple(aggregates.status_tiles(tasks).first()) == (0, 0, 0, 0, 0)
     assert aggregates.outcome_counters(tasks).first().failed_total == 0.0
+
+
+def test_an_outlier_and_a_burst_leave_no_slice_with_more_than_twice_its_share(spark):
+    from jobruns.operators.slices import assign_slices
+
+    even = spark.range(20_000).select(F.lit("s").alias("series"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).cast("timestamp_ntz").alias("ts"))
+    burst = spark.range(20_000).select(F.lit("s").alias("series"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id")).cast("timestamp_ntz").alias("ts"))
+    df = even.unionByName(burst).unionByName(spark.sql("SELECT 's' AS series, TIMESTAMP_NTZ'1970-01-01 00:00:00' AS ts"))
+    sizes = [r["count"] for r in assign_slices(df, ["series"], "ts", 1000).groupBy("_slice").count().collect()]
+    assert sum(sizes) == 40_001 and len(sizes) > 35 and max(sizes) <= 2000
+
+
+def test_a_burst_inside_one_window(spark, table):
+    rows = [("c", f"2024-01-01 00:00:{s:02d}.{m:03d}", float(s * 100 + m)) for s in range(3) for m in range(0, 100, 5)] + [("c", "1970-01-01 00:00:00", 1.0)]
+    df = table("series string, ts time, value double", *rows)
+    every = values(windows.counter_increase(df, 30, rows_per_slice=1_000))
+    assert values(windows.counter_increase(df, 30, rows_per_slice=4)) == every
