@@ -1,34 +1,37 @@
-"""Near copies by five-word shingles: every pair whose Jaccard similarity is at least ``LEAST``, without a sketch.
+"""Near copies by five-word shingles: every pair whose Jaccard similarity is at least ``LEAST``.
 
 Texts with equal shingle sets are one node. All shingles have one order: by hash, those that repeat in a sample of texts last.
 Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each, so only these prefixes are dealt
-by shingle, and a passage that many otherwise different texts share is in few of them. Pairs with a shingle in common
-are compared exactly, on the whole sets.
-
-A shingle of at most ``FEW`` nodes gives all its pairs. In larger groups ``REPS`` nodes of different components are
-compared to all others and leave; the group is done when its nodes are in one component. So a large group of near
-copies costs a few comparisons for each of them; a large group of texts that share rare shingles but are not near
-copies costs all pairs in the end.
+by shingle, and a passage that many otherwise different texts share is in few of them. A pair with a shingle in common is
+compared exactly, on the whole sets, if their *profiles* allow the similarity: a profile counts a set's shingles in ``BINS`` bins by
+hash, and two sets share no more of a bin than the smaller count.
+
+Pairs are formed in two steps, whatever the size of the groups. First the nodes of each shingle that at most ``FEW`` nodes have, all
+of them, and in larger groups ``REPS`` nodes with all others; this joins most of a large group of near copies. Then, in
+larger groups that are still in several components, blocks of nodes are held against each other in numpy, and pairs of
+different components whose profiles allow it go on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobruns.llm.common import filled, text_hash, written
+from jobruns.llm.common import filled, text_hash, tidy, written
 from jobruns.llm.components import components
 from jobruns.llm.simhash import near_duplicates
 
 WORDS, SEED, LEAST = 5, 42, 0.8
 FEW, REPS = 64, 8
+#: Bins of a profile, and nodes that are held against others together.
+BINS, BLOCK = 128, 256
 #: Documents in which common shingles are looked for, and in how many of them a shingle is common.
 SAMPLE, COMMON = 20_000, 2
 
@@ -73,27 +76,43 @@ def _common(slim: DataFrame) -> np.ndarray:
     return np.sort(held.select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
 
 
+def profile(own: np.ndarray) -> np.ndarray:
+    """How many of the shingles are in each bin; as many as can be if one bin has more than can be counted."""
+    counts = np.bincount((own >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS)
+    most = np.iinfo(np.uint16).max
+    return (counts if counts.max() < most else np.full(BINS, most)).astype("<u2")
+
+
+def allowed(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Which profiles, row by row, may belong to sets of similarity ``LEAST``."""
+    shared = np.minimum(a, b).sum(axis=-1, dtype=np.int64)
+    return shared * (1 + LEAST) >= LEAST * (size_a + size_b) - 1e-6
+
+
 def _nodes(slim: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, text_hash, node, size, prefix) for every row; a node is a hash of the whole set."""
+    """(doc_id, text_hash, node, size, prefix, profile) for every row; a node is a hash of the whole set."""
     sent = slim.sparkSession.sparkContext.broadcast(common)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            nodes, sizes, firsts = [], [], []
+            nodes, sizes, firsts, profiles = [], [], [], []
             for text in part.column(2):
                 own = shingle_set(text.as_py())
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 sizes.append(len(own))
                 firsts.append(prefix(own, sent.value).view(np.int64))
-            made = pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))
-            yield pa.record_batch([part.column(0), part.column(1), *made], names=["doc_id", "text_hash", "node", "size", "prefix"])
+                profiles.append(profile(own).tobytes())
+            made = pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(profiles, pa.binary())
+            yield pa.record_batch([part.column(0), part.column(1), *made], names=["doc_id", "text_hash", "node", "size", "prefix", "profile"])
 
-    return slim.select("doc_id", "text_hash", "text").mapInArrow(batches, "doc_id long, text_hash long, node long, size int, prefix array<long>")
+    schema = "doc_id long, text_hash long, node long, size int, prefix array<long>, profile binary"
+    return slim.select("doc_id", "text_hash", "text").mapInArrow(batches, schema)
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column(1)]
+        sets = [shingle_set(unpack.decompress(t.as_py())).view(np.int64) for t in batch.column(1)]
         yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
@@ -104,59 +123,109 @@ def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
 
-def _compared(pairs: DataFrame, slim: DataFrame, named: DataFrame) -> DataFrame:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        texts = pa.array([pack.compress(t.as_py()) for t in batch.column(1)], pa.binary())
+        yield pa.record_batch([batch.column(0), texts], names=["text_hash", "text"])
+
+
+def _compared(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (u, v) of nodes that are similar; shingle sets are formed again only for nodes in pairs."""
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = named.join(ends, "node").select("node", "text_hash")
-    texts = slim.join(wanted, "text_hash").dropDuplicates(["node"]).select("node", "text")
-    sets = written(texts.mapInArrow(_set_batches, "node long, shingles array<long>"), "shingles")
+    wanted = written(nodes.join(ends, "node").select("node", "text_hash"), "wanted")
+    packed = slim.select("text_hash", "text").mapInArrow(_packed, "text_hash long, text binary")
+    texts = packed.join(wanted, "text_hash").select("node", "text")
+    sets = written(texts.mapInArrow(_set_batches, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+    tidy(slim.sparkSession)
     left = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u")
     both = left.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
-    return both.select("u", "v", "x", "y").mapInArrow(_near_batches, "u long, v long")
+    found = written(both.select("u", "v", "x", "y").mapInArrow(_near_batches, "u long, v long"), "similar")
+    tidy(slim.sparkSession)
+    return found
+
 
+def _profiles(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, BINS)
 
-def _ordered(u: str, v: str) -> list:
-    return [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
 
+def _allowed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size_u, size_v = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+        on = allowed(_profiles(batch.column(3)), size_u, _profiles(batch.column(5)), size_v)
+        yield batch.select(["u", "v"]).filter(pa.array(on, pa.bool_()))
 
-#: Nodes not yet joined, of sizes that allow the similarity.
-CAN = f"root <> other AND least(size, b_size) >= {LEAST} * greatest(size, b_size) - 1e-9"
+
+def _across_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks that are in different components and may be similar."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            sides = []
+            for c in (0, 1):
+                own = batch.column(c)[i].values
+                numbers = [own.field(n).to_numpy() for n in ("node", "size", "root")]
+                sides.append((*numbers, _profiles(own.field("profile"))))
+            (u, size_u, root_u, prof_u), (v, size_v, root_v, prof_v) = sides
+            rows_u, rows_v = [], []
+            for k in range(len(u)):
+                on = (root_v != root_u[k]) & (np.minimum(size_v, size_u[k]) >= LEAST * np.maximum(size_v, size_u[k]) - 1e-9)
+                at = np.flatnonzero(on)
+                at = at[allowed(prof_v[at], size_v[at], prof_u[k], size_u[k])]
+                rows_u.append(np.full(len(at), u[k]))
+                rows_v.append(v[at])
+            a, b = np.concatenate(rows_u), np.concatenate(rows_v)
+            yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+
+
+#: Sizes that allow the similarity.
+CAN = f"least(size, b_size) >= {LEAST} * greatest(size, b_size) - 1e-9"
 
 
 def _others(members: DataFrame) -> DataFrame:
-    return members.select("shingle", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("other"))
+    return members.select("shingle", F.col("node").alias("b"), F.col("size").alias("b_size"))
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def similar(slim: DataFrame, rows: DataFrame) -> DataFrame:
     """(u, v): nodes that are not the smallest of their component, and that smallest node."""
-    named = written(rows.dropDuplicates(["node"]).select("node", "text_hash", "size", "prefix"), "nodes")
-    keys = named.select("node", "size", F.explode("prefix").alias("shingle"))
-    shared = keys.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
-    alive = written(keys.join(shared, "shingle").select("shingle", "node", "size", F.col("node").alias("root")), "shared")
-    links: list[DataFrame] = []
-    while True:
-        picks = [F.min(F.struct(F.xxhash64("root", F.lit(j)), "node"))["node"] for j in range(REPS)]
-        sized = written(
-            alive.groupBy("shingle")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.array_distinct(F.array(*picks)).alias("reps"))
-            .where("n > 1 AND lo <> hi"),
-            "groups",
-        )
-        if sized.isEmpty():
-            break
-        few = alive.join(sized.where(F.col("n") <= FEW).select("shingle"), "shingle")
-        small = few.join(_others(few), "shingle").where("node > b").where(CAN).select(F.col("node").alias("u"), F.col("b").alias("v"))
-        many = sized.where(F.col("n") > FEW).select("shingle", "reps")
-        members = alive.join(many, "shingle")
-        reps = _others(members.where(F.array_contains("reps", F.col("node"))))
-        large = members.join(reps, "shingle").where("node <> b").where(CAN).select(*_ordered("node", "b"))
-        pairs = written(small.unionByName(large).distinct(), "pairs")
-        links.append(written(_compared(pairs, slim, named), "similar"))
-        left = members.where(~F.array_contains("reps", F.col("node"))).select("shingle", "node", "size")
-        roots = components(reduce(DataFrame.unionByName, links)).select(F.col("u").alias("node"), F.col("v").alias("root"))
-        alive = written(left.join(roots, "node", "left").select("shingle", "node", "size", F.coalesce("root", "node").alias("root")), "left")
-    none = named.select(F.col("node").alias("u"), F.col("node").alias("v")).where("false")
-    return components(reduce(DataFrame.unionByName, links, none))
+    firsts = [F.min("text_hash").alias("text_hash"), F.min("size").alias("size"), F.any_value("profile").alias("profile")]
+    nodes = written(rows.groupBy("node").agg(*firsts), "nodes")
+    keys = rows.select("node", "size", F.explode("prefix").alias("shingle"))
+    # Rows of one node repeat its keys; they are told from others by the node.
+    shared = written(keys.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("shingle"), "shared")
+    alive = written(keys.join(shared, "shingle").distinct(), "alive")
+    tidy(slim.sparkSession)
+    picks = [F.min(F.struct(F.xxhash64("node", F.lit(j)).alias("h"), "node"))["node"] for j in range(REPS)]
+    groups = written(alive.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*picks)).alias("reps")), "groups")
+    few = alive.join(groups.where(F.col("n") <= FEW).select("shingle"), "shingle")
+    small = few.join(_others(few), "shingle").where("node > b").where(CAN).select(F.col("node").alias("u"), F.col("b").alias("v"))
+    members = written(alive.join(groups.where(F.col("n") > FEW), "shingle"), "members")
+    reps = _others(members.where(F.array_contains("reps", F.col("node"))))
+    star = members.join(reps, "shingle").where("node <> b").where(CAN).select(F.greatest("node", "b").alias("u"), F.least("node", "b").alias("v"))
+    own = nodes.select(F.col("node").alias("u"), F.col("size").alias("size_u"), F.col("profile").alias("profile_u"))
+    other = nodes.select(F.col("node").alias("v"), F.col("size").alias("size_v"), F.col("profile").alias("profile_v"))
+    formed = small.unionByName(star).distinct().join(own, "u").join(other, "v").select("u", "v", "size_u", "profile_u", "size_v", "profile_v")
+    links = _compared(written(formed.mapInArrow(_allowed_batches, "u long, v long"), "pairs"), slim, nodes)
+
+    roots = written(_components(links), "roots")
+    rooted = members.select("shingle", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = written(rooted, "rooted")
+    open_groups = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
+    block = F.pmod(F.xxhash64("node"), F.floor(F.col("n") / BLOCK) + 1)
+    blocks = written(
+        rooted.join(open_groups, "shingle").join(nodes.select("node", "size", "profile"), "node")
+        .groupBy("shingle", block.alias("block"))
+        .agg(F.collect_list(F.struct("node", "size", "root", "profile")).alias("rows")),
+        "blocks",
+    )
+    two = blocks.select("shingle", F.col("block").alias("a"), F.col("rows").alias("x")).join(
+        blocks.select("shingle", F.col("block").alias("b"), F.col("rows").alias("y")), "shingle"
+    ).where("a <= b")
+    across = written(two.select("x", "y").mapInArrow(_across_batches, "u long, v long").distinct(), "across")
+    return components(links.unionByName(_compared(across, slim, nodes)))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
