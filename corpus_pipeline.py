@@ -8,7 +8,7 @@ text, source and lang are carried along, whatever they are called.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobruns.llm.bpe import default_tokenizer
@@ -23,11 +23,19 @@ ORACLE_SQL = None
 
 
 def _only(docs: DataFrame, keepers: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, text_hash) is among ``keepers``, each once."""
+    """The rows of ``docs`` whose (doc_id, text_hash) is among ``keepers``, each once. Texts are dealt once, by one key of both."""
+
+    def key(i: str, h: str) -> Column:
+        return F.xxhash64(i, h, F.col(i).isNull())
+
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("k"), text_hash("text").alias("h"))
-    wanted = keepers.select(F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"))
-    held = rows.join(wanted, F.col("h").eqNullSafe(F.col("wanted_hash")) & F.col("k").eqNullSafe(F.col("wanted_id")), "left_semi")
-    one = Window.partitionBy("h", "k").orderBy("h")
+    rows = rows.withColumn("key", key("k", "h"))
+    wanted = keepers.select(F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash")).withColumn("wanted_key", key("wanted_id", "wanted_hash"))
+    # Differences, not equalities: those would be keys of the join as well, and the window's rows be dealt anew.
+    other = F.col("h").bitwiseXOR(F.col("wanted_hash")).bitwiseOR(F.coalesce("k", F.lit(0)).bitwiseXOR(F.coalesce("wanted_id", F.lit(0))))
+    same = (F.col("key") == F.col("wanted_key")) & (other == 0)
+    held = rows.join(wanted, same, "left_semi")
+    one = Window.partitionBy("key", "k", "h").orderBy("h")
     return held.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
 
 
