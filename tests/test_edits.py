@@ -77,3 +77,53 @@ def test_configurations(table):
     for i, reason in values(definitions.invalid_jobs(jobs)):
         found[list(configs)[i]].append(reason)
     assert found == configs
+
+
+def test_requests_are_refused_whole(table):
+    """One case each: circle, taken name, value that breaks a rule, null fields; and what is left is applied."""
+    jobs = table(JOB, *[job(i, name=f"j{i}") for i in range(1, 9)])
+    edges = table("upstream_job_id long, downstream_job_id long", (1, 2), (2, 3))
+    at = "2024-01-02 00:00:0"
+    changes = table(
+        "job_id long, fields array<string>, name string, max_retries int, action_config string, updated_at time",
+        (1, ["name"], "first", None, None, at + "1"), (2, ["name"], "j5", None, None, at + "1"), (3, ["max_retries"], None, -3, None, at + "1"),
+        (4, None, "lost", None, None, at + "1"), (5, ["action_config"], None, None, "{}", at + "1"), (6, ["name"], "same", None, None, at + "2"),
+        (7, ["name"], "same", None, None, at + "1"), (8, ["name"], None, None, None, at + "1"),
+    )
+    lists = table(
+        "job_id long, updated_at time, side string, other_job_id long",
+        (1, at + "1", "upstream", 3), (3, at + "2", "upstream", 7), (3, at + "2", "upstream", 99), (2, at + "3", "downstream", None), (77, at + "1", "upstream", 1),
+    )
+    edit = edits.update_jobs(jobs, changes, edges, NOW, lists)
+    assert values(edit.refused) == [
+        (1, "Circular dependency detected"), (2, "duplicate name"), (3, "negative max_retries"), (4, "fields is null"), (5, "missing command"),
+        (6, "duplicate name"), (77, "Job not found"), (8, "name is null"),
+    ]
+    assert values(edit.jobs.where("updated_at > created_at"), "job_id", "name") == [(7, "same")]
+    assert values(edit.edges) == [(1, 2), (7, 3)]
+
+
+def test_specifications_move_only_with_action_and_configuration(table):
+    from pyspark.sql import functions as F
+
+    stored = F.struct(F.lit("old").alias("image"), F.array(F.lit("x")).alias("command"), F.create_map().cast("map<string,string>").alias("env"), F.lit(1).alias("timeout_seconds"))
+    jobs = table(JOB, job(1), job(2)).withColumn("runtime_spec", stored)
+    changes = table(
+        "job_id long, fields array<string>, name string, action_config string, updated_at time",
+        (1, ["action_config"], None, '{"command":"new"}', "2024-01-02 00:00:00"), (2, ["name"], "renamed", None, "2024-01-02 00:00:00"),
+    )
+    edit = edits.update_jobs(jobs, changes, table("upstream_job_id long, downstream_job_id long"), NOW)
+    assert {r.job_id: r.runtime_spec.command for r in edit.jobs.collect()} == {1: ["sh", "-c", "new"], 2: ["x"]}
+
+
+def test_new_jobs_on_a_circle_or_with_a_taken_name(table):
+    jobs = table(JOB, job(1))
+    new = table(
+        "job_id long, name string, cron_expression string, action_type string, action_config string, enabled boolean, concurrency_policy string, max_retries int",
+        *[(i, n, None, "shell", SHELL, True, "allow", 0) for i, n in ((2, "itself"), (3, "j1"), (4, "fine"), (5, "below"))],
+    )
+    edges = table("upstream_job_id long, downstream_job_id long", (2, 2), (1, 3), (4, 5))
+    edit = edits.create_jobs(jobs, new, edges, NOW)
+    assert values(edit.refused) == [(2, "Circular dependency detected"), (3, "duplicate name")]
+    assert values(edit.jobs, "job_id") == [(1,), (4,), (5,)] and values(edit.edges) == [(4, 5)]
+    assert values(edit.new_runs, "job_id") == [(4,)]

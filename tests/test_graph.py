@@ -1,6 +1,7 @@
 """Graph operators against brute force on random graphs."""
 
 import random
+from datetime import datetime
 
 import pytest
 
@@ -106,6 +107,81 @@ def test_long_rings_and_chains_take_few_rounds(spark, monkeypatch):
     assert graph.has_cycle(make(spark, chain)).first().has_cycle is False and len(rounds) <= 40
 
 
+@pytest.mark.parametrize("local", [200_000, 0])
+def test_no_chain_is_a_cycle(spark, monkeypatch, local):
+    """Chains of every length, with components that one task holds and with rounds over all edges."""
+    monkeypatch.setattr(graph, "LOCAL", local)
+    lengths = range(1, 41)
+    chains = [(1000 * n + i, 1000 * n + i + 1) for n in lengths for i in range(n)]
+    assert graph.has_cycle(make(spark, chains)).first().has_cycle is False
+    rings = [(100_000 * n + i, 100_000 * n + (i + 1) % n) for n in (1, 2, 3, 7, 16, 33) for i in range(n)]
+    on_cycle = {r.job_id for r in graph.jobs_on_cycle(make(spark, chains + rings)).collect()}
+    assert on_cycle == {a for a, _ in rings}
+
+
+@pytest.mark.parametrize("local", [3, 12])
+def test_large_components_go_through_rounds(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL", local)
+    rng = random.Random(local)
+    edges = sorted({(rng.randrange(25), rng.randrange(25)) for _ in range(22)} | {(100, 101), (101, 100), (200, 201)})
+    df, expected = make(spark, edges), reach(edges)
+    assert {r.job_id for r in graph.jobs_on_cycle(df).collect()} == {a for a, ds in expected.items() if a in ds}
+    source = spark.createDataFrame([(edges[0][0],), (100,)], "job_id long")
+    assert {r.job_id for r in graph.descendants(df, source).collect()} == expected[edges[0][0]] | {100, 101}
+
+
+def test_a_deep_ladder_and_a_ring_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    cut = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    monkeypatch.setattr(graph, "LOCAL", 31_000)  # less than both together, so components are looked for
+    ring = [(i, (i + 1) % 10_000) for i in range(10_000)]
+    ladder = [e for i in range(20_000, 30_000) for e in ((i, i + 1), (i + 50_000, i + 50_001), (i, i + 50_000))]
+    df = make(spark, ring + ladder)
+    assert graph.jobs_on_cycle(df).count() == 10_000 and len(rounds) <= 40
+    rounds.clear()
+    assert graph.descendants(df, spark.createDataFrame([(20_000,)], "job_id long")).count() == 20_001 and len(rounds) <= 40
+
+
+def in_turn(edges, requests):
+    """Requests taken one at a time: the verdicts and the edges left."""
+    now, out = set(edges), []
+    for (at, job), sides in sorted(requests.items()):
+        after = set(now)
+        if "upstream" in sides:
+            after = {(a, b) for a, b in after if b != job} | {(a, job) for a in sides["upstream"]}
+        if "downstream" in sides:
+            after = {(a, b) for a, b in after if a != job} | {(job, b) for b in sides["downstream"]}
+        accepted = job not in reach(after).get(job, ())
+        now = after if accepted else now
+        out.append((job, at, accepted))
+    return sorted(out), sorted(now)
+
+
+@pytest.mark.parametrize("seed, local", [(0, 200_000), (1, 200_000), (1, 6)])
+def test_requests_one_after_another(spark, monkeypatch, seed, local):
+    monkeypatch.setattr(graph, "LOCAL", local)
+    rng, n = random.Random(seed), 10
+    edges = sorted({(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(14)) if a < b})
+    requests = {}
+    for _ in range(9):
+        job, at = rng.randrange(n), datetime(2024, 1, 1, 0, rng.randrange(6))
+        others = {x for x in (rng.randrange(n) for _ in range(rng.randrange(3))) if x != job}
+        requests.setdefault((at, job), {})[rng.choice(["upstream", "downstream"])] = others
+    rows = [(job, at, side, o) for (at, job), sides in requests.items() for side, others in sides.items() for o in (others or [None])]
+    asked = spark.createDataFrame(rows, "job_id long, requested_at timestamp_ntz, side string, other_job_id long")
+    df = make(spark, edges)
+    verdict = graph.cut_lineage(graph.accept_edges(df, asked))
+    accepted, left = in_turn(edges, requests)
+    assert sorted(map(tuple, verdict.collect())) == accepted
+    assert sorted(map(tuple, graph.edges_after(df, asked, verdict).collect())) == left
+
+
+def test_of_two_that_close_a_circle_the_first_stays(spark, table):
+    asked = table("job_id long, requested_at time, side string, other_job_id long", (1, "2024-01-01 00:00:02", "upstream", 2), (2, "2024-01-01 00:00:01", "upstream", 1))
+    assert values(graph.accept_edges(make(spark, [(8, 9)]), asked), "job_id", "accepted") == [(1, False), (2, True)]
+
+
 def test_descendants_of_each(spark):
     df = make(spark, [(1, 2), (2, 3), (3, 2), (4, 1)])
     sources = spark.createDataFrame([(1,), (3,), (9,)], "job_id long")

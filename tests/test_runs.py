@@ -245,3 +245,19 @@ def test_stale_firings(table):
     assert values(schedule.live_firings(planned, snapshot), "job_id", "live") == [(1, True), (2, False), (3, False)]
     moved = table("job_id long, enabled boolean, next_fire_at time", (1, True, "2024-05-01 12:00:00.0005"), (2, True, "2024-05-01 12:05:00"), (4, True, NOW), (5, False, NOW))
     assert values(schedule.new_plans(snapshot, moved), "job_id") == [(2,), (4,)]
+
+
+def test_an_extra_run_does_not_hide_a_missed_firing(make):
+    """Hourly from 10:00: the second firing has two runs, the third none, and a retry or a manual run stands for nothing."""
+    started = lambda i, at, **k: task(i, 1, "success", at, **{"trigger": "scheduled", **k})
+    t = make(
+        [job(1, cron="0 * * * *"), job(2, cron="0 0 1 1 *"), job(3, kind="normal")],
+        [
+            started(1, "2024-05-01 10:00:03"), started(2, "2024-05-01 11:00:01"), started(3, "2024-05-01 11:30:00"),
+            started(4, "2024-05-01 12:10:00", retry=1), started(5, "2024-05-01 12:11:00", trigger="manual"), started(6, "2024-05-01 09:30:00"),
+            started(7, "2024-05-02 00:59:59"), started(8, "2024-05-02 02:00:00"),
+        ],
+    )
+    got = values(schedule.missed_firings(t.jobs, t.tasks, "2024-05-01 09:15:00", "2024-05-02 02:30:00"))
+    met = {10: 1, 11: 2, 24: 7, 26: 8}
+    assert got == sorted([(1, datetime(2024, 5, 1 + h // 24, h % 24), met.get(h)) for h in range(10, 27)], key=lambda r: tuple((v is not None, str(v)) for v in r))

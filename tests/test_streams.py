@@ -154,3 +154,43 @@ def test_a_job_fed_by_two_batches_is_dispatched_once(spark, tmp_path, feed, tabl
     runs.start_chain(f.stream(spark), lambda: tables, f"{tmp_path}/out", f"{tmp_path}/cp", lambda b: f"2024-01-01 01:0{b}:00", f"{tmp_path}/marks").awaitTermination()
     assert values(spark.read.parquet(f"{tmp_path}/out"), "batch_id", "job_id") == [(0, 3)]
     assert values(spark.read.parquet(f"{tmp_path}/marks"), "task_id") == [("1",), ("2",)]
+
+
+def test_an_orphan_comes_out_once_over_restarts(spark, tmp_path, feed):
+    f = feed("task_id long, worker_id string, ts time, kind string")
+    minute = lambda m, s=0: f"2024-01-01 00:{m:02d}:{s:02d}"
+    files = [
+        [(1, "w", minute(0, 10), "beat"), (2, "w", minute(0), "claim")], [(1, "w", minute(0), "claim"), (3, "w", minute(0, 5), "claim")],
+        [(3, "w", minute(0, 20), "finish"), (None, None, minute(10), None)], [(4, "w", minute(11), "claim")], [(None, None, minute(30), None)], [(None, None, minute(40), None)],
+    ]
+    for rows in files:
+        f.add(*rows)
+        drain(runs.lease_orphans(f.stream(spark), 30, "2 minutes"), tmp_path)
+    assert values(spark.read.parquet(f"{tmp_path}/out"), "task_id", "locked_until") == [
+        (1, datetime(2024, 1, 1, 0, 0, 40)), (2, datetime(2024, 1, 1, 0, 0, 30)), (4, datetime(2024, 1, 1, 0, 11, 30)),
+    ]
+
+
+def test_sliding_windows_from_panes_equal_sliding_windows(table):
+    times = ["00:00:01", "00:00:03", "00:00:59", "00:01:00", "00:07:31"]
+    done = table("status string, finished_at time", *[("failed" if i % 2 else "success", f"2024-01-01 {t}") for i, t in enumerate(times)], ("success", None))
+    assert values(runs.throughput_sliding(done)) == values(runs.throughput(done, slide="5 seconds"))
+
+
+def test_a_batch_of_versions_writes_what_it_touches(spark, tmp_path, feed):
+    """The last of many batches writes and reads no more than the second."""
+    f = feed("job_id long, job_type string, enabled boolean, next_fire_at time, updated_at time")
+    for n in range(12):
+        f.add(*[(i, "scheduled", True, "2024-01-01 01:00:00", f"2024-01-01 00:00:{n:02d}") for i in range(n, n + 5)])
+    query = runs.start_job_changes(f.stream(spark), str(tmp_path / "s"), f"{tmp_path}/cp")
+    query.awaitTermination()
+    rows = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert rows == [5] * 12
+    written = [spark.read.parquet(f"{tmp_path}/s/out/batch_id={n}").count() for n in range(12)]
+    assert written == [5] * 12
+
+
+def test_ids_that_only_read_as_a_key_are_none(table):
+    sent = table("body string", ("7",), ("007",), ("x",))
+    tasks = table("task_id long, status string", (7, "pending"))
+    assert values(messages.message_actions(sent, tasks), "body", "action") == [("007", "delete"), ("7", "run"), ("x", "delete")]
