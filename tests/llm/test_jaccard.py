@@ -39,7 +39,9 @@ def test_every_similar_pair_is_in_one_group(spark, monkeypatch):
     texts = made(random.Random(5))
     pairs = plain_pairs(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(jaccard, "FEW", 4)  # larger groups are compared by representatives
+    monkeypatch.setattr(jaccard, "FEW", 4)  # larger groups are compared by representatives, then block by block
+    monkeypatch.setattr(jaccard, "REPS", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
     group = {r.doc_id: r.group for r in jaccard.near_copies(docs).collect()}
     assert set(group) == set(texts)
     assert len(pairs) > 60 and all(group[a] == group[b] for a, b in pairs)
@@ -58,3 +60,34 @@ def test_prefixes_of_similar_sets_meet():
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.12], rng.integers(0, 400, 2).astype(np.uint64)]))
         if jaccard.jaccard(a, b) >= jaccard.LEAST:
             assert set(jaccard.prefix(a, np.unique(common))) & set(jaccard.prefix(b, np.unique(common)))
+
+
+def test_a_group_that_shares_one_shingle_takes_a_fixed_number_of_tables(spark, monkeypatch):
+    rng, tables = random.Random(6), []
+    write = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, label: tables.append(label) or write(df, label))
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)  # as a rare shingle looks in a large corpus
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = [(i, " ".join(["one", "passage", "of", "five", "words"] + [word() for _ in range(30)])) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert jaccard.near_copies(docs).select("group").distinct().count() == 400
+    assert len(tables) <= 20
+
+
+def test_profiles_bound_what_sets_share():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**64, rng.integers(1, 300), np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * 0.3], rng.integers(0, 2**64, rng.integers(0, 30), np.uint64)]))
+        if jaccard.jaccard(a, b) >= jaccard.LEAST:
+            assert jaccard.allowed(jaccard.profile(a), len(a), jaccard.profile(b), len(b))
+
+
+def test_odd_rows_and_an_empty_table(odd, none):
+    assert jaccard.near_copies(none).count() == 0
+    rows = jaccard.near_copies(odd).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.group, []).append(str(r.doc_id))
+    assert len(rows) == odd.count()
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, [["1", "2", "2", "3"], ["4", "5", "6", "None"], ["None"], ["7"], ["8"], ["9"], ["10"]]))

@@ -5,11 +5,21 @@ import re
 
 import corpus_pipeline
 from jobruns.llm import mixing, quality
+from tests.llm.test_jaccard import plain_pairs
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
 
+def plain_groups(texts):
+    """The smallest id of each text's group over op1's links and all pairs of five-word similarity 0.8 or more."""
+    least = plain_components({i: plain_fingerprint(t) for i, t in texts.items()})
+    for a, b in plain_pairs(texts):
+        low, high = sorted((least[a], least[b]))
+        least = {i: low if root == high else root for i, root in least.items()}
+    return least
+
+
 def test_run_equals_plain_stages(spark):
     """Classifier and mixing are taken from their own tests; what they decide must take effect, and the rest is brute force."""
     docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
@@ -20,7 +30,7 @@ def test_run_equals_plain_stages(spark):
     for i, t in good.items():
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append((-len(t), i))
     distinct = {min(m)[1] for m in groups.values()}
-    least = plain_components({i: plain_fingerprint(good[i]) for i in distinct})
+    least = plain_groups({i: good[i] for i in distinct})
     different = {i for i in distinct if least[i] == i}
     kept = docs.where(docs.doc_id.isin(sorted(different)))
     chosen = {r.row.doc_id for r in mixing.mix(kept).where("chosen").collect()}
