@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobruns.constants import ACTIVE, PENDING, RUNNING, SCHEDULED, SETTLED, SUCCESS
 from jobruns.functions.sizing import pages
 from jobruns.functions.text import name_contains
-from jobruns.functions.times import TimeLike, as_time
+from jobruns.functions.times import TimeLike, as_time, micros
 
 
 def filter_jobs(
@@ -34,12 +34,45 @@ def newest_first(df: DataFrame, key: str) -> DataFrame:
     return df.orderBy(F.desc("created_at"), F.desc(key))
 
 
+#: Rows that a task may keep to find a page, and parts into which a span of time is cut to find where it begins.
+NEAR, PARTS = 10_000, 1024
+
+
 def page(df: DataFrame, page: int = 1, page_size: int = 20, key: str = "job_id") -> DataFrame:
-    """One page, newest first, rows without a time last. Spark keeps the rows up to the page's end from each
-    partition and sorts no table."""
+    """One page, newest first, rows without a time last. No table is sorted: Spark keeps the rows up to the page's end from each
+    partition, at most ``NEAR`` and a page; for a page further on, the time from which so many rows are left to skip is looked up
+    by counting, and newer rows are passed over. (Rows of one and the same time are kept all.)"""
     if page < 1 or not 1 <= page_size <= 100:
         raise ValueError("page starts at 1, page_size is 1 to 100")
-    return newest_first(df, key).offset((page - 1) * page_size).limit(page_size)
+    offset = (page - 1) * page_size
+    if offset > NEAR:
+        until, newer = _time_before(df, offset)
+        df = df.where(F.col("created_at").isNull() | (micros(F.col("created_at")) <= until))
+        offset -= newer
+    return newest_first(df, key).offset(offset).limit(page_size)
+
+
+def _time_before(df: DataFrame, offset: int) -> tuple[int, int]:
+    """A time, and the number of rows newer than it: at most ``offset``, and less by no more than ``NEAR`` unless so many rows
+    have that time. Each step counts the rows of the part of the last step in which the offset lies."""
+    at = micros(F.col("created_at"))
+    lo, hi = df.agg(F.min(at), F.max(at)).first()
+    if lo is None:
+        return 0, 0
+    newer = 0
+    while True:
+        width = (hi - lo) // PARTS + 1
+        part = F.floor((F.lit(hi) - at) / F.lit(width))
+        counts = dict(df.where(at.between(lo, hi)).groupBy(part.alias("part")).count().collect())
+        for i in range(PARTS):
+            if newer + counts.get(i, 0) > offset:
+                break
+            newer += counts.get(i, 0)
+        else:
+            return lo - 1, newer
+        lo, hi = max(lo, hi - (i + 1) * width + 1), hi - i * width
+        if offset - newer <= NEAR or lo == hi:
+            return hi, newer
 
 
 def page_envelope(df: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:

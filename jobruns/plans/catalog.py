@@ -239,6 +239,12 @@ def deep_page(spark, d):
     return select.page(runs_of_all, 7, 50, key="task_id")
 
 
+@query
+def far_page(spark, d):
+    runs_of_all = fx.tasks(spark, d).select("task_id", "job_id", "created_at")
+    return select.page(runs_of_all, 250, 50, key="task_id")
+
+
 @query
 def page_envelope(spark, d):
     return select.page_envelope(select.filter_jobs(fx.jobs(spark, d), enabled=True, action_type="shell"), 3, 20)

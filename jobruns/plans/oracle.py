@@ -259,6 +259,7 @@ ORACLE: dict[str, str] = {
     "name_contains": _sql("jobs", "SELECT job_id, name FROM jobs WHERE lower(name) LIKE '%cust%_7%'"),
     "page": _sql("jobs", "SELECT job_id, name, created_at FROM jobs ORDER BY created_at DESC, job_id DESC LIMIT 20 OFFSET 40"),
     "deep_page": _sql("tasks", "SELECT task_id, job_id, created_at FROM tasks ORDER BY created_at DESC, task_id DESC LIMIT 50 OFFSET 300"),
+    "far_page": _sql("tasks", "SELECT task_id, job_id, created_at FROM tasks ORDER BY created_at DESC, task_id DESC LIMIT 50 OFFSET 12450"),
     "page_envelope": _sql("jobs", """SELECT CAST(3 AS BIGINT) AS page, CAST(20 AS BIGINT) AS page_size, n AS total,
       CAST(greatest(ceil(n / 20), 1) AS BIGINT) AS total_pages,
       CAST(CASE WHEN n = 0 THEN 0 ELSE 41 END AS BIGINT) AS first_item,

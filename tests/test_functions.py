@@ -180,3 +180,15 @@ def test_victims(table):
     workers = table("name string, autoscaled boolean, created string", ("base", False, "2020"), ("b", True, "2024-02"), ("a", True, "2024-03"), ("c", True, None))
     assert [r.name for r in select.scale_down_victims(workers, 2).collect()] == ["c", "b"]
     assert select.scale_down_victims(workers, -1).count() == 0
+
+
+def test_far_pages_are_looked_up(spark, monkeypatch):
+    """Every page of rows with bursts, ties, an outlier and rows without a time, as one sorted list has them."""
+    monkeypatch.setattr(select, "NEAR", 5)
+    monkeypatch.setattr(select, "PARTS", 4)
+    second = lambda i: 1_700_000_000 + (0 if i % 3 == 0 else i)
+    times = {i: None if i % 10 == 9 else 5 if i == 4 else second(i) for i in range(60)}
+    rows = spark.createDataFrame(list(times.items()), "job_id long, s long").selectExpr("job_id", "CAST(timestamp_seconds(s) AS timestamp_ntz) AS created_at")
+    expected = sorted(times, key=lambda i: (times[i] is None, -(times[i] or 0), -i))
+    got = [r.job_id for p in (1, 2, 4, 5, 7, 9, 10) for r in select.page(rows, p, 7).collect()]
+    assert got == [i for p in (1, 2, 4, 5, 7, 9, 10) for i in expected[(p - 1) * 7 : p * 7]]
