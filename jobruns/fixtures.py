@@ -408,3 +408,14 @@ def edge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer after the one before: one chain through the whole table."""
     return raw(spark, sf_dir, "customer").where("c_custkey > 1").selectExpr("c_custkey - 1 AS upstream_job_id", "c_custkey AS downstream_job_id")
+
+
+def worker_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message for every line item, several for most runs, some without an id."""
+    return raw(spark, sf_dir, "lineitem").selectExpr(
+        """CASE WHEN l_linenumber = 3 THEN '{"id": 1}' WHEN l_linenumber = 2 THEN CAST(l_orderkey AS STRING)
+           ELSE '{"task_id": "' || CAST(l_orderkey AS STRING) || '"}' END AS body""",
+        "'worker-' || CAST(l_suppkey AS STRING) AS worker_id",
+        "l_linenumber AS seq",
+        "l_shipdate AS ts",
+    )

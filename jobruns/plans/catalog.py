@@ -31,6 +31,7 @@ from jobruns.operators import (
     windows,
 )
 from jobruns.plans.scheduler_pass import scheduler_pass
+from jobruns.plans.worker_pass import worker_pass
 from jobruns.session import shared_dir
 from jobruns.sources import messages, tables
 from jobruns.streaming import messages as message_streams
@@ -724,6 +725,22 @@ def claim_loss_action(spark, d):
     return runs.claim_loss_action(fx.claim_attempts(spark, d), fx.tasks(spark, d))
 
 
+def _worked(spark, d):
+    return worker_pass(fx.worker_messages(spark, d), fx.results(spark, d), fx.tables(spark, d), NOW)
+
+
+@query
+def worker_pass_messages(spark, d):
+    return _worked(spark, d).messages
+
+
+@query
+def worker_pass_runs(spark, d):
+    work = _worked(spark, d)
+    running = work.claimed.join(work.finished.select("task_id"), "task_id", "left_anti").select("task_id", "status", "locked_by")
+    return running.unionByName(work.finished.select("task_id", "status", "locked_by"))
+
+
 @query
 def recover_orphans(spark, d):
     return runs.recover_orphans(fx.tasks(spark, d), NOW).select("task_id", "job_id", "status", "locked_by", "retry_count")

@@ -508,6 +508,18 @@ ORACLE: dict[str, str] = {
     "job_changes_stream": _sql("changes", """SELECT job_id, job_type, enabled, next_fire_at, updated_at FROM
       (SELECT *, max(updated_at) OVER (PARTITION BY job_id) AS last FROM changes) WHERE updated_at = last AND enabled AND job_type = 'scheduled'"""),
 }
+_WORK = """, sent AS (SELECT CASE WHEN l_linenumber = 3 THEN '{"id": 1}' WHEN l_linenumber = 2 THEN CAST(l_orderkey AS VARCHAR)
+    ELSE '{"task_id": "' || CAST(l_orderkey AS VARCHAR) || '"}' END AS body, CASE WHEN l_linenumber NOT IN (2, 3) THEN l_orderkey END AS task_id,
+    'worker-' || CAST(l_suppkey AS VARCHAR) AS worker_id, l_linenumber AS seq, l_shipdate AS ts FROM lineitem),
+  ranked AS (SELECT s.*, t.status, t.job_id, t.retry_count, row_number() OVER (PARTITION BY s.task_id ORDER BY ts, worker_id, seq) AS nth
+    FROM sent s LEFT JOIN tasks t ON t.task_id = s.task_id),
+  told AS (SELECT r.*, j.job_id IS NULL AS gone, d.doc_id IS NOT NULL AS ended, d.doc_id % 2 = 1 AS success, j.max_retries,
+      r.status = 'pending' AND nth = 1 AS won
+    FROM ranked r LEFT JOIN jobs j ON j.job_id = r.job_id LEFT JOIN documents d ON d.doc_id = r.task_id)"""
+ORACLE["worker_pass_messages"] = _sql("jobs tasks", _WORK + """ SELECT body, worker_id, seq, ts, CASE WHEN task_id IS NULL OR status IS NULL THEN 'delete'
+    WHEN won THEN CASE WHEN ended OR gone THEN 'delete' ELSE 'keep' END WHEN status IN ('pending', 'running') THEN 'keep' ELSE 'delete' END AS action FROM told""")
+ORACLE["worker_pass_runs"] = _sql("jobs tasks", _WORK + """ SELECT task_id, CASE WHEN gone THEN 'final_failed' WHEN NOT ended THEN 'running' WHEN success THEN 'success'
+    WHEN retry_count >= max_retries THEN 'final_failed' ELSE 'failed' END AS status, CASE WHEN NOT ended AND NOT gone THEN worker_id END AS locked_by FROM told WHERE won""")
 ORACLE["lease_orphans_stream"] = ORACLE["lease_monitor"]
 ORACLE["throughput_sliding_stream"] = _sql("tasks", """SELECT ws AS window_start, ws + INTERVAL 1 MINUTE AS window_end,
   count(*) FILTER (status = 'success') AS success, count(*) FILTER (status IN ('failed', 'final_failed')) AS failed

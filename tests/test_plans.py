@@ -79,3 +79,31 @@ def test_a_hot_job_is_split_in_the_join(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_worker_pass(table):
+    """A message each for a run that succeeds, one that fails, one that still runs, one without a job, one that others hold, one finished, one missing; a second
+    message for the first; and a body without an id."""
+    from jobruns.plans.worker_pass import worker_pass
+    from jobruns.sources.tables import Tables
+    from tests.conftest import values
+
+    runs = [(i, 99 if i == 4 else 1, s, "manual", 0) for i, s in ((1, "pending"), (2, "pending"), (3, "pending"), (4, "pending"), (5, "running"), (6, "success"))]
+    tasks = table(
+        "task_id long, job_id long, status string, trigger_type string, retry_count int, locked_by string, locked_until time, started_at time",
+        *[(*r, None, None, None) for r in runs],
+    )
+    tables = Tables(table("job_id long, max_retries int", (1, 1)), tasks, table("upstream_job_id long, downstream_job_id long"))
+    at = "2024-01-01 00:00:0"
+    sent = table(
+        "body string, worker_id string, seq int, ts time",
+        *[(f'{{"task_id": "{i}"}}', "w", 1, at + "1") for i in range(1, 8)], ('{"task_id": "1"}', "late", 1, at + "2"), ("[]", "w", 1, at + "1"), ('{"task_id": "x"}', "w", 1, at + "1"),
+    )
+    results = table("task_id long, success boolean, stdout string, stderr string", (1, True, "out", ""), (2, False, "", "err"), (6, False, "", "not claimed"))
+    work = worker_pass(sent, results, tables, at + "3")
+    kept = values(work.messages.where("action = 'keep'"), "body")
+    # The late message came while the first one's run was held.
+    assert kept == [('{"task_id": "1"}',), ('{"task_id": "3"}',), ('{"task_id": "5"}',)] and work.messages.count() == 10
+    assert values(work.claimed, "task_id", "locked_by") == [(i, "w") for i in (1, 2, 3, 4)]
+    assert values(work.finished, "task_id", "status", "stderr") == [(1, "success", ""), (2, "failed", "err"), (4, "final_failed", "Job not found")]
+    assert values(work.retries, "job_id", "retry_count") == [(1, 1)]
