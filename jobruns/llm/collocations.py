@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobruns.llm.common import filled, table, written
+from jobruns.llm.common import filled, table, tidy, written
 from jobruns.llm.double_array import Trie, build
 
 LEAST, LONGEST, TOP = 30, 4, 2000
@@ -156,6 +156,7 @@ def counted_phrases(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             trie = build(found["key"].to_pylist())
             sums = _summed(_walked(docs, trie, found["id"].to_numpy(), k, parts == 1), f"level-{k}")
             del found, trie
+            tidy(docs.sparkSession)
             counts.append(own.join(sums.where("id IS NOT NULL").select("id", "n"), "id").select("lang", "phrase", "n"))
             longer.append(sums.where("id IS NULL").select("lang", "phrase"))
         level = counts[0]
