@@ -26,7 +26,8 @@ from jobruns.llm.double_array import Trie, build
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 PART, HELD, AT_ONCE = 1 << 22, 300_000, 1 << 20
-COUNTS = "id long, lang string, phrase binary, n long"
+#: Rows of counts: the key is 1, a language, a line end and a phrase; or 0 and the id of a phrase of a trie.
+COUNTS = "key binary, n long"
 
 _SPACE, _END = 0x20, 0x0A
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -71,9 +72,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
             yield lang, b"\n".join(texts)
 
 
-def _rows(ids: list[int | None], langs: list[str | None], phrases: list[bytes | None], n: list[int]) -> pa.RecordBatch:
-    columns = [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(n, pa.int64())]
-    return pa.record_batch(columns, names=["id", "lang", "phrase", "n"])
+def _rows(keys: pa.Array, n: pa.Array) -> pa.RecordBatch:
+    return pa.record_batch([keys, n], names=["key", "n"])
 
 
 def _flushed(held: dict[str, Counter[bytes]], limit: int) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,8 @@ def _flushed(held: dict[str, Counter[bytes]], limit: int) -> Iterator[pa.RecordB
     if sum(map(len, held.values())) <= limit:
         return
     for lang, counts in held.items():
-        yield _rows([None] * len(counts), [lang] * len(counts), list(counts), list(counts.values()))
+        name = b"\x01" + lang.encode() + b"\n"
+        yield _rows(pa.array([name + phrase for phrase in counts], pa.binary()), pa.array(list(counts.values()), pa.int64()))
     held.clear()
 
 
@@ -125,13 +126,26 @@ def _walked(docs: DataFrame, trie: Trie, ids: np.ndarray, words: int, whole_leve
                 yield from _flushed(held, HELD)
         yield from _flushed(held, 0)
         some = np.flatnonzero(total)
-        yield _rows(ids[some].tolist(), [None] * len(some), [None] * len(some), total[some].tolist())
+        keys = np.zeros((len(some), 9), np.uint8)
+        keys[:, 1:] = ids[some].astype(">i8").view(np.uint8).reshape(-1, 8)
+        yield _rows(pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(total[some]))
 
     return docs.mapInArrow(batches, COUNTS)
 
 
 def _summed(rows: DataFrame, label: str) -> DataFrame:
-    return written(rows.groupBy("id", "lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), label)
+    return written(rows.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), label)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """(lang, phrase, n) of the rows that have a language, which may hold line ends itself; a phrase has none."""
+    key = F.expr("CAST(substring(key, 2) AS STRING)")
+    lang, phrase = F.regexp_replace(key, "\n[^\n]*\\z", ""), F.substring_index(key, "\n", -1)
+    return rows.where(F.expr("hex(substring(key, 1, 1)) = '01'")).select(lang.alias("lang"), phrase.cast("binary").alias("phrase"), "n")
+
+
+def _id_key(id_: str) -> Column:
+    return F.unhex(F.concat(F.lit("00"), F.lpad(F.hex(id_), 16, "0")))
 
 
 def _first_word(phrase: str) -> Column:
@@ -141,7 +155,9 @@ def _first_word(phrase: str) -> Column:
 def counted_phrases(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Tables (lang, phrase, n) of the phrases of 1 to ``LONGEST`` words met ``LEAST`` times, and (lang, n) of all words.
     ``docs`` has lang, and text as bytes."""
-    words = written(docs.mapInArrow(_word_batches, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST) | (F.length("phrase") == 0)), "words")
+    ends = F.expr("hex(substring(key, -1, 1)) = '0A'")
+    words = docs.mapInArrow(_word_batches, COUNTS).groupBy("key").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST) | ends)
+    words = _named(written(words, "words"))
     totals = words.where(F.length("phrase") == 0).select("lang", "n")
     candidates, levels = words.where(F.length("phrase") > 0).select("lang", "phrase"), []
     for k in range(1, LONGEST + 1):
@@ -157,8 +173,8 @@ def counted_phrases(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             sums = _summed(_walked(docs, trie, found["id"].to_numpy(), k, parts == 1), f"level-{k}")
             del found, trie
             tidy(docs.sparkSession)
-            counts.append(own.join(sums.where("id IS NOT NULL").select("id", "n"), "id").select("lang", "phrase", "n"))
-            longer.append(sums.where("id IS NULL").select("lang", "phrase"))
+            counts.append(own.withColumn("key", _id_key("id")).join(sums, "key").select("lang", "phrase", "n"))
+            longer.append(_named(sums).select("lang", "phrase"))
         level = counts[0]
         met = longer[0]
         for more, next_met in zip(counts[1:], longer[1:], strict=True):

@@ -40,8 +40,8 @@ def test_tokens(text):
 def made(rng):
     words = ["a", "b", "c", "New", "york", "city", "é"]
     return [
-        (rng.choice(["en", "de", None, "und"]), " ".join(rng.choice(words) + rng.choice(["", "", "", ".", "!"]) for _ in range(rng.randrange(40))) if rng.random() < 0.95 else None)
-        for _ in range(400)
+        (rng.choice(["en", "de", None, "und", "x\ny", "\0"]), " ".join(rng.choice(words) + rng.choice(["", "", "", ".", "!"]) for _ in range(rng.randrange(40))) if rng.random() < 0.95 else None)
+        for _ in range(600)
     ]
 
 
