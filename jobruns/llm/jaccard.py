@@ -31,7 +31,7 @@ from jobruns.llm.simhash import near_duplicates
 WORDS, SEED, LEAST = 5, 42, 0.8
 FEW, REPS = 64, 8
 #: Bins of a profile, and nodes that are held against others together.
-BINS, BLOCK = 128, 256
+BINS, BLOCK = 128, 1024
 #: Documents in which common shingles are looked for, and in how many of them a shingle is common.
 SAMPLE, COMMON = 20_000, 2
 
@@ -157,11 +157,11 @@ def _allowed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _across_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks that are in different components and may be similar."""
+    """Pairs of two blocks, or within the first, that are in different components and may be similar."""
     for batch in batches:
         for i in range(batch.num_rows):
             sides = []
-            for c in (0, 1):
+            for c in (0, 1 if batch.column(1)[i].is_valid else 0):
                 own = batch.column(c)[i].values
                 numbers = [own.field(n).to_numpy() for n in ("node", "size", "root")]
                 sides.append((*numbers, _profiles(own.field("profile"))))
@@ -224,7 +224,7 @@ def similar(slim: DataFrame, rows: DataFrame) -> DataFrame:
     two = blocks.select("shingle", F.col("block").alias("a"), F.col("rows").alias("x")).join(
         blocks.select("shingle", F.col("block").alias("b"), F.col("rows").alias("y")), "shingle"
     ).where("a <= b")
-    across = written(two.select("x", "y").mapInArrow(_across_batches, "u long, v long").distinct(), "across")
+    across = written(two.select("x", F.when(F.col("a") < F.col("b"), F.col("y")).alias("y")).mapInArrow(_across_batches, "u long, v long").distinct(), "across")
     return components(links.unionByName(_compared(across, slim, nodes)))
 
 
