@@ -7,9 +7,10 @@ drawn by halving the range of partitions until single partitions are left. Then
 rows and cuts them at the running sums of its matrix row, rows are exchanged, and each shard permutes what
 it got, in blocks of a random key whose counts give the first slot of each block.
 
-Only DataFrame functions are used. No window holds more than one partition or block (about
-``ROWS_PER_PARTITION`` rows); sorting a whole shard in one task is never needed. Rows that are equal in
-every column share their hash, so they share a partition and a block.
+Only DataFrame functions are used. Whole rows are exchanged twice, once for each permutation; the counts between the
+two come from their hashes alone. No window holds more than one partition or block (about ``ROWS_PER_PARTITION``
+rows); sorting a whole shard in one task is never needed. Rows that are equal in every column share a hash; where more of
+them than a partition holds do, they are counted, numbered and dealt by that number too.
 """
 
 from __future__ import annotations
@@ -93,7 +94,8 @@ def communication_matrix(sizes: DataFrame, shards: int, seed: int) -> DataFrame:
     depth, total = int(ends[0]).bit_length(), ends[1]
     spark = sizes.sparkSession
     counts = [total // shards + (s < total % shards) for s in range(shards)]
-    nodes = spark.createDataFrame([(0, total, counts)], "node long, rows long, counts array<bigint>")
+    start = F.array(*[F.lit(n).cast("bigint") for n in counts])
+    nodes = spark.range(1).select(F.col("id").alias("node"), F.lit(total).cast("bigint").alias("rows"), start.alias("counts"))
     for level in range(depth):
         left = (
             sizes.groupBy(F.shiftright("part", depth - level - 1).alias("half"))
@@ -125,54 +127,66 @@ def _running(counts: Column) -> Column:
     )
 
 
+def _numbered(packed: DataFrame, rows_per_partition: int) -> DataFrame:
+    """(row, h, copy): rows with a hash of their content, and a number for those that repeat more than a partition holds.
+
+    Only such contents, at most one for each partition, are grouped by their columns; a task sends each of them once.
+    """
+    counts = packed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    hot = written(counts.where(F.col("n") > rows_per_partition).select("h"), "hot")
+    few = packed.join(hot, "h", "left_anti").select("row", "h", F.lit(0).cast("bigint").alias("copy"))
+    same = packed.join(hot, "h", "left_semi").groupBy("row", "h").agg(F.count(F.lit(1)).alias("n"))
+    step = F.lit(rows_per_partition).cast("bigint")
+    cut = same.withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, step))).repartition("h", "first")
+    last = F.least(F.col("first") + step, F.col("n")) - 1
+    return few.unionByName(cut.select("row", "h", F.explode(F.sequence("first", last)).alias("copy")))
+
+
 def uniform_shards(rows: DataFrame, shards: int = 8, seed: int = 9, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
     """The rows with two more columns: ``shard`` (0 to ``shards`` - 1, sizes at most one apart) and ``slot``
     (the place in the shard, gapless from 0). Every order of all rows is equally likely over seeds.
 
     Columns of the frame called ``shard`` or ``slot`` are replaced. An empty frame stays empty; nulls and
-    repeated rows are dealt like others.
+    repeated rows are dealt like others, however often they repeat.
     """
     kept = [c for c in rows.columns if c not in ("shard", "slot")]
-    content = [F.col(f"row.`{c}`") for c in kept]
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
-    parts = packed.count() // rows_per_partition + 1
+    packed = packed.withColumn("h", F.xxhash64(F.lit(seed), *[F.col(f"row.`{c}`") for c in kept]))
+    parts = rows.count() // rows_per_partition + 1
 
     def key(n: int) -> Column:
-        return F.xxhash64(F.lit(seed + n), *content)
+        return F.xxhash64(F.lit(seed + n), "h", "copy")
 
-    dealt = packed.select("row", F.pmod(key(1), F.lit(parts)).alias("part"))
+    block = F.pmod(key(3), F.lit(parts // shards + 1))
+    dealt = _numbered(packed, rows_per_partition).select(
+        "row", F.pmod(key(1), F.lit(parts)).alias("part"), key(2).alias("order"), block.alias("block"), key(4).alias("then")
+    )
     sizes = written(dealt.groupBy("part").agg(F.count(F.lit(1)).alias("rows")), "sizes")
-    matrix = communication_matrix(sizes, shards, seed).select("part", _running(F.col("counts")).alias("until"))
-    local = Window.partitionBy("part").orderBy(key(2))
-    cut = (
+    matrix = written(communication_matrix(sizes, shards, seed).select("part", _running(F.col("counts")).alias("until")), "matrix")
+    # Rows that tie share their block too, so counts and rows agree however ties fall.
+    local = Window.partitionBy("part").orderBy("order", "block")
+    sent = (
         dealt.withColumn("place", F.row_number().over(local) - 1)
         .join(matrix, "part")
-        .select(
-            "row",
-            F.size(F.filter("until", lambda end: end <= F.col("place"))).cast("int").alias("shard"),
-            F.pmod(key(3), F.lit(parts // shards + 1)).alias("block"),
-        )
+        .withColumn("shard", F.size(F.filter("until", lambda end: end <= F.col("place"))).cast("int"))
     )
-    sent = written(cut, "sent")
-    first = sent.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
+    first = written(sent.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n")), "blocks")
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")
-    own = Window.partitionBy("shard", "block").orderBy(key(4))
+    own = Window.partitionBy("shard", "block").orderBy("then")
     return (
-        sent.withColumn("place", F.row_number().over(own) - 1)
+        sent.select("row", "shard", "block", "then")
+        .withColumn("place", F.row_number().over(own) - 1)
         .join(first.select("shard", "block", before.alias("before")), ["shard", "block"])
-        .select(*[c.alias(n) for c, n in zip(content, kept, strict=True)], "shard", (F.col("before") + F.col("place")).alias("slot"))
+        .select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "shard", (F.col("before") + F.col("place")).alias("slot"))
     )
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = filled("text").cast("binary")
-    slim = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(filled("text")) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32")
-    )
-    return uniform_shards(slim).select(
+    """Whole documents are dealt; sizes and checksums are worked out from the rows as they lie in their shards."""
+    return uniform_shards(table(spark, sf_dir, "documents")).select(
         "doc_id",
-        "size",
-        "text_crc32",
+        (F.octet_length(filled("text")) + 1).cast("long").alias("size"),
+        F.crc32(filled("text").cast("binary")).alias("text_crc32"),
         F.lit("rows").alias("law"),
         "shard",
         F.col("slot").cast("long").alias("slot"),

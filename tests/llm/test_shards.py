@@ -2,6 +2,7 @@
 
 from collections import Counter
 from math import comb
+from zlib import crc32
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,24 @@ def test_odd_rows(odd, none):
     assert sorted(Counter(r.shard for r in found).values()) == [3, 3, 3, 4]
     assert set(found[0].asDict()) == {*odd.columns, "shard", "slot"}
     assert shards.uniform_shards(none).count() == 0
+
+
+def test_rows_that_repeat_more_than_a_partition_holds(spark):
+    """A third of all rows are one row; they are numbered and dealt apart, and each comes back."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.lit(None).cast("string").alias("t"))
+    found = shards.uniform_shards(df, rows_per_partition=100).collect()
+    assert Counter(r.k for r in found) == Counter(r.k for r in df.collect())
+    assert sorted((r.shard, r.slot) for r in found) == [(s, i) for s in range(8) for i in range(375)]
+    hot = Counter(r.shard for r in found if r.k == -1)
+    assert min(hot[s] for s in range(8)) > 80 and max(hot.values()) < 170
+
+
+def test_query_deals_whole_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = shards.op9_shards(spark, sf).collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in found} == {k: (len(t) + 1, crc32(t)) for k, t in docs.items()}
+    sizes = Counter(r.shard for r in found)
+    assert len(found) == len(docs) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in found) == [(s, i) for s in sorted(sizes) for i in range(sizes[s])]
+    assert {(r.law, r.grown_shard) for r in found} == {("rows", None)}
