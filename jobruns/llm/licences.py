@@ -3,17 +3,25 @@
 Every line of a text, every paragraph of several lines, and the text itself where it has several paragraphs are
 compared to the templates. With a and b bigrams the coefficient is at most 2 min(a, b) / (a + b), so a unit is
 compared only to templates whose size lies within that bound; for most units there are none and their
-bigrams are never formed. Whole texts are scanned in one pass without a shuffle.
+bigrams are never formed.
+
+A licence may also stand inside a sentence, or its paragraphs in a longer text. So windows of words are compared too, wherever they
+begin: a window with w bigrams that shares s with a template of m has s <= w, so to reach t it needs s >= m t / (2 - t)
+and w <= m (2 - t) / t. Templates that share fewer bigrams with the whole text are ruled out at once, and so are windows
+without as many of the template's bigrams. Whole texts are scanned in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from itertools import pairwise
+from math import ceil, floor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,6 +133,12 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, each letter in its place; the few that would become several stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def bigrams(tokens: list[str]) -> Counter[tuple[str, str]]:
     return Counter(pairwise(tokens))
 
@@ -136,17 +150,21 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 class Scanner:
-    """Templates in order of size; ``compared`` counts the coefficients worked out."""
+    """Templates in order of size; ``compared`` counts the coefficients of units worked out."""
 
     def __init__(self, templates: Mapping[str, list[str]] = TEMPLATES, least: float = LEAST) -> None:
         made = [(name, bigrams(words(t))) for name, texts in templates.items() for t in texts]
         self.made = sorted(((c.total(), name, c) for name, c in made), key=lambda x: x[:2])
         self.sizes, self.least, self.compared = [n for n, _, _ in self.made], least, 0
+        self.ratio = least / (2 - least)
+        self.holders: dict[tuple[str, str], list[int]] = {}
+        for i, (_, _, own) in enumerate(self.made):
+            for pair in own:
+                self.holders.setdefault(pair, []).append(i)
 
     def candidates(self, size: int) -> tuple[int, int]:
         """The range of templates that a unit of ``size`` bigrams can reach ``least`` with."""
-        ratio = self.least / (2 - self.least)
-        return bisect_left(self.sizes, size * ratio - 1e-9), bisect_right(self.sizes, size / ratio + 1e-9)
+        return bisect_left(self.sizes, size * self.ratio - 1e-9), bisect_right(self.sizes, size / self.ratio + 1e-9)
 
     def _units(self, text: str) -> Iterator[tuple[str, int, int, list[list[str]]]]:
         """(kind, start, end, words of the lines) of lines, paragraphs and the text."""
@@ -169,8 +187,79 @@ class Scanner:
         if len(paragraphs) > 1:
             yield "text", paragraphs[0][0][0], paragraphs[-1][-1][1], [t for p in paragraphs for _, _, t in p]
 
+    def _best_end(self, pairs: list[tuple[str, str]], own: Counter, size: int, places: list[int]) -> tuple[float, int, int]:
+        """Of the windows from the first of ``places`` to one of them: the highest coefficient, its last place, bigrams shared."""
+        left, shared, best = dict(own), 0, (0.0, 0, 0)
+        for last in places:
+            if left[pairs[last]]:
+                left[pairs[last]] -= 1
+                shared += 1
+                reached = 2 * shared / (size + last - places[0] + 1)
+                if reached > best[0]:
+                    best = reached, last, shared
+        return best
+
+    def _windows(self, pairs: list[tuple[str, str]], template: int) -> Iterator[tuple[int, float, int, int]]:
+        """(bigrams shared, coefficient, first and last bigram) of windows like the template, the best first, none within another.
+
+        The best window begins and ends with bigrams of the template. Beginnings wait in order of a bound that counts
+        each of these as shared, and are worked out when no other has a higher bound.
+        """
+        size, _, own = self.made[template]
+        need, widest = ceil(size * self.ratio - 1e-9), floor(size / self.ratio + 1e-9)
+        at = np.array([i for i, pair in enumerate(pairs) if pair in own], np.int64)
+        until = np.searchsorted(at, at + widest)
+        waiting: list[tuple[float, int, int, int, int]] = []
+        for i in np.flatnonzero(until - np.arange(len(at)) >= need).tolist():
+            places = at[i : until[i]]
+            bound = (2 * np.minimum(np.arange(1, len(places) + 1), size) / (size + 1 + places - places[0])).max()
+            if bound >= self.least:
+                waiting.append((-float(bound), int(places[0]), i, -1, 0))
+        heapq.heapify(waiting)
+        taken: list[tuple[int, int]] = []
+        while waiting:
+            less, first, i, last, shared = heapq.heappop(waiting)
+            if any(s <= max(first, last) and first <= e for s, e in taken):
+                continue
+            if last < 0:
+                reached, last, shared = self._best_end(pairs, own, size, at[i : until[i]].tolist())
+                if reached >= self.least:
+                    heapq.heappush(waiting, (-reached, first, i, last, shared))
+                continue
+            taken.append((first, last))
+            yield shared, -less, first, last
+
+    def _inside(self, text: str, units: list[dict]) -> list[dict]:
+        """Windows like a template that are in no unit of its licence, nor in one like another licence as much or more; where they
+        overlap, the one that shares most bigrams."""
+        low = lowered(text)
+        pairs = list(pairwise(_WORD.findall(low)))
+        met = Counter(pair for pair in pairs if pair in self.holders)
+        shared: Counter[int] = Counter()
+        for pair, n in met.items():
+            for i in self.holders[pair]:
+                shared[i] += min(n, self.made[i][2][pair])
+        like = [i for i, n in shared.items() if n >= self.made[i][0] * self.ratio - 1e-9]
+        if not like:
+            return []
+        spans = [m.span() for m in _WORD.finditer(low)]
+        windows = []
+        for i in like:
+            for n, reached, first, last in self._windows(pairs, i):
+                windows.append((-n, -reached, spans[first][0], spans[last + 1][1], self.made[i][1]))
+        taken: list[tuple[int, int]] = []
+        found = []
+        for _, less, first, last, name in sorted(windows):
+            over = [u for u in units if u["first"] < last and first < u["last"]]
+            told = any(u["licence"] == name or u["dice"] >= -less for u in over)
+            if not told and not any(s < last and first < e for s, e in taken):
+                taken.append((first, last))
+                found.append({"licence": name, "dice": -less, "unit": "window", "first": first, "last": last})
+        return sorted(found, key=lambda f: f["first"])
+
     def scan(self, text: str) -> list[dict]:
-        """The best licence of each unit that reaches ``least``, in order of place: kind, span in characters, coefficient."""
+        """The best licence of each unit that reaches ``least``, then of windows that these do not tell of, both in order of place: kind,
+        span in characters, coefficient."""
         found = []
         for kind, start, end, lines in self._units(text):
             lo, hi = self.candidates(sum(map(len, lines)) - 1)
@@ -181,7 +270,7 @@ class Scanner:
             best = max(((dice(c, own), name) for _, name, c in self.made[lo:hi]), key=lambda x: (x[0], x[1]))
             if best[0] >= self.least:
                 found.append({"licence": best[1], "dice": best[0], "unit": kind, "first": start, "last": end})
-        return found
+        return found + self._inside(text, found)
 
 
 MATCH = "array<struct<licence: string, dice: double, unit: string, first: int, last: int>>"
@@ -193,8 +282,8 @@ _MATCH = pa.list_(
 def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, matches) for every row; ``matches`` is empty where no licence is found.
 
-    A match is a line, paragraph or text whose coefficient with a template is at least ``least``; of equal
-    coefficients the last name counts. Null and empty texts have no matches; repeated rows come back repeated.
+    A match is a line, paragraph or text whose coefficient with a template is at least ``least``, or a window of words beside these; of
+    equal coefficients of a unit the last name counts. Null and empty texts have no matches; repeated rows come back repeated.
     """
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
