@@ -186,3 +186,25 @@ def test_descendants_of_each(spark):
     df = make(spark, [(1, 2), (2, 3), (3, 2), (4, 1)])
     sources = spark.createDataFrame([(1,), (3,), (9,)], "job_id long")
     assert values(graph.descendants_of_each(df, sources)) == [(1, 2), (1, 3), (3, 2), (3, 3)]
+
+
+def test_descendants_along_a_chain_of_many_tasks_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    cut = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    monkeypatch.setattr(graph, "LOCAL", 20)
+    # A chain with two sources in it, a fork behind it, a ring that is reached and one that is not.
+    edges = [(i, i + 1) for i in range(200)] + [(200, 301), (301, 302), (302, 303), (303, 301), (200, 401), (501, 502), (502, 501)]
+    found = [r.job_id for r in graph.descendants(make(spark, edges), spark.createDataFrame([(50,), (120,), (401,)], "job_id long")).collect()]
+    assert sorted(found) == [*range(51, 201), 301, 302, 303, 401] and len(rounds) <= 40
+
+
+def test_rounds_send_nothing_through_the_driver_and_estimates_stay_small(spark, monkeypatch):
+    seen = []
+    cut = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: seen.append(df) or cut(df))
+    components = graph.weak_components(make(spark, [(i, i + 1) for i in range(0, 60, 2)] + [(i + 1, i) for i in range(1, 60, 2)]))
+    assert values(components, "component") == [(0,)] * 61
+    plans = [df._jdf.queryExecution() for df in seen]
+    assert all("BroadcastHashJoin" not in p.executedPlan().toString() for p in plans)
+    assert int(str(components._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 2**40
