@@ -19,26 +19,33 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a file of a stream; a batch of more is several files.
+ROWS_PER_FILE = 1_000_000
+
+
+def _dealt(rows: DataFrame, folder: str, batches: int) -> int:
+    """Write ``rows`` as files for ``batches`` micro-batches, dealt by hash; how many files a batch has."""
+    each = max(1, -(-rows.count() // (batches * ROWS_PER_FILE)))
+    rows.repartition(batches * each, F.xxhash64(*rows.columns)).write.mode("append").parquet(folder)
+    return each
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str, files: int = 4) -> DataFrame:
     """A base table as a stream of ``files`` micro-batches. Rows are dealt over the files by hash, so
     that no file is older than another and what belongs together arrives apart."""
     table = raw(spark, sf_dir, name)
     folder = f"{shared_dir(spark)}/feed-{uuid.uuid4()}"
-    part = F.pmod(F.xxhash64(*table.columns), F.lit(files)).cast("int")
-    for n in range(files):
-        table.where(part == n).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    each = _dealt(table, folder, files)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", each).parquet(folder)
 
 
 def clocked(rows: DataFrame, ts: str, files: int = 4) -> DataFrame:
     """``rows`` as a stream of ``files`` micro-batches in no order, and a last one, years later, that has only a time."""
     folder = f"{shared_dir(rows.sparkSession)}/feed-{uuid.uuid4()}"
-    kept = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(files)))
-    for n in range(files):
-        kept.where(F.col("_part") == n).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    each = _dealt(rows, folder, files)
     tick = rows.agg((F.max(ts) + F.expr("INTERVAL '20' YEAR")).alias(ts))
     tick.select(*[F.col(c) if c == ts else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).write.mode("append").parquet(folder)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(folder)
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

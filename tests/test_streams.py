@@ -194,3 +194,29 @@ def test_ids_that_only_read_as_a_key_are_none(table):
     sent = table("body string", ("7",), ("007",), ("x",))
     tasks = table("task_id long, status string", (7, "pending"))
     assert values(messages.message_actions(sent, tasks), "body", "action") == [("007", "delete"), ("7", "run"), ("x", "delete")]
+
+
+def test_a_large_batch_is_several_files(spark, monkeypatch):
+    """No task writes or reads a whole batch of a large table, and the batches stay as many as they were."""
+    from jobruns import fixtures as fx
+
+    monkeypatch.setattr(fx, "ROWS_PER_FILE", 100)
+    rows = fx.raw(spark, "/root/testdata/sf0.001", "orders").count()
+    feed = fx.stream(spark, "/root/testdata/sf0.001", "orders")
+    query = feed.writeStream.format("noop").option("checkpointLocation", f"{fx.shared_dir(spark)}/cp-{fx.uuid.uuid4()}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    taken = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(taken) == 4 and sum(taken) == rows > 400
+    written = spark.read.parquet(_folder(feed))
+    sizes = [r["count"] for r in written.groupBy(written["_metadata.file_path"].alias("f")).count().collect()]
+    assert sum(sizes) == rows and max(sizes) <= 200
+
+
+def _folder(feed):
+    """The newest folder that was written for a stream."""
+    import glob
+    import os
+
+    from jobruns.session import shared_dir
+
+    return max(glob.glob(f"{shared_dir(feed.sparkSession)}/feed-*"), key=os.path.getmtime)
