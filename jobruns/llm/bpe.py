@@ -5,7 +5,8 @@ Texts are cut into words by the tokenizer's pattern. Words that are not tokens t
 word's leftmost pair of least rank until no pair can be merged. A task encodes each distinct word of what it
 holds at a time once. Decoding joins token rows to the vocabulary and aggregates the pieces in order.
 
-There is no shuffle. A worker keeps one DuckDB connection, and the words it met last, up to ``CACHED``.
+There is no shuffle. A worker keeps one DuckDB connection, and the words it met last in two generations: when the younger holds
+``CACHED``, it becomes the elder, and of the elder before it only words met again since are kept.
 """
 
 from __future__ import annotations
@@ -23,23 +24,28 @@ from pyspark.sql import functions as F
 
 from jobruns.llm.common import filled, table
 
-CACHED, WORDS_AT_ONCE, TOKENS_AT_ONCE, BYTES_AT_ONCE = 300_000, 40_000, 250_000, 4 << 20
+#: Words of a generation; two are held.
+CACHED, WORDS_AT_ONCE, TOKENS_AT_ONCE, BYTES_AT_ONCE = 250_000, 50_000, 250_000, 4 << 20
 #: Longer words are contracted at all places of their least rank at once, where that gives the same tokens.
 LONG = 48
 
 SHORT_WORDS = """
 WITH RECURSIVE t AS (
-  SELECT word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS nxt, false AS done FROM start
+  SELECT word, pos, id, lead(id) OVER w AS nxt, coalesce(lead(pos) OVER w, 255) AS npos, false AS done
+  FROM start WINDOW w AS (PARTITION BY word ORDER BY pos)
   UNION ALL
   (WITH pair AS (
-     SELECT t.word, t.pos, t.id, m.id AS new FROM t LEFT JOIN merges m ON m.l = t.id AND m.r = t.nxt WHERE NOT t.done)
-   , least AS (SELECT word, min(new * 65536::BIGINT + pos) AS best FROM pair GROUP BY word)
-   , cut AS (
-     SELECT pair.word, pos, best, CASE WHEN pos = best % 65536 THEN (best // 65536)::INTEGER ELSE id END AS id,
-            lag(pos) OVER (PARTITION BY pair.word ORDER BY pos) AS before
+     SELECT t.word, t.pos, t.id, t.nxt, t.npos, m.id AS new FROM t LEFT JOIN merges m ON m.pair = t.id * 4294967296::BIGINT + t.nxt
+     WHERE NOT t.done)
+   , least AS (SELECT word, min(new * 65536::BIGINT + pos * 256 + npos) AS best FROM pair GROUP BY word)
+   , met AS (
+     SELECT pair.*, best, (best // 65536)::INTEGER AS made, ((best // 256) % 256)::INTEGER AS spot, (best % 256)::INTEGER AS gap
      FROM pair JOIN least ON pair.word = least.word)
-   SELECT word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos), best IS NULL
-   FROM cut WHERE best IS NULL OR before IS DISTINCT FROM best % 65536))
+   , gone AS (SELECT word, nxt, npos FROM met WHERE pos = gap)
+   SELECT met.word, pos, CASE WHEN pos = spot THEN made ELSE id END,
+          CASE WHEN pos = spot THEN gone.nxt WHEN met.npos = spot THEN made ELSE met.nxt END,
+          CASE WHEN pos = spot THEN gone.npos ELSE met.npos END, best IS NULL
+   FROM met LEFT JOIN gone ON met.word = gone.word WHERE best IS NULL OR pos <> gap))
 SELECT word, id FROM t WHERE done ORDER BY word, pos
 """
 
@@ -50,7 +56,7 @@ WITH RECURSIVE t AS (
   (WITH pair AS (
      SELECT x.word, x.pos, x.id, x.i, m.id AS new
      FROM (SELECT *, lead(id) OVER w AS nxt, row_number() OVER w AS i FROM t WHERE NOT done
-           WINDOW w AS (PARTITION BY word ORDER BY pos)) x LEFT JOIN merges m ON m.l = x.id AND m.r = x.nxt)
+           WINDOW w AS (PARTITION BY word ORDER BY pos)) x LEFT JOIN merges m ON m.pair = x.id * 4294967296::BIGINT + x.nxt)
    , best AS (SELECT *, min(new) OVER (PARTITION BY word) AS best FROM pair)
    , hit AS (SELECT *, new IS NOT DISTINCT FROM best AND best IS NOT NULL AS hit FROM best)
    , run AS (
@@ -80,6 +86,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.words: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         self.con.execute("SET enable_progress_bar = false")
         parts = [
@@ -89,7 +96,7 @@ class Codec:
             if t[:i] in ranks and t[i:] in ranks
         ]
         l, r, new = np.array(parts or np.zeros((0, 3)), np.int32).reshape(-1, 3).T
-        self._create("merges", l=l, r=r, id=new)
+        self._create("merges", pair=l.astype(np.int64) * 4294967296 + r, id=new)
         # Tokens after which a pair of lower rank can arise: these are contracted one place at a time.
         self._create("single", id=np.unique(np.concatenate([l[new < l], r[new < r]])))
         ids = np.fromiter(ranks.values(), np.int32, len(ranks))
@@ -120,22 +127,23 @@ class Codec:
     def learn(self, words: list[str]) -> None:
         """Encode the words not met before."""
         for sql, few, fits in ((SHORT_WORDS, WORDS_AT_ONCE, lambda n: n <= LONG), (LONG_WORDS, 500, lambda n: n > LONG)):
-            todo = [(w, b) for w in words if fits(len(b := w.encode()))]
+            todo = [w for w in words if fits(len(w.encode()))]
             for i in range(0, len(todo), few):
                 part = todo[i : i + few]
-                self.words.update(zip([w for w, _ in part], self._contract([b for _, b in part], sql), strict=True))
+                self.words.update(zip(part, self._contract([w.encode() for w in part], sql), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pattern.findall(t) for t in texts]
-        new = {w for ws in cut for w in ws if w not in self.words}
-        whole = {w: self.ranks[b].to_bytes(4, "little") for w in new if (b := w.encode()) in self.ranks}
         if len(self.words) > CACHED:
-            self.words = {}
-            return self.encode(texts)
-        self.words.update(whole)
-        self.learn(sorted(new - whole.keys()))
-        known = self.words
-        return [b"".join([known[w] for w in ws]) for ws in cut]
+            self.words, self.elder = {}, self.words
+        new = set().union(*cut).difference(self.words)
+        again = {w: self.elder[w] for w in new if w in self.elder}
+        new.difference_update(again)
+        whole = {w: self.ranks[b].to_bytes(4, "little") for w in new if (b := w.encode()) in self.ranks}
+        self.words |= again | whole
+        self.learn(sorted(new.difference(whole)))
+        known = self.words.__getitem__
+        return [b"".join(map(known, ws)) for ws in cut]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """The bytes that the tokens stand for; a list of many tokens is decoded in runs."""
@@ -145,8 +153,8 @@ class Codec:
 
         def flush() -> None:
             sizes = [len(b) // 4 for _, b in runs]
-            ids = np.frombuffer(b"".join(b for _, b in runs), "<u4").astype(np.int64)
-            tokens = {"doc": np.repeat(np.arange(len(runs)), sizes), "pos": np.arange(len(ids)), "id": ids}
+            ids = np.frombuffer(b"".join(b for _, b in runs), "<u4").astype(np.int32)
+            tokens = {"doc": np.repeat(np.arange(len(runs), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids}
             self.con.register("tokens", pa.table(tokens))
             pieces = dict(self.con.execute(DECODE).fetchall())
             self.con.unregister("tokens")

@@ -72,3 +72,16 @@ def test_rows(odd, none, library):
     back = tokenizer.decode(tokenizer.encode(rows)).collect()
     assert sorted((str(r.doc_id), bytes(r.text)) for r in back) == sorted((str(r.doc_id), (r.text or "").encode()) for r in rows.collect())
     assert tokenizer.digests(none).count() == 0
+
+
+def test_words_met_again_outlast_a_full_cache(ranks, library, monkeypatch):
+    monkeypatch.setattr("jobruns.llm.bpe.CACHED", 3)
+    contracted = []
+    plain = Codec._contract
+    monkeypatch.setattr(Codec, "_contract", lambda self, words, sql: contracted.extend(words) or plain(self, words, sql))
+    codec = Codec(ranks, PATTERN)
+    for i in range(8):
+        text = f"qzxqzx a{i}xqj b{i}xqj c{i}xqj d{i}xqj"
+        assert ids(codec.encode([text])[0]) == library.encode_ordinary(text)
+    assert contracted.count(b"qzxqzx") == 1
+    assert len(codec.words) + len(codec.elder) < 60
