@@ -135,7 +135,9 @@ def _compared(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     wanted = written(nodes.join(ends, "node").select("node", "text_hash"), "wanted")
     packed = slim.select("text_hash", "text").mapInArrow(_packed, "text_hash long, text binary")
-    texts = packed.join(wanted, "text_hash").select("node", "text")
+    # Merged, with an exchange, whatever the sizes: joined by broadcast, a task would hold two Python workers at once, and
+    # an executor keeps the most workers it ever had.
+    texts = packed.join(wanted.hint("merge"), "text_hash").select("node", "text")
     sets = written(texts.mapInArrow(_set_batches, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
     tidy(slim.sparkSession)
     left = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u")

@@ -91,3 +91,18 @@ def test_odd_rows_and_an_empty_table(odd, none):
         groups.setdefault(r.group, []).append(str(r.doc_id))
     assert len(rows) == odd.count()
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, [["1", "2", "2", "3"], ["4", "5", "6", "None"], ["None"], ["7"], ["8"], ["9"], ["10"]]))
+
+
+def test_a_task_holds_one_python_worker(spark, monkeypatch):
+    """Packing texts and forming their sets are stages apart, even where the texts asked for are few enough to be broadcast."""
+    plans = {}
+
+    def written(df, label, plain=jaccard.written):
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label)
+
+    monkeypatch.setattr(jaccard, "written", written)
+    texts = ["a b c d e f g h", "a b c d e f g h i", "something else of more than five words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    jaccard.near_copies(docs).collect()
+    assert plans["shingles"].count("MapInArrow") == 2 and "SortMergeJoin" in plans["shingles"] and "Broadcast" not in plans["shingles"]
