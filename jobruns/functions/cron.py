@@ -162,6 +162,14 @@ def at_minute(day: str, minute: str) -> Column:
     return F.expr(_at(day, minute))
 
 
+def last_before(days: str, minutes: str, at: str) -> Column:
+    """The last firing up to time column ``at`` on the ascending ``days``, each with the ascending ``minutes``; null if there is none."""
+    today, minute = f"to_date({at})", f"(hour({at}) * 60 + minute({at}))"
+    own = f"CASE WHEN array_contains({days}, {today}) THEN {_at(today, f'try_element_at(filter({minutes}, m -> m <= {minute}), -1)')} END"
+    earlier = _at(f"try_element_at(filter({days}, d -> d < {today}), -1)", f"try_element_at({minutes}, -1)")
+    return F.expr(f"coalesce({own}, {earlier})")
+
+
 def count_firings() -> Column:
     """How many firings lie after column ``t0`` up to column ``t1``, from columns ``days`` and ``minutes``: every minute
     of every day, without those of the first day up to ``t0`` and those of the last day after ``t1``."""

@@ -132,13 +132,9 @@ def classify_schedule(jobs: DataFrame, now: TimeLike, expressions: DataFrame | N
     )
 
 
-def fire_calendar(jobs: DataFrame, start: TimeLike, end: TimeLike) -> DataFrame:
-    """Every firing after ``start`` up to ``end``: ``job_id, fire_at``.
-
-    Days and minutes are worked out per distinct expression; a job row unfolds them locally, so an
-    expression shared by a third of the jobs costs no exchange of its firings."""
-    start, end = as_time(start), as_time(end)
-    calendar = (
+def _calendar(jobs: DataFrame, start: Column, end: Column) -> DataFrame:
+    """``cron_expression, days, minutes``: the matching days of an interval, and the minutes at which such a day fires."""
+    return (
         _expressions(jobs)
         .withColumns({"first": F.to_date(start), "last": F.to_date(end)})
         .select(
@@ -147,11 +143,19 @@ def fire_calendar(jobs: DataFrame, start: TimeLike, end: TimeLike) -> DataFrame:
             cron.minutes_of_day("fields").alias("minutes"),
         )
     )
+
+
+def fire_calendar(jobs: DataFrame, start: TimeLike, end: TimeLike) -> DataFrame:
+    """Every firing after ``start`` up to ``end``: ``job_id, fire_at``.
+
+    Days and minutes are worked out per distinct expression; a job row unfolds them locally, so an
+    expression shared by a third of the jobs costs no exchange of its firings."""
+    start, end = as_time(start), as_time(end)
     # explode_outer: a plain explode makes Spark test the arrays for being empty, and it does so
     # below the distinct, once per job. The nulls fall to the last condition.
     return (
         jobs.select("job_id", "cron_expression")
-        .join(calendar, "cron_expression")
+        .join(_calendar(jobs, start, end), "cron_expression")
         .select("job_id", "minutes", F.explode_outer("days").alias("day"))
         .select("job_id", "day", F.explode_outer("minutes").alias("minute"))
         .select("job_id", cron.at_minute("day", "minute").alias("fire_at"))
@@ -163,32 +167,34 @@ def missed_firings(jobs: DataFrame, tasks: DataFrame, start: TimeLike, end: Time
     """Every planned firing in an interval with the run that it started: ``job_id, fire_at, task_id``, null where it was missed.
 
     A scheduled first attempt belongs to the last firing before it, so runs and firings keep their order, and a run
-    too many stands for no firing but its own; of several runs of one firing the first counts. Runs and firings of a job meet day by
-    day; what a day needs from earlier ones is its last firing before."""
-    planned = fire_calendar(jobs, start, end)
+    too many stands for no firing but its own; of several runs of one firing the first counts. A run's firing is read from its
+    job's calendar, and what is exchanged is runs and days: a day's firings are unfolded last, beside the runs of that day."""
+    start, end = as_time(start), as_time(end)
+    calendar = _calendar(jobs, start, end)
+    planned = jobs.select("job_id", "cron_expression").where(F.col("cron_expression").isNotNull())
     started = tasks.where(
-        (F.col("trigger_type") == SCHEDULED) & (F.col("retry_count") == 0) & (F.col("created_at") > as_time(start)) & (F.col("created_at") <= as_time(end))
-    ).select("job_id", F.col("created_at").alias("at"), F.lit(None).cast("timestamp_ntz").alias("fire_at"), "task_id")
-    # Only days with runs, and the last firing of each day before, are looked at together.
-    run_days = started.select("job_id", F.to_date("at").alias("day")).distinct()
-    firings = planned.select("job_id", F.col("fire_at").alias("at"), "fire_at", F.lit(None).cast(tasks.schema["task_id"].dataType).alias("task_id"))
-    last = firings.groupBy("job_id", F.to_date("at").alias("day")).agg(F.max("fire_at").alias("last"))
-    days = run_days.withColumn("last", F.lit(None).cast("timestamp_ntz")).unionByName(last)
-    earlier = Window.partitionBy("job_id").orderBy(F.unix_date("day")).rangeBetween(Window.unboundedPreceding, -1)
-    carry = days.withColumn("carry", F.max("last").over(earlier)).groupBy("job_id", "day").agg(F.max("carry").alias("carry"))
-    near = firings.withColumn("day", F.to_date("at")).join(run_days, ["job_id", "day"], "left_semi")
-    both = near.unionByName(started.withColumn("day", F.to_date("at")))
-    order = Window.partitionBy("job_id", "day").orderBy("at", F.col("fire_at").isNull())
+        (F.col("trigger_type") == SCHEDULED) & (F.col("retry_count") == 0) & (F.col("created_at") > start) & (F.col("created_at") <= end)
+    ).select("job_id", F.col("created_at").alias("at"), "task_id")
     met = (
-        both.withColumn("own", F.last("fire_at", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .where(F.col("task_id").isNotNull())
-        .join(carry, ["job_id", "day"], "left")
-        .withColumn("fire_at", F.coalesce("own", "carry"))
-        .where(F.col("fire_at").isNotNull())
+        started.join(planned, "job_id")
+        .join(calendar, "cron_expression")
+        .select("job_id", "at", "task_id", cron.last_before("days", "minutes", "at").alias("fire_at"))
+        .where(F.col("fire_at") > start)
         .groupBy("job_id", "fire_at")
         .agg(F.min(F.struct("at", "task_id"))["task_id"].alias("task_id"))
+        .groupBy("job_id", F.to_date("fire_at").alias("day"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("fire_at", "task_id"))).alias("met"))
+    )
+    return (
+        planned.join(calendar.select("cron_expression", "days"), "cron_expression")
+        .select("job_id", "cron_expression", F.explode_outer("days").alias("day"))
+        .join(met, ["job_id", "day"], "left")
+        .join(calendar.select("cron_expression", "minutes"), "cron_expression")
+        .select("job_id", "day", "met", F.explode_outer("minutes").alias("minute"))
+        .select("job_id", cron.at_minute("day", "minute").alias("fire_at"), "met")
+        .where((F.col("fire_at") > start) & (F.col("fire_at") <= end))
+        .select("job_id", "fire_at", F.try_element_at("met", "fire_at").alias("task_id"))
     )
-    return planned.join(met, ["job_id", "fire_at"], "left").select("job_id", "fire_at", "task_id")
 
 
 def dispatch_audit(jobs: DataFrame, tasks: DataFrame, start: TimeLike, end: TimeLike) -> DataFrame:

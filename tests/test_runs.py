@@ -261,3 +261,23 @@ def test_an_extra_run_does_not_hide_a_missed_firing(make):
     got = values(schedule.missed_firings(t.jobs, t.tasks, "2024-05-01 09:15:00", "2024-05-02 02:30:00"))
     met = {10: 1, 11: 2, 24: 7, 26: 8}
     assert got == sorted([(1, datetime(2024, 5, 1 + h // 24, h % 24), met.get(h)) for h in range(10, 27)], key=lambda r: tuple((v is not None, str(v)) for v in r))
+
+
+def test_firings_are_unfolded_after_the_last_exchange(make):
+    t = make([job(1, cron="*/5 * * * *")], [task(1, 1, "success", "2024-05-01 10:00:03", trigger="scheduled")])
+    found = schedule.missed_firings(t.jobs, t.tasks, "2024-05-01 09:15:00", "2024-05-02 02:30:00")
+    above = found._jdf.queryExecution().executedPlan().toString().split("explode(minutes")[0]
+    assert "Exchange" not in above and "Join" not in above
+
+
+def test_a_run_belongs_to_the_firing_of_an_earlier_day(make):
+    """A day's last firing holds until the next one, over days without any; one at the start of the interval is not in it."""
+    t = make(
+        [job(1, cron="0 9,21 * * 1"), job(2, cron="0 0 * * *")],
+        [
+            task(1, 1, "success", "2024-05-09 08:00:00", trigger="scheduled"), task(2, 1, "success", "2024-05-06 08:59:59", trigger="scheduled"),
+            task(3, 2, "success", "2024-05-05 10:00:00", trigger="scheduled"), task(4, 2, "success", "2024-05-07 00:00:00", trigger="scheduled"),
+        ],
+    )
+    got = values(schedule.missed_firings(t.jobs, t.tasks, "2024-05-05 00:00:00", "2024-05-09 12:00:00"))
+    assert {r for r in got if r[2]} == {(1, datetime(2024, 5, 6, 21), 1), (2, datetime(2024, 5, 7), 4)} and len(got) == 6
