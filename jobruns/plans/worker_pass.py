@@ -7,14 +7,18 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobruns.constants import LEASE_SECONDS
+from jobruns.constants import LEASE_SECONDS, PENDING, SETTLED
 from jobruns.functions.times import TimeLike
-from jobruns.operators.runs import apply_results, claim, claim_loss_action
+from jobruns.operators.runs import apply_results, claim
+from jobruns.operators.windows import first_claim_per_task
 from jobruns.session import cut_lineage
 from jobruns.sources.messages import parse_messages
 from jobruns.sources.tables import Tables
 
 
+_CLAIM = ("attempted_at", "worker_id", "seq")
+
+
 class WorkerPass(NamedTuple):
     """The runs that were claimed, the outcome of those that ended, the retries to append, and what becomes of each message."""
 
@@ -42,17 +46,20 @@ def worker_pass(
     attempts = parsed.where(F.col("key").isNotNull()).select(
         F.col("key").alias("task_id"), "worker_id", "seq", F.col("ts").alias("attempted_at"), "body"
     )
-    spoken = cut_lineage(tables.tasks.join(attempts.select("task_id").distinct(), "task_id", "left_semi"))
-    claimed = cut_lineage(claim(attempts, spoken, now, lease_seconds))
+    # One row per run that the batch speaks of; beside it the messages pass one exchange.
+    first = first_claim_per_task(attempts)
+    spoken = cut_lineage(tables.tasks.join(first.select("task_id", F.struct(*_CLAIM).alias("_first")), "task_id"))
+    claimed = cut_lineage(claim(spoken.select("task_id", "_first.*"), spoken.drop("_first"), now, lease_seconds))
     ended = results.join(claimed.select("task_id"), "task_id", "left_semi")
     gone = claimed.join(tables.jobs, "job_id", "left_anti").join(ended, "task_id", "left_anti")
     lost = gone.select("task_id", F.lit(False).alias("success"), F.lit("").alias("stdout"), F.lit("").alias("stderr"))
     outcome = apply_results(ended.select("task_id", "success", "stdout", "stderr").unionByName(lost), claimed, tables.jobs, now)
     done = outcome.finished.select("task_id", F.lit("delete").alias("_done"))
-    losers = claim_loss_action(attempts, spoken)
-    names = ["task_id", "worker_id", "seq", "attempted_at", "body"]
-    winners = attempts.join(losers.select(*names), names, "left_anti").join(done, "task_id", "left").withColumn("action", F.coalesce("_done", F.lit("keep")))
-    told = winners.select(*names, "action").unionByName(losers.select(*names, "action"))
+    status = F.col("status")
+    known = spoken.select("task_id", "status", "_first").join(done, "task_id", "left")
+    won = (status == PENDING) & F.struct(*_CLAIM).eqNullSafe(F.col("_first"))
+    action = F.when(status.isNull() | status.isin(*SETTLED), "delete").when(won, F.coalesce("_done", F.lit("keep"))).otherwise("keep")
+    told = attempts.join(known, "task_id", "left").select("worker_id", "seq", "attempted_at", "body", action.alias("action"))
     return WorkerPass(
         claimed,
         outcome.finished,

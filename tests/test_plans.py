@@ -107,3 +107,27 @@ def test_worker_pass(table):
     assert values(work.claimed, "task_id", "locked_by") == [(i, "w") for i in (1, 2, 3, 4)]
     assert values(work.finished, "task_id", "status", "stderr") == [(1, "success", ""), (2, "failed", "err"), (4, "final_failed", "Job not found")]
     assert values(work.retries, "job_id", "retry_count") == [(1, 1)]
+
+
+def test_worker_pass_tells_each_message_once(table):
+    """Also one without a time or a worker; equal messages are as many as were sent, and only tables of one row per run are cut."""
+    from jobruns.plans.worker_pass import worker_pass
+    from jobruns.sources.tables import Tables
+    from tests.conftest import values
+
+    at = "2024-05-01 10:00:0"
+    jobs = table("job_id long, max_retries int", (1, 0))
+    kind = "task_id long, job_id long, status string, trigger_type string, retry_count int, locked_by string, locked_until time, started_at time"
+    tasks = table(kind, *[(i, 1, s, "manual", 0, None, None, None) for i, s in ((1, "pending"), (2, "pending"), (3, "running"), (4, "failed"))])
+    sent = table(
+        "body string, worker_id string, seq long, ts time",
+        *[
+            (f'{{"task_id": "{i}"}}', *rest)
+            for i, *rest in ((1, "a", 1, None), (1, "b", 2, at + "1"), (2, None, 1, at + "1"), (2, None, 1, at + "1"), (3, "a", 1, at + "1"), (4, "a", 1, None), (9, None, None, None))
+        ],
+    )
+    results = table("task_id long, success boolean, stdout string, stderr string", (2, True, "", ""))
+    work = worker_pass(sent, results, Tables(jobs, tasks, None), at + "3")
+    told = [(1, "keep"), (1, "keep"), (2, "delete"), (2, "delete"), (3, "keep"), (4, "delete"), (9, "delete")]
+    assert values(work.messages, "body", "action") == [(f'{{"task_id": "{i}"}}', action) for i, action in told]
+    assert values(work.claimed, "task_id") == [(1,), (2,)]
