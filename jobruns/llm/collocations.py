@@ -8,7 +8,8 @@ the phrases of the next level: what was accepted, and the word behind it.
 
 A trie holds at most ``PART`` bytes of phrases, so what is broadcast and what the driver sees is bounded; candidates beyond that,
 dealt by their first words, get tries and walks of their own. A task's table of phrases is passed on whenever it holds
-``HELD`` of them.
+``HELD`` of them. ``TOGETHER`` partitions of texts are one task's, where there are enough for all cores: phrases that both hold are
+added up before the shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from jobruns.llm.common import filled, table, tidy, written
 from jobruns.llm.double_array import Trie, build
 
 LEAST, LONGEST, TOP = 30, 4, 2000
-PART, HELD, AT_ONCE = 1 << 22, 300_000, 1 << 20
+PART, HELD, AT_ONCE, TOGETHER = 1 << 22, 500_000, 1 << 20, 2
 #: Rows of counts: the key is 1, a language, a line end and a phrase; or 0 and the id of a phrase of a trie.
 COUNTS = "key binary, n long"
 
@@ -152,9 +153,15 @@ def _first_word(phrase: str) -> Column:
     return F.substring_index(F.col(phrase).cast("string"), " ", 1)
 
 
+def _fewer(docs: DataFrame) -> DataFrame:
+    parts, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
+    return docs.coalesce(max(parts // TOGETHER, min(parts, cores), 1))
+
+
 def counted_phrases(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Tables (lang, phrase, n) of the phrases of 1 to ``LONGEST`` words met ``LEAST`` times, and (lang, n) of all words.
     ``docs`` has lang, and text as bytes."""
+    docs = _fewer(docs)
     ends = F.expr("hex(substring(key, -1, 1)) = '0A'")
     words = docs.mapInArrow(_word_batches, COUNTS).groupBy("key").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST) | ends)
     words = _named(written(words, "words"))

@@ -72,3 +72,11 @@ def test_registered_query_equals_its_sql(spark):
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
     got = sorted(map(tuple, catalog.QUERIES["op12_collocations"](spark, "/root/testdata/sf0.01").collect()))
     assert got == sorted(con.execute(collocations.SQL).fetchall())
+
+
+def test_partitions_are_put_together_before_the_shuffle(spark):
+    from jobruns.llm.collocations import _fewer
+
+    cores = spark.sparkContext.defaultParallelism
+    assert _fewer(spark.range(0, 1000, 1, 6 * cores)).rdd.getNumPartitions() == 3 * cores
+    assert _fewer(spark.range(0, 1000, 1, cores)).rdd.getNumPartitions() == cores
