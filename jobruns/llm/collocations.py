@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from jobruns.llm.common import filled, table, tidy, written
 from jobruns.llm.double_array import Trie, build
 
 LEAST, LONGEST, TOP = 30, 4, 2000
-PART, HELD, AT_ONCE, TOGETHER = 1 << 22, 500_000, 1 << 20, 2
+PART, HELD, AT_ONCE, TOGETHER = 1 << 22, 300_000, 1 << 20, 2
 #: Rows of counts: the key is 1, a language, a line end and a phrase; or 0 and the id of a phrase of a trie.
 COUNTS = "key binary, n long"
 
@@ -39,23 +40,22 @@ _CLASS[list(b" \t")] = _SPACE
 
 def tokens(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The text with one blank after each word, or a line end where its piece ends; and where words start and end."""
-    raw = _CLASS[np.frombuffer(text, np.uint8)]
-    inside = (raw != _SPACE) & (raw != _END)
-    at = np.flatnonzero(inside)
+    raw = _CLASS[np.frombuffer(text + b"\n", np.uint8)]
+    breaks = raw == _END
+    blank = (raw == _SPACE) | breaks
+    behind = blank.copy()
+    behind[0] = False
+    behind[1:] &= ~blank[:-1]
+    at = np.flatnonzero(behind)
     if not len(at):
         return np.zeros(1, np.uint8), at, at
-    starts = np.append(True, at[1:] != at[:-1] + 1)
-    place = np.arange(len(at)) + np.cumsum(starts) - 1
-    out = np.full(int(place[-1]) + 2, _SPACE, np.uint8)
-    out[place] = raw[at]
-    first = place[starts]
-    end = np.append(first[1:] - 1, len(out) - 1)
-    breaks = np.append(0, np.cumsum(raw == _END))
-    before = np.append(at[np.flatnonzero(starts)[1:] - 1], at[-1])
-    after = np.append(at[starts][1:], len(raw))
-    out[end[breaks[after] > breaks[before]]] = _END
-    out[-1] = _END
-    return out, first, end
+    kept = behind | ~blank
+    out, end = raw[kept], np.flatnonzero(behind[kept])
+    out[end] = _SPACE
+    # A line end anywhere in the blanks behind a word.
+    word = np.searchsorted(at, np.flatnonzero(breaks), "right") - 1
+    out[end[word[word >= 0]]] = _END
+    return out, np.append(0, end[:-1] + 1), end
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
@@ -82,8 +82,9 @@ def _flushed(held: dict[str, Counter[bytes]], limit: int) -> Iterator[pa.RecordB
     if sum(map(len, held.values())) <= limit:
         return
     for lang, counts in held.items():
-        name = b"\x01" + lang.encode() + b"\n"
-        yield _rows(pa.array([name + phrase for phrase in counts], pa.binary()), pa.array(list(counts.values()), pa.int64()))
+        name = pa.scalar(b"\x01" + lang.encode() + b"\n", pa.binary())
+        keys = pc.binary_join_element_wise(name, pa.array(list(counts), pa.binary()), b"")
+        yield _rows(keys, pa.array(list(counts.values()), pa.int64()))
     held.clear()
 
 
