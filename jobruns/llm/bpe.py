@@ -5,8 +5,9 @@ Texts are cut into words by the tokenizer's pattern. Words that are not tokens t
 word's leftmost pair of least rank until no pair can be merged. A task encodes each distinct word of what it
 holds at a time once. Decoding joins token rows to the vocabulary and aggregates the pieces in order.
 
-There is no shuffle. A worker keeps one DuckDB connection, and the words it met last in two generations: when the younger holds
-``CACHED``, it becomes the elder, and of the elder before it only words met again since are kept.
+There is no shuffle. A worker keeps one DuckDB connection; a task keeps the words it met last in two generations: when the younger holds
+``CACHED``, it becomes the elder, and of the elder before it only words met again since are kept. At a task's end both are let go of,
+as an idle worker keeps its memory while other stages run beside it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from jobruns.llm.common import filled, table
 
 #: Words of a generation; two are held.
-CACHED, WORDS_AT_ONCE, TOKENS_AT_ONCE, BYTES_AT_ONCE = 250_000, 50_000, 250_000, 4 << 20
+CACHED, WORDS_AT_ONCE, TOKENS_AT_ONCE, BYTES_AT_ONCE = 125_000, 25_000, 100_000, 2 << 20
 #: Longer words are contracted at all places of their least rank at once, where that gives the same tokens.
 LONG = 48
 
@@ -145,6 +146,10 @@ class Codec:
         known = self.words.__getitem__
         return [b"".join(map(known, ws)) for ws in cut]
 
+    def forget(self) -> None:
+        """Let go of the words met."""
+        self.words, self.elder = {}, {}
+
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """The bytes that the tokens stand for; a list of many tokens is decoded in runs."""
         out: list[list[bytes]] = [[] for _ in encoded]
@@ -186,6 +191,13 @@ def _codec(lines: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
+def _let_go() -> None:
+    """Free what a task needs no more; a worker that waits keeps all that it has."""
+    for codec in _CODECS.values():
+        codec.forget()
+    pa.default_memory_pool().release_unused()
+
+
 def _runs(column: pa.Array) -> Iterator[tuple[int, list]]:
     """The values of a column in runs of a bounded number of bytes (one value at least): (first row, values)."""
     first, values, held = 0, [], 0
@@ -212,11 +224,14 @@ class Tokenizer:
         lines, pattern = docs.sparkSession.sparkContext.broadcast(self.lines), self.pattern
 
         def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in parts:
-                codec = _codec(lines.value, pattern)
-                for first, values in _runs(part.column(1)):
-                    own = part.column(0).slice(first, len(values))
-                    yield pa.RecordBatch.from_arrays([own, *of_run(codec, values)], names=names)
+            try:
+                for part in parts:
+                    codec = _codec(lines.value, pattern)
+                    for first, values in _runs(part.column(1)):
+                        own = part.column(0).slice(first, len(values))
+                        yield pa.RecordBatch.from_arrays([own, *of_run(codec, values)], names=names)
+            finally:
+                _let_go()
 
         names = [c.split()[0] for c in schema.split(", ")]
         return docs.mapInArrow(batches, schema)

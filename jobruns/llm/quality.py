@@ -26,6 +26,8 @@ from jobruns.llm.common import filled, id_bucket, table
 ROWS, SAMPLE_BYTES = 2000, 32_768
 BLOCK, DICTIONARY, LEVEL = 256, 65_536, 3
 HELD_OUT, THRESHOLD = 5, 0.3
+#: Rows scored at a time.
+AT_ONCE = 1000
 
 
 def _blocks(text: bytes) -> Iterator[bytes]:
@@ -137,11 +139,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return train(good, bad, (sizes.get(1, 0), sizes.get(0, 0)))
 
 
+def _slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``AT_ONCE`` rows: of a batch's texts only so many are copied at a time."""
+    return (part.slice(i, AT_ONCE) for part in parts for i in range(0, part.num_rows, AT_ONCE))
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) for every row; null texts count as empty, and an empty text has a score as well."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in _slices(parts):
             yield pa.record_batch([part.column(0), pa.array(model.scores(part.column(1).to_pylist()))], names=["doc_id", "score"])
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), filled(text).cast("binary").alias("text"))
@@ -153,7 +160,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in _slices(parts):
             scores = model.scores([(t.as_py() or "").encode() for t in part.column(at)])
             yield part.filter(pa.array(scores >= THRESHOLD))
 

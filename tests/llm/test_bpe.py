@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -85,3 +86,15 @@ def test_words_met_again_outlast_a_full_cache(ranks, library, monkeypatch):
         assert ids(codec.encode([text])[0]) == library.encode_ordinary(text)
     assert contracted.count(b"qzxqzx") == 1
     assert len(codec.words) + len(codec.elder) < 60
+
+
+def test_a_worker_lets_go_of_words_when_its_task_ends(spark):
+    from jobruns.llm import bpe
+
+    def held(parts):
+        for _ in parts:
+            yield pa.record_batch([pa.array([sum(len(c.words) + len(c.elder) for c in bpe._CODECS.values())], pa.int64())], names=["n"])
+
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('qzx', id, ' xqj', hex(id)) AS text").repartition(8)
+    assert default_tokenizer().digests(docs).count() == 2000
+    assert {r.n for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n long").collect()} == {0}

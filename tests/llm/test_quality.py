@@ -39,3 +39,14 @@ def test_odd_rows(spark, odd, none):
     assert {r.score for r in quality.rated(odd, one_class).collect()} == {1.0}
     kept = quality.accepted(odd, quality.fit(odd, one_class))
     assert kept.columns == odd.columns and kept.count() == odd.count()
+
+
+def test_a_batch_is_scored_in_slices(spark):
+    class Counting(quality.Model):
+        def scores(self, texts):
+            assert len(texts) <= 1000
+            return super().scores(texts)
+
+    docs = spark.range(0, 2500, 1, 1).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    assert [r.score for r in quality.score(docs, Counting(0.25)).collect()] == [0.25] * 2500
+    assert quality.accepted(docs, Counting(0.5)).count() == 2500 and quality.accepted(docs, Counting(0.25)).count() == 0
