@@ -117,7 +117,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).selectExpr("upstream_job_id", "upstream_job_id + step AS downstream_job_id")
     return steps.where(
         "upstream_job_id - upstream_job_id % 10 = downstream_job_id - downstream_job_id % 10"
-    ).join(keys.withColumnRenamed("c_custkey", "downstream_job_id"), "downstream_job_id", "left_semi").select(
+    ).join(keys.withColumnRenamed("c_custkey", "downstream_job_id").hint("merge"), "downstream_job_id", "left_semi").select(
         "upstream_job_id", "downstream_job_id"
     )
 

@@ -96,12 +96,12 @@ def invalid_jobs(jobs: DataFrame, existing: DataFrame | None = None, expressions
 
     # Names used more than once, found by counting; the jobs that bear them are joined back.
     twice = jobs.groupBy("name").agg(F.count("*").alias("n")).where((F.col("n") > 1) & F.col("name").isNotNull())
-    duplicates = jobs.select("job_id", "name").join(twice, "name", "left_semi").select(
+    duplicates = jobs.select("job_id", "name").join(twice.hint("merge"), "name", "left_semi").select(
         "job_id", F.lit("duplicate name").alias("reason")
     )
 
     if existing is not None:
-        taken = existing.select("name").distinct()
+        taken = existing.select("name").distinct().hint("merge")
         duplicates = duplicates.unionByName(
             jobs.join(taken, "name", "left_semi").select("job_id", F.lit("duplicate name").alias("reason"))
         ).distinct()

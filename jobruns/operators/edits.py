@@ -165,18 +165,18 @@ def create_jobs(jobs: DataFrame, new: DataFrame, edges: DataFrame, now: TimeLike
 
     ``edges`` are those of the graph with the new jobs' own. Refused definitions come with one row per reason; an id or a name
     that is taken is one, and being on a circle of dependencies. Their edges are left out. Columns of ``jobs`` that ``new``
-    lacks are null."""
+    lacks are null. Joins whose sides grow with the jobs merge: a broadcast would send its side through the driver."""
     expressions = cut_lineage(settled(new, now))
     broken = invalid_jobs(new, jobs, expressions).unionByName(
-        new.join(jobs.select("job_id"), "job_id", "left_semi").select("job_id", F.lit("id is taken").alias("reason"))
+        new.join(jobs.select("job_id").hint("merge"), "job_id", "left_semi").select("job_id", F.lit("id is taken").alias("reason"))
     )
-    circles = jobs_on_cycle(edges).join(new, "job_id", "left_semi").select("job_id", F.lit(CIRCULAR).alias("reason"))
+    circles = jobs_on_cycle(edges).join(new.select("job_id").hint("merge"), "job_id", "left_semi").select("job_id", F.lit(CIRCULAR).alias("reason"))
     broken = cut_lineage(broken.unionByName(circles))
-    accepted = new.join(broken.select("job_id").distinct(), "job_id", "left_anti")
-    gone = broken.join(jobs, "job_id", "left_anti").select("job_id").distinct()
-    edges = edges.join(gone.withColumnRenamed("job_id", UP), UP, "left_anti").join(gone.withColumnRenamed("job_id", DOWN), DOWN, "left_anti").select(UP, DOWN)
+    accepted = new.join(broken.select("job_id").distinct().hint("merge"), "job_id", "left_anti")
+    gone = broken.join(jobs.select("job_id").hint("merge"), "job_id", "left_anti").select("job_id").distinct()
+    edges = edges.join(gone.withColumnRenamed("job_id", UP).hint("merge"), UP, "left_anti").join(gone.withColumnRenamed("job_id", DOWN).hint("merge"), DOWN, "left_anti").select(UP, DOWN)
     settled_rows = classify_schedule(accepted, now, expressions).drop("error")
-    added = accepted.drop(*_RESOLVED, "created_at", "updated_at").join(settled_rows, "job_id").withColumns(
+    added = accepted.drop(*_RESOLVED, "created_at", "updated_at").join(settled_rows.hint("merge"), "job_id").withColumns(
         {"created_at": as_time(now), "updated_at": as_time(now)}
     )
     if "runtime_spec" in jobs.columns:

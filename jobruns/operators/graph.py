@@ -342,7 +342,7 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
     inner, ends, rings = parts.chains.inner, parts.chains.ends, parts.chains.rings
     start, end = (found.select(F.col("job_id").alias(c), "label") for c in ("start", "end"))
     between = ends.join(_merged(start), "start").join(_merged(end), ["end", "label"]).select("head", "label")
-    return found.unionByName(inner.join(between, "head").select("job_id", "label")).unionByName(rings)
+    return found.unionByName(inner.join(_merged(between), "head").select("job_id", "label")).unionByName(rings)
 
 
 def has_cycle(edges: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def with_key_in(df: DataFrame, key: str, found: DataFrame, found_key: str) -> Da
 
 
 def jobs_without_upstream(jobs: DataFrame, edges: DataFrame) -> DataFrame:
-    return jobs.join(edges.select(F.col("downstream_job_id").alias("job_id")), "job_id", "left_anti")
+    return jobs.join(edges.select(F.col("downstream_job_id").alias("job_id")).hint("merge"), "job_id", "left_anti")
 
 
 def runs_without_job(tasks: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -62,6 +62,15 @@ def test_creation(table):
     assert values(edit.refused) == [(1, "id is taken"), (6, "Invalid cron expression"), (6, "missing url")]
 
 
+def test_creation_sends_no_jobs_through_the_driver(table):
+    new = table(JOB, job(2), job(3, name="j2"))
+    edit = edits.create_jobs(table(JOB, job(1)), new, table("upstream_job_id long, downstream_job_id long", (1, 2)), NOW)
+    for frame in (edit.jobs, edit.new_runs, edit.edges):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+        assert all("[cron_expression" in line for line in joins), joins
+
+
 def test_configurations(table):
     configs = {
         '{"url":"u"}': [], '{"url":"u","timeout_seconds":"5"}': [], '{"url":"u","timeout_seconds":5.0}': [], '{"url":"u","timeout_seconds":true}': [],
