@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from jobruns.session import shared_dir
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows that a Python worker is given at a time within ``small_batches``; a longer row comes alone.
+BATCH = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +40,22 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile goes to Python in batches of about ``BATCH`` bytes, whatever the rows hold.
+
+    A task holds a batch several times over: in Arrow's vectors, in the stream to the worker, and in the worker. By
+    Spark's own limit of 64 MB that is some hundred megabytes beside the heap.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def filled(text: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobruns.llm.common import filled, text_hash, tidy, written
+from jobruns.llm.common import filled, small_batches, text_hash, tidy, written
 from jobruns.llm.components import components
 from jobruns.llm.simhash import near_duplicates
 
@@ -237,12 +237,13 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Null, empty and blank texts are one group; case and blanks do not count; repeated rows come back repeated.
     """
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), text_hash(text).alias("text_hash"), filled(text).cast("binary").alias("text"))
-    rows = written(_nodes(slim, _common(slim)), "sets")
-    roots = similar(slim, rows).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    own = rows.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
-    own = written(own, "copies")
-    # Equal texts have equal fingerprints, so a text's hash leads from one kind of link to the other.
-    prints = near_duplicates(docs, key, text).select("text_hash", F.xxhash64(F.lit("fingerprint"), "group").alias("near")).distinct()
-    across = written(own.select("text_hash", "root").distinct().join(prints, "text_hash").select(F.col("root").alias("u"), F.col("near").alias("v")).distinct(), "across")
-    joined = components(across).select(F.col("u").alias("root"), F.col("v").alias("group"))
+    with small_batches(docs.sparkSession):
+        rows = written(_nodes(slim, _common(slim)), "sets")
+        roots = similar(slim, rows).select(F.col("u").alias("node"), F.col("v").alias("root"))
+        own = rows.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+        own = written(own, "copies")
+        # Equal texts have equal fingerprints, so a text's hash leads from one kind of link to the other.
+        prints = near_duplicates(docs, key, text).select("text_hash", F.xxhash64(F.lit("fingerprint"), "group").alias("near")).distinct()
+        across = written(own.select("text_hash", "root").distinct().join(prints, "text_hash").select(F.col("root").alias("u"), F.col("near").alias("v")).distinct(), "across")
+        joined = components(across).select(F.col("u").alias("root"), F.col("v").alias("group"))
     return own.join(joined, "root", "left").select("doc_id", "text_hash", F.coalesce("group", "root").alias("group"))

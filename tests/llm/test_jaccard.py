@@ -3,9 +3,12 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from jobruns.llm import jaccard
+from jobruns.llm import common, jaccard
+
+KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def plain_set(text):
@@ -106,3 +109,38 @@ def test_a_task_holds_one_python_worker(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     jaccard.near_copies(docs).collect()
     assert plans["shingles"].count("MapInArrow") == 2 and "SortMergeJoin" in plans["shingles"] and "Broadcast" not in plans["shingles"]
+
+
+def test_python_gets_batches_of_few_bytes(spark, monkeypatch):
+    """Pairs of long texts carry two shingle sets each: by rows, or by Spark's own limit, a batch of them is large."""
+    limit, steps = 100_000, ["_packed", "_set_batches", "_allowed_batches", "_near_batches", "_across_batches"]
+
+    def held(plain):
+        def batches(parts):
+            def seen():
+                for part in parts:
+                    if part.num_rows > 1 and part.nbytes > 2 * limit:
+                        raise ValueError(f"a batch of {part.nbytes} bytes")
+                    yield part
+
+            yield from plain(seen())
+
+        return batches
+
+    for step in steps:
+        monkeypatch.setattr(jaccard, step, held(getattr(jaccard, step)))
+    monkeypatch.setattr(common, "BATCH", limit, raising=False)
+    before = spark.conf.get(KEY)
+    words = [f"w{i}" for i in range(400)]
+    texts = [(i, " ".join([*words[:i], "other", *words[i + 1 :]])) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    assert jaccard.near_copies(docs).select("group").distinct().count() == 1
+    assert spark.conf.get(KEY) == before
+
+
+def test_small_batches_end_with_an_error(spark):
+    before = spark.conf.get(KEY)
+    with pytest.raises(ValueError), common.small_batches(spark):
+        assert spark.conf.get(KEY) == str(common.BATCH) != before
+        raise ValueError
+    assert spark.conf.get(KEY) == before
