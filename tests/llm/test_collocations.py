@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -80,3 +81,36 @@ def test_partitions_are_put_together_before_the_shuffle(spark):
     cores = spark.sparkContext.defaultParallelism
     assert _fewer(spark.range(0, 1000, 1, 6 * cores)).rdd.getNumPartitions() == 3 * cores
     assert _fewer(spark.range(0, 1000, 1, cores)).rdd.getNumPartitions() == cores
+
+
+def test_a_level_takes_one_walk_however_many_tries(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "PART", 20)
+    monkeypatch.setattr(collocations, "BLOCK", 64)
+    walked, walks = collocations._walked, []
+    monkeypatch.setattr(collocations, "_walked", lambda *x: walks.append(len(x[1])) or walked(*x))
+    rows = made(random.Random(5))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["lang", "text"]))
+    got = sorted(map(tuple, collocations.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(4)).collect()))
+    assert len(walks) == collocations.LONGEST and max(walks) > 3
+    assert len(got) > 50 and got == sorted(con.execute(collocations.SQL).fetchall())
+
+
+@pytest.mark.parametrize("width, most", [(1, 255), (2, 65_535), (3, 1 << 24), (4, 2**31)])
+def test_numbers_come_back_from_their_bytes(width, most):
+    ids = np.random.default_rng(width).integers(0, most, 1000).astype(np.int32)
+    assert (collocations._numbers(collocations._digits(ids, width).ravel(), width) == ids).all()
+
+
+def test_rare_words_and_ends_of_pieces_are_one_zero():
+    line = collocations._line(np.array([0, 5, 6, 0, 0, 7, 8, 9], np.int32), np.array([False, False, True, False, True, False, True, True]))
+    assert line.tolist() == [5, 6, 0, 7, 8, 0, 9, 0]
+
+
+@pytest.mark.parametrize("words", [2, 3, 4])
+def test_phrases_of_numbers_are_counted(words):
+    ids = np.random.default_rng(words).integers(2**31 - 4, 2**31 - 1, (words, 500)).astype(np.int32)
+    want = Counter((*(int(x) for x in row), 0, 0)[:4] for row in ids.T)
+    got = {(int(x >> 32), int(x & 0xFFFFFFFF), int(y >> 32), int(y & 0xFFFFFFFF)): int(n) for x, y, n in zip(*collocations._counted(list(ids)), strict=True)}
+    assert got == want
+    assert not len(collocations._counted([np.zeros(0, np.int32)] * words)[0])
