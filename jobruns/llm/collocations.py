@@ -33,6 +33,8 @@ from jobruns.llm.double_array import build
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 PART, HELD, AT_ONCE, TOGETHER, BLOCK = 1 << 22, 300_000, 1 << 20, 2, 1 << 22
+#: Parts that the phrases of a language are ranked in first.
+RANKED = 64
 #: Positions walked, rows passed on at a time.
 _WALKED, _PASSED = 1 << 18, 1 << 16
 #: Rows of counts of words: the key is a language, a line end and a word, or nothing for all words.
@@ -382,8 +384,11 @@ def collocations(docs: DataFrame, key: str = "lang", text: str = "text") -> Data
     hidden = F.expr("100 * CAST(longer AS DECIMAL(19, 0)) >= 80 * CAST(n AS DECIMAL(19, 0))")
     left = best.join(covered, ["a", "b"], "left").where(F.col("longer").isNull() | ~hidden)
     left = left.select("a", "b", "best").join(_all(levels[1:]), ["a", "b"]).select("lang", "phrase", F.col("n").alias("a"), "best")
-    order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-    top = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
+    # A language's first are among the first of each part of it, so no task sorts a whole language.
+    order = [F.desc("best.score"), F.desc("a"), "phrase"]
+    own = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANKED))).orderBy(*order)
+    some = left.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= TOP).drop("rank")
+    top = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= TOP)
     return top.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score")
     )

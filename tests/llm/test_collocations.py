@@ -114,3 +114,12 @@ def test_phrases_of_numbers_are_counted(words):
     got = {(int(x >> 32), int(x & 0xFFFFFFFF), int(y >> 32), int(y & 0xFFFFFFFF)): int(n) for x, y, n in zip(*collocations._counted(list(ids)), strict=True)}
     assert got == want
     assert not len(collocations._counted([np.zeros(0, np.int32)] * words)[0])
+
+
+def test_the_first_of_parts_hold_the_first_of_all(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "TOP", 3)
+    rows = made(random.Random(7))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["lang", "text"]))
+    got = sorted(map(tuple, collocations.collocations(spark.createDataFrame(rows, "lang string, text string")).collect()))
+    assert got == sorted(con.execute(collocations.SQL.replace("rank <= 2000", "rank <= 3")).fetchall())
